@@ -320,3 +320,216 @@ UNION ALL SELECT 'DUP-01C', 'Code duplication detected across ' || CAST(files AS
   FROM classes WHERE members > {_cap}
 UNION ALL SELECT 'DUP-01L', 'Code duplication detected between two groups of blocks', NULL, NULL, block5, block4, 0.8, pairs
   FROM links WHERE pairs > 0 AND (members5 > {_cap} OR members4 > {_cap})"""
+
+# ---- structure -----------------------------------------------------------------------------------------
+# Definitions of the corpus stand on lines of their own, so entities can be read off the lines.
+
+_fn = r"function\s+(\w+)\s*\([^)]*\)\s*\{"
+_arrow = r"const\s+(\w+)\s*=\s*\([^)]*\)\s*=>"
+_cls = r"class\s+(\w+)(?:\s+extends\s+\w+)?\s*\{"
+_imp = r"""import\s+(?:\{[^}]*\}|\w+)\s+from\s+['"]([^'"]+)['"]"""
+
+
+def _entity(lang: str, pattern: str, kind: str, rank: str, params: str = "NULL") -> str:
+    return (
+        f"SELECT path, parent, language, line, text, regexp_extract(text, {_q(pattern)}, 1) AS name, '{kind}' AS type, {rank} AS rank, "
+        f"CAST({params} AS INTEGER) AS n_params, len(text) - len(ltrim(text, ' ')) AS indent FROM lines "
+        f"WHERE language {'=' if lang == 'python' else '<>'} 'python' AND NOT broken AND regexp_matches(text, {_q(pattern)})"
+    )
+
+
+_py_params = "CASE WHEN contains(text, '()') THEN 0 ELSE len(text) - len(replace(text, ',', '')) + 1 END"
+ENTS = f"""{LINES}, ents0 AS ({_union([
+    _entity('python', r'^\s*def (\w+)', 'function', '0', _py_params),
+    _entity('python', r'^\s*class (\w+)', 'class', '0'),
+    _entity('python', r'^import (\w+)$', 'import', '0'),
+    _entity('python', r'^from \w+ import (\w+)$', 'import', '0'),
+    _entity('js', _fn, 'function', '1'),
+    _entity('js', _arrow, 'function', '2'),
+    _entity('js', _cls, 'class', '3'),
+    _entity('js', _imp, 'import', '4'),
+])}),
+ents AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY CASE WHEN language = 'python' THEN least(indent, 1) ELSE rank END, line) - 1 AS pos FROM ents0)"""
+EDGES = f"""{ENTS},
+spans AS (SELECT e.path, e.name, e.type, e.language, e.line,
+    CASE WHEN e.language = 'python'
+      THEN coalesce((SELECT min(l.line) FROM lines l WHERE l.path = e.path AND l.line > e.line AND l.text <> ''
+                     AND len(l.text) - len(ltrim(l.text, ' ')) <= e.indent), 1000000) - 1
+      WHEN contains(e.text, '}}') THEN e.line
+      ELSE (SELECT min(l.line) FROM lines l WHERE l.path = e.path AND l.line > e.line AND l.text IN ('}}', '}};')) END AS last
+  FROM ents e WHERE type <> 'import'),
+words AS (SELECT DISTINCT s.path, s.name AS source, s.line,
+    unnest(regexp_extract_all(CASE WHEN s.language = 'python' THEN regexp_replace(l.text, 'def \\w+|class \\w+', '') ELSE l.text END, '\\w+')) AS target
+  FROM spans s JOIN lines l ON l.path = s.path AND l.line BETWEEN s.line AND s.last
+  UNION SELECT path, name, line, name FROM ents WHERE type = 'import' AND NOT starts_with(text, 'from ')),
+edges AS (SELECT DISTINCT source, target, 'uses' AS relationship_type, path AS file_path, CAST(line AS INTEGER) AS line_number
+  FROM words w WHERE EXISTS (SELECT 1 FROM ents e WHERE e.path = w.path AND e.name = w.target))"""
+ORACLE["entity_list"] = f"WITH {ENTS} SELECT path AS file_path, name, type, CAST(line AS INTEGER) AS line_number, n_params FROM ents"
+ORACLE["entity_edges"] = f"WITH {EDGES} SELECT * FROM edges"
+ORACLE["entity_edge_lookup"] = f"WITH {EDGES} SELECT * FROM edges WHERE source = 'os' OR target = 'os'"
+ORACLE["entity_name_lookup"] = f"""WITH {ENTS} SELECT path AS file_path, name, type, CAST(line AS INTEGER) AS line_number FROM ents
+WHERE contains(lower(name), 'widget_1')"""
+ORACLE["entity_type_counts"] = f"WITH {ENTS} SELECT type, count(*) AS entities FROM ents GROUP BY type"
+ORACLE["structure_totals"] = f"""WITH {EDGES} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM ents) AS entities,
+  (SELECT count(*) FROM edges) AS edges"""
+IMPORTS = f"""{ENTS},
+wanted AS (SELECT path AS source, language = 'python' AS py, parent || '/' ||
+    CASE WHEN language = 'python' THEN coalesce(nullif(regexp_extract(text, '^from (\\w+) import', 1), ''), name) ELSE replace(name, './', '') END AS key
+  FROM ents WHERE type = 'import'),
+import_edges AS (SELECT DISTINCT w.source, f.path AS target FROM wanted w JOIN files f ON w.py = (f.language = 'python') AND w.key = f.parent || '/' || f.stem)"""
+ORACLE["import_graph"] = f"WITH {IMPORTS} SELECT * FROM import_edges"
+ORACLE["import_degrees"] = f"""WITH {IMPORTS} SELECT path, sum(o) AS out_degree, sum(i) AS in_degree FROM (
+  SELECT source AS path, 1 AS o, 0 AS i FROM import_edges UNION ALL SELECT target, 0, 1 FROM import_edges) GROUP BY path"""
+
+# ---- documents, chunks, retrieval ----------------------------------------------------------------------
+
+
+def _fixed(source: str, text: str, columns: str) -> str:
+    return (
+        f"SELECT {columns}, CAST(c AS INTEGER) AS chunk_no, substr({text}, CAST(1 + 800 * c AS BIGINT), 1000) AS text "
+        f"FROM {source}, unnest(range(0, 1 + (greatest(len({text}) - 200, 1) - 1) // 800)) AS t(c)"
+    )
+
+
+TEXT_CHUNKS = f"""docs AS (SELECT *, source AS src, source || '/m' || CAST(doc_id AS VARCHAR) || '.txt' AS path FROM documents),
+chunks0 AS ({_fixed('docs', 'text', "doc_id AS num, src, path AS source, 'm' || CAST(doc_id AS VARCHAR) || '.txt' AS filename")}),
+chunks AS (SELECT *, source || '#' || CAST(chunk_no AS VARCHAR) AS chunk_id FROM chunks0)"""
+ORACLE["chunk_fixed"] = f"WITH {TEXT_CHUNKS} SELECT chunk_id, source, chunk_no, text FROM chunks"
+ORACLE["chunk_stats"] = f"""WITH {TEXT_CHUNKS} SELECT 'total' AS breakdown, '' AS value, count(*) AS chunks FROM chunks
+UNION ALL SELECT 'files', filename, count(*) FROM chunks GROUP BY filename
+UNION ALL SELECT 'entity_types', 'code', count(*) FROM chunks
+UNION ALL SELECT 'languages', src, count(*) FROM chunks GROUP BY src"""
+ORACLE["corpus_chunk_summary"] = f"""WITH {TEXT_CHUNKS} SELECT 'Codebase Summary:' || chr(10) || '- Total indexed chunks: ' || CAST(count(*) AS VARCHAR)
+  || chr(10) || '- File types found: .txt' || chr(10) AS summary FROM chunks"""
+CODE_CHUNKS = f"{FILES}, code_chunks AS ({_fixed('files', 'content', 'path, name AS filename, ext')})"
+ORACLE["chunks_by_extension"] = f"""WITH {CODE_CHUNKS} SELECT path || '#' || CAST(chunk_no AS VARCHAR) AS chunk_id, filename FROM code_chunks WHERE ext = '.tsx'"""
+ORACLE["index_report"] = f"""WITH {EDGES}, code_chunks AS ({_fixed('files', 'content', 'path')})
+SELECT (SELECT count(*) FROM files) AS documents_indexed, (SELECT count(*) FROM code_chunks) AS chunks_created,
+  (SELECT count(*) FROM ents) AS entities_found, (SELECT count(*) FROM edges) AS relationships_found"""
+
+_dist = "power(list_distance(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 2)"
+ORACLE["knn_topk"] = f"""SELECT qid, item_id, round(d, 6) AS dist, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, item_id) AS INTEGER) AS rank FROM (
+    SELECT a.vec_id AS qid, b.vec_id AS item_id, {_dist.format(a='a.embedding', b='b.embedding')} AS d FROM embeddings a, embeddings b))
+WHERE rank <= 5"""
+
+QUESTIONS = """turns AS (SELECT conv_id, turn, text, conv_id * 31 + turn AS key FROM conversations WHERE role = 'user'),
+asked AS (SELECT conv_id * 1000 + turn AS qid, key % (SELECT count(*) FROM embeddings) AS vec_id, text || CASE key % 4
+    WHEN 0 THEN ' What is in m' || CAST(conv_id AS VARCHAR) || '.txt, file m' || CAST(conv_id AS VARCHAR) || '.txt?'
+    WHEN 1 THEN ' Which function is the longest?'
+    WHEN 2 THEN ' Explain load_' || CAST(conv_id * 5 + 2 AS VARCHAR) || ' and Widget_' || CAST(conv_id * 5 AS VARCHAR)
+    ELSE ' Show m' || CAST(conv_id * 5 AS VARCHAR) || '.py please' END AS question FROM turns)"""
+_patterns = [f"({WORD}+\\.{e})" for e in ("py", "js", "ts", "jsx", "tsx")] + [
+    f"{w}{SPACE}+({WORD}+\\.{WORD}+)" for w in ("file", "in", "from")
+]
+_filename = "coalesce(" + ", ".join(f"nullif(regexp_extract(question, {_q('(?i)' + p)}, 1), '')" for p in _patterns) + ")"
+QUESTIONS += f""",
+questions AS (SELECT a.*, {_filename} AS filename, embedding AS qv FROM asked a JOIN embeddings USING (vec_id))"""
+ORACLE["question_filename"] = f"WITH {QUESTIONS} SELECT qid, filename FROM questions"
+ORACLE["canned_questions"] = f"""WITH {BASIC} SELECT category, count(*) AS issues, CASE category
+  WHEN 'security' THEN 'What security vulnerabilities can you identify in this codebase?'
+  WHEN 'documentation' THEN 'What documentation issues do you find?'
+  ELSE 'What are the main quality issues and areas for improvement in this codebase?' END AS question FROM issues GROUP BY category"""
+HITS = f"""{TEXT_CHUNKS}, {QUESTIONS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY source, chunk_no) AS rn, count(*) OVER (PARTITION BY filename) AS total_hits FROM chunks),
+named AS (SELECT *, CAST(rn AS INTEGER) AS hit_no FROM ranked WHERE total_hits <= 10 OR rn <= 2),
+file_part AS (SELECT q.qid, 'file' AS hit_kind, n.hit_no, n.source, n.filename, n.text FROM questions q JOIN named n USING (filename) WHERE n.hit_no <= 3),
+vectors AS (SELECT c.*, e.embedding AS cv FROM chunks c JOIN embeddings e ON e.vec_id = (c.num * 7 + c.chunk_no) % (SELECT count(*) FROM embeddings)),
+pair AS (SELECT qid, qv, vec_id FROM questions WHERE {{which}}),
+near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, chunk_id) AS rank FROM (
+  SELECT p.qid, v.*, {_dist.format(a='p.qv', b='v.cv')} AS d FROM pair p, vectors v))"""
+_info = """|| chr(10) || chr(10) || '**File Information:**' || chr(10) || '- Filename: ' || filename || chr(10) || '- Language: Text' || chr(10)
+  || '- Extension: .txt' || chr(10) || '- AST Parsed: False' || chr(10) || '- Total Entities: 0' || chr(10) || '- Entity Types: ' || chr(10)"""
+
+
+def _cut(c: str, n: int) -> str:
+    return f"CASE WHEN len({c}) > {n} THEN substr({c}, 1, {n}) || '...' ELSE {c} END"
+
+
+def _hits(k: int) -> str:
+    return HITS.replace("{which}", "qid NOT IN (SELECT qid FROM file_part)") + f""",
+alike AS (SELECT qid, 'similar' AS hit_kind, CAST(rank AS INTEGER) AS hit_no, source, filename, text {_info} AS text FROM near WHERE rank <= {k}),
+hits AS (SELECT * FROM file_part UNION ALL SELECT qid, hit_kind, hit_no, source, filename, {_cut('text', 1000)} FROM alike),
+budget0 AS (SELECT *, row_number() OVER w AS part_no, coalesce(sum(len(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM hits WINDOW w AS (PARTITION BY qid ORDER BY len(text), hit_no)),
+contexts AS (SELECT qid, string_agg(CASE WHEN before + len(text) <= 2000 THEN text ELSE substr(text, 1, CAST(2000 - before AS BIGINT)) || '...' END,
+    chr(10) || chr(10) ORDER BY part_no) AS context
+  FROM budget0 WHERE before + len(text) <= 2000 OR 2000 - before > 100 GROUP BY qid),
+sources AS (SELECT qid, string_agg('- ' || filename, '; ' ORDER BY hit_no) AS sources FROM hits WHERE hit_no <= 5 GROUP BY qid)"""
+
+
+ORACLE["file_hits"] = f"WITH {HITS.replace('{which}', 'false')} SELECT filename, chunk_id, hit_no, total_hits FROM named WHERE filename IN (SELECT filename FROM questions)"
+ORACLE["file_views"] = f"""WITH {HITS.replace('{which}', 'false')},
+b AS (SELECT *, coalesce(sum(len(text)) OVER (PARTITION BY filename ORDER BY hit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM named)
+SELECT filename, string_agg(CASE WHEN before + len(text) <= 3000 THEN text ELSE substr(text, 1, CAST(3000 - before AS BIGINT)) || '...' END,
+  chr(10) || chr(10) ORDER BY hit_no) AS file_content FROM b WHERE before + len(text) <= 3000 OR 3000 - before > 100 GROUP BY filename"""
+ORACLE["retrieval_hits"] = f"""WITH {_hits(3)} SELECT qid, hit_kind, hit_no, source, filename, 'code' AS type, CAST(NULL AS VARCHAR) AS entity_name,
+  CAST(NULL AS INTEGER) AS line_number, text FROM hits"""
+ORACLE["context_budget"] = f"WITH {_hits(10)} SELECT * FROM contexts"
+ORACLE["hit_sources"] = f"WITH {_hits(10)} SELECT * FROM sources"
+
+
+def _lit(s: str) -> str:
+    """SQL literal with its newlines spelled out."""
+    return " || chr(10) || ".join(_q(x) for x in s.split("\n"))
+
+
+from codestrata.operators import retrieval as _r  # noqa: E402
+
+ORACLE["prompts"] = f"""WITH {_hits(3)} SELECT qid, coalesce(context, 'No context available.') AS context, coalesce(sources, '') AS sources,
+  {_lit(_r.PROMPT_HEAD)} || question || {_lit(chr(10) * 2 + 'Codebase Overview:' + chr(10) * 3 + 'Relevant Code Context:' + chr(10))}
+  || coalesce(context, 'No context available.') || {_lit(chr(10) * 2 + _r.PROMPT_RULES)} AS prompt
+FROM questions LEFT JOIN contexts USING (qid) LEFT JOIN sources USING (qid)"""
+ORACLE["simple_prompts"] = f"""WITH {_hits(3)}, texts AS (SELECT qid, string_agg(text, chr(10) ORDER BY hit_no) AS context FROM hits GROUP BY qid)
+SELECT qid, {_lit(_r.SIMPLE_HEAD)} || question || {_lit(chr(10) * 2 + 'Context from codebase:' + chr(10))}
+  || coalesce(context, 'No context available.') || {_lit(_r.SIMPLE_TAIL)} AS prompt FROM questions LEFT JOIN texts USING (qid)"""
+ORACLE["search_report"] = f"""WITH {HITS.replace('{which}', 'true')},
+f AS (SELECT qid, count(*) AS n, string_agg({_cut('text', 200)}, '|' ORDER BY hit_no) AS p FROM questions q JOIN named n USING (filename) GROUP BY qid),
+s AS (SELECT qid, count(*) AS n, string_agg({_cut('text', 200)}, '|' ORDER BY rank) AS p FROM near WHERE rank <= 5 GROUP BY qid)
+SELECT qid, question, filename AS filename_detected, coalesce(f.n, 0) AS file_hits, coalesce(f.p, '') AS file_previews,
+  coalesce(s.n, 0) AS similarity_hits, coalesce(s.p, '') AS similarity_previews, coalesce(f.n, 0) + coalesce(s.n, 0) AS total_results
+FROM questions LEFT JOIN f USING (qid) LEFT JOIN s USING (qid)"""
+ORACLE["related_entities"] = f"""WITH {ENTS}, {QUESTIONS},
+firsts AS (SELECT * FROM ents QUALIFY row_number() OVER (PARTITION BY name ORDER BY path, pos) = 1),
+kinds AS (SELECT * FROM ents WHERE type IN ('function', 'class') QUALIFY row_number() OVER (PARTITION BY type, name ORDER BY path, pos) = 1),
+matched AS (
+  SELECT q.qid, 0 AS stage, e.* FROM questions q JOIN firsts e ON contains(lower(question), lower(name)) OR contains(lower(name), lower(question))
+  UNION ALL SELECT q.qid, 1, e.* FROM questions q JOIN kinds e
+    ON e.type = CASE WHEN contains(lower(question), 'function') THEN 'function' WHEN contains(lower(question), 'class') THEN 'class' END),
+once AS (SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY qid, name ORDER BY stage, path, pos) = 1)
+SELECT qid, CAST(related_no AS INTEGER) AS related_no, path AS file_path, name, type, CAST(line AS INTEGER) AS line_number FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY stage, path, pos) AS related_no FROM once) WHERE related_no <= 3"""
+
+# ---- repositories and history --------------------------------------------------------------------------
+
+REPOS = """r AS (SELECT source, count(*) AS n, sum(n_chars) AS chars, min(lang) AS lang, max(doc_id) AS last FROM documents GROUP BY source),
+repos AS (SELECT source AS name, lang || '/' || source AS full_name, CASE WHEN last % 3 < 2 THEN 'python tools ' || source END AS description,
+  CASE WHEN n % 4 < 3 THEN 'Python' ELSE 'Go' END AS language, CAST(NULL AS VARCHAR) AS languages,
+  CAST(CASE WHEN n % 5 > 0 THEN chars ELSE 0 END AS BIGINT) AS stars, CAST(0 AS BIGINT) AS forks, n AS size, '2024-01-01' AS created_at,
+  CASE WHEN n % 2 = 0 THEN 'trunk' ELSE 'main' END AS default_branch, CASE WHEN n % 2 = 1 THEN lang || ',' || source ELSE '' END AS topics,
+  CASE WHEN n % 3 = 1 THEN 'MIT' END AS license, 'https://github.com/' || lang || '/' || source || '.git' AS url, CAST(NULL AS VARCHAR) AS clone_url FROM r)"""
+ORACLE["repository_metadata"] = f"WITH {REPOS} SELECT * FROM repos"
+ORACLE["popular_repositories"] = f"""WITH {REPOS} SELECT name, full_name, description, stars, language, url, clone_url FROM repos
+WHERE language = 'Python' AND contains(coalesce(description, ''), 'python') ORDER BY stars DESC, full_name LIMIT 10"""
+ORACLE["repository_files"] = f"""WITH {FILES} SELECT regexp_extract(path, '^([^/]*)', 1) AS repo, path, name, strlen(content) AS size,
+  'https://host/' || path AS download_url FROM files QUALIFY row_number() OVER (PARTITION BY regexp_extract(path, '^([^/]*)', 1) ORDER BY path) <= 20"""
+ORACLE["repository_file_counts"] = f"""WITH {FILES} SELECT regexp_extract(path, '^([^/]*)', 1) AS repo, count(*) FILTER (ext IN ('.py', '.js', '.ts')) AS supported_files,
+  count(*) FILTER (ext IN ('.py', '.js', '.ts')) > 100 AS large FROM files GROUP BY 1"""
+ORACLE["repository_urls"] = """WITH u AS (SELECT page_id, contains(url, 'example.com') AS ok,
+  replace(replace(url, 'example.com', 'github.com') || '.git', '.git', '') AS url FROM pages),
+p AS (SELECT *, string_split(trim(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/'), '/') AS parts FROM u)
+SELECT page_id, 'dev' AS branch, CASE WHEN ok AND len(parts) > 1 THEN parts[1] END AS owner, CASE WHEN ok AND len(parts) > 1 THEN parts[2] END AS name,
+  CASE WHEN ok AND len(parts) > 1 THEN url END AS url FROM p"""
+ORACLE["repository_documents"] = f"""WITH {BASIC}, {REPOS},
+c AS (SELECT category AS v, count(*) AS n FROM issues GROUP BY category), s AS (SELECT severity AS v, count(*) AS n FROM issues GROUP BY severity)
+SELECT 'repository_info' AS source, 'metadata' AS type, 'Repository: ' || name || chr(10) || 'Description: ' || coalesce(description, 'No description') || chr(10)
+  || 'Language: ' || language || chr(10) || 'Stars: ' || CAST(stars AS VARCHAR) || chr(10) || 'URL: ' || url || chr(10) AS content FROM repos
+UNION ALL SELECT path, 'code', 'File: ' || path || chr(10) || chr(10) || content FROM files WHERE content <> ''
+UNION ALL SELECT 'analysis_summary', 'analysis', 'Analysis Summary:' || chr(10) || 'Total Issues: ' || CAST((SELECT sum(n) FROM c) AS VARCHAR) || chr(10)
+  || 'Issues by Category: {{' || (SELECT string_agg('''' || v || ''': ' || CAST(n AS VARCHAR), ', ' ORDER BY '''' || v || ''': ' || CAST(n AS VARCHAR)) FROM c) || '}}' || chr(10)
+  || 'Issues by Severity: {{' || (SELECT string_agg('''' || v || ''': ' || CAST(n AS VARCHAR), ', ' ORDER BY '''' || v || ''': ' || CAST(n AS VARCHAR)) FROM s) || '}}' || chr(10)"""
+ORACLE["last_turns"] = """WITH t AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WHERE role IN ('user', 'assistant')
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM t WHERE role = 'user')
+SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS no, substr(text, 1, 60) || '...' AS question_preview,
+  CASE WHEN nr = 'assistant' THEN substr(nt, 1, 100) ELSE '' END || '...' AS answer_preview FROM q WHERE back <= 5"""

@@ -190,3 +190,394 @@ def duplicate_links(spark, sf_dir):
 def duplicate_blocks(spark, sf_dir):
     found = duplicates.duplication_issues(duplicates.blocks(files_of(spark, sf_dir)))
     return found.select("rule_id", "message", "file1", "file2", "lines1", "lines2", "similarity", "findings")
+
+
+# ---- structure -----------------------------------------------------------------------------------------
+
+
+def _entities(spark, sf_dir):
+    from codestrata.operators import entities
+
+    return entities.entities(files_of(spark, sf_dir))
+
+
+@query
+def entity_list(spark, sf_dir):
+    return _entities(spark, sf_dir).select("file_path", "name", "type", "line_number", F.size("parameters").alias("n_params"))
+
+
+@query
+def entity_details(spark, sf_dir):
+    return _entities(spark, sf_dir).select("*", F.array_join("dependencies", ",").alias("deps")).drop("dependencies", "parameters")
+
+
+@query
+def entity_edges(spark, sf_dir):
+    from codestrata.operators import entities
+
+    return entities.edges(_entities(spark, sf_dir))
+
+
+@query
+def entity_edge_lookup(spark, sf_dir):
+    from codestrata.operators import entities
+
+    return entities.edges_of(entities.edges(_entities(spark, sf_dir)), "os")
+
+
+@query
+def entity_name_lookup(spark, sf_dir):
+    from codestrata.operators import entities
+
+    return entities.find_entities(_entities(spark, sf_dir), "Widget_1").select("file_path", "name", "type", "line_number")
+
+
+@query
+def entity_type_counts(spark, sf_dir):
+    from codestrata.operators import entities
+
+    return entities.entity_counts(_entities(spark, sf_dir))
+
+
+@query
+def structure_totals(spark, sf_dir):
+    from codestrata.operators import entities
+
+    found = _entities(spark, sf_dir)
+    return entities.structure_totals(files_of(spark, sf_dir), found, entities.edges(found))
+
+
+@query
+def top_dependencies(spark, sf_dir):
+    from codestrata.operators import entities
+
+    return entities.top_dependencies(_entities(spark, sf_dir))
+
+
+@query
+def codebase_summary(spark, sf_dir):
+    from codestrata.operators import entities
+
+    f, found = files_of(spark, sf_dir), _entities(spark, sf_dir)
+    return entities.codebase_summary("corpus", entities.structure_totals(f, found, entities.edges(found)), found)
+
+
+@query
+def import_graph(spark, sf_dir):
+    from codestrata.operators import entities
+
+    return entities.import_edges(files_of(spark, sf_dir), _entities(spark, sf_dir))
+
+
+@query
+def import_degrees(spark, sf_dir):
+    from codestrata.operators import entities
+
+    return entities.import_degrees(entities.import_edges(files_of(spark, sf_dir), _entities(spark, sf_dir)))
+
+
+# ---- documents and chunks ------------------------------------------------------------------------------
+
+
+def _code_documents(spark, sf_dir):
+    from codestrata.operators import documents, entities
+
+    return documents.code_documents(entities.entity_files(files_of(spark, sf_dir)))
+
+
+def _text_chunks(spark, sf_dir):
+    """Fixed chunks of the raw documents table."""
+    from codestrata.operators import documents
+    from codestrata.sources.tables import files_from_table, spread
+
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(
+        F.concat(F.col("source"), F.lit("/m"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text", "doc_id"
+    )
+    plain = documents.text_documents(files_from_table(docs, content="text"))
+    return documents.chunks(plain, "fixed")
+
+
+@query
+def code_documents(spark, sf_dir):
+    return _code_documents(spark, sf_dir).drop("code_content")
+
+
+@query
+def document_metadata(spark, sf_dir):
+    from codestrata.operators import documents
+
+    return documents.safe_metadata(_code_documents(spark, sf_dir))
+
+
+@query
+def chunk_fixed(spark, sf_dir):
+    return _text_chunks(spark, sf_dir).select("chunk_id", "source", "chunk_no", "text")
+
+
+@query
+def chunk_recursive(spark, sf_dir):
+    from codestrata.operators import documents
+    from codestrata.sources.tables import files_from_table, spread
+
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(F.concat(F.lit("m"), "doc_id", F.lit(".txt")).alias("path"), "text")
+    return documents.chunks(documents.text_documents(files_from_table(docs, content="text"))).select("chunk_id", "text")
+
+
+@query
+def chunk_stats(spark, sf_dir):
+    from codestrata.operators import documents
+
+    return documents.chunk_stats(_text_chunks(spark, sf_dir).withColumn("language", F.substring_index("source", "/", 1)))
+
+
+@query
+def corpus_chunk_summary(spark, sf_dir):
+    from codestrata.operators import documents
+
+    return documents.chunk_summary_text(_text_chunks(spark, sf_dir))
+
+
+@query
+def code_chunk_stats(spark, sf_dir):
+    from codestrata.operators import documents
+
+    return documents.chunk_stats(documents.chunks(_code_documents(spark, sf_dir)))
+
+
+@query
+def index_report(spark, sf_dir):
+    from codestrata.operators import documents, entities
+
+    docs, found = documents.text_documents(files_of(spark, sf_dir)), _entities(spark, sf_dir)
+    return documents.index_report(docs, documents.chunks(docs, "fixed"), found, entities.edges(found))
+
+
+# ---- retrieval -----------------------------------------------------------------------------------------
+
+
+def _vectors(spark, sf_dir, df, number):
+    """Vector column for any rows, from the embeddings table, by a row number modulo its size."""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = emb.count()
+    return df.withColumn("vec_id", F.pmod(number, F.lit(n))).join(emb, "vec_id").drop("vec_id")
+
+
+def _questions(spark, sf_dir):
+    """User turns; some of them mention a file or ask for a kind of entity."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    key = F.col("conv_id") * 31 + F.col("turn")
+    suffix = (
+        F.when(key % 4 == 0, F.concat(F.lit(" What is in m"), F.col("conv_id").cast("string"), F.lit(".txt, file m"), F.col("conv_id").cast("string"), F.lit(".txt?")))
+        .when(key % 4 == 1, F.lit(" Which function is the longest?"))
+        .when(key % 4 == 2, F.concat(F.lit(" Explain load_"), (F.col("conv_id") * 5 + 2).cast("string"), F.lit(" and Widget_"), (F.col("conv_id") * 5).cast("string")))
+        .otherwise(F.concat(F.lit(" Show m"), (F.col("conv_id") * 5).cast("string"), F.lit(".py please")))
+    )
+    asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), key.alias("key"), F.concat("text", suffix).alias("question"))
+    return _vectors(spark, sf_dir, asked, F.col("key")).drop("key")
+
+
+def _indexed_chunks(spark, sf_dir):
+    chunks = _text_chunks(spark, sf_dir).withColumns(
+        {
+            "doc_no": F.lit(0), "entity_name": F.lit(None).cast("string"), "line_number": F.lit(None).cast("int"),
+            "language": F.lit("Text"), "ast_parsed": F.lit(False),
+        }
+    )
+    number = F.regexp_extract("source", r"m(\d+)\.txt$", 1).cast("bigint") * 7 + F.col("chunk_no")
+    return _vectors(spark, sf_dir, chunks, number)
+
+
+@query
+def knn_topk(spark, sf_dir):
+    from codestrata.operators.knn import nearest
+
+    emb = table(spark, sf_dir, "embeddings")
+    near = nearest(emb.select(F.col("vec_id").alias("qid"), "embedding"), emb.select(F.col("vec_id").alias("item_id"), "embedding"), 5)
+    return near.select("qid", "item_id", F.round("dist", 6).alias("dist"), "rank")
+
+
+@query
+def question_filename(spark, sf_dir):
+    from codestrata.operators.retrieval import filename_in
+
+    return _questions(spark, sf_dir).select("qid", filename_in(F.col("question")).alias("filename"))
+
+
+@query
+def canned_questions(spark, sf_dir):
+    from codestrata.operators.retrieval import canned_question
+
+    kinds = analysis.issues(files_of(spark, sf_dir)).groupBy("category").agg(F.count(F.lit(1)).alias("issues"))
+    return kinds.select("category", "issues", canned_question(F.col("category")).alias("question"))
+
+
+@query
+def file_hits(spark, sf_dir):
+    from codestrata.operators import retrieval
+
+    names = _questions(spark, sf_dir).select(retrieval.filename_in(F.col("question")).alias("filename")).where("filename IS NOT NULL")
+    return retrieval.by_filename(_indexed_chunks(spark, sf_dir), names).select("filename", "chunk_id", "hit_no", "total_hits")
+
+
+@query
+def file_views(spark, sf_dir):
+    from codestrata.operators import retrieval
+
+    chunks = _indexed_chunks(spark, sf_dir)
+    return retrieval.file_views(retrieval.by_filename(chunks, chunks.select("filename")))
+
+
+@query
+def chunks_by_extension(spark, sf_dir):
+    from codestrata.operators import documents, retrieval
+
+    chunks = documents.chunks(documents.text_documents(files_of(spark, sf_dir)), "fixed")
+    return retrieval.by_extension(chunks, ".tsx").select("chunk_id", "filename")
+
+
+def _basic_hits(spark, sf_dir, k=3):
+    from codestrata.operators import retrieval
+
+    return retrieval.retrieve(_questions(spark, sf_dir), _indexed_chunks(spark, sf_dir), k=k)
+
+
+@query
+def retrieval_hits(spark, sf_dir):
+    return _basic_hits(spark, sf_dir)
+
+
+@query
+def context_budget(spark, sf_dir):
+    from codestrata.operators import retrieval
+
+    return retrieval.contexts(_basic_hits(spark, sf_dir, 10))
+
+
+@query
+def hit_sources(spark, sf_dir):
+    from codestrata.operators import retrieval
+
+    return retrieval.sources(_basic_hits(spark, sf_dir, 10)).withColumn("sources", F.array_join("sources", "; "))
+
+
+@query
+def prompts(spark, sf_dir):
+    from codestrata.operators import retrieval
+
+    q = _questions(spark, sf_dir)
+    return retrieval.prompts(q, _basic_hits(spark, sf_dir)).withColumn("sources", F.array_join("sources", "; "))
+
+
+@query
+def simple_prompts(spark, sf_dir):
+    from codestrata.operators import retrieval
+
+    return retrieval.simple_prompts(_questions(spark, sf_dir), _basic_hits(spark, sf_dir))
+
+
+@query
+def search_report(spark, sf_dir):
+    from codestrata.operators import retrieval
+
+    out = retrieval.search_report(_questions(spark, sf_dir), _indexed_chunks(spark, sf_dir))
+    return out.withColumns({c: F.coalesce(F.array_join(c, "|"), F.lit("")) for c in ("file_previews", "similarity_previews")})
+
+
+@query
+def related_entities(spark, sf_dir):
+    from codestrata.operators import retrieval
+
+    out = retrieval.related_entities(_questions(spark, sf_dir), _entities(spark, sf_dir))
+    return out.select("qid", "related_no", "file_path", "name", "type", "line_number")
+
+
+@query
+def code_prompts(spark, sf_dir):
+    from codestrata.plans import index
+
+    built = index.build_index(files_of(spark, sf_dir))
+    q = _questions(spark, sf_dir).drop("embedding")
+    embed = index.fit_term_embedder(built.chunks, "text")
+    return index.answer_prompts(built, embed(q, "question")).withColumn("sources", F.array_join("sources", "; "))
+
+
+# ---- repositories and history --------------------------------------------------------------------------
+
+
+def _landed_repositories(spark, sf_dir):
+    """One landed JSON record per document source; some fields are missing in some records."""
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.min("lang").alias("lang"), F.max("doc_id").alias("last")
+    )
+    return rows.selectExpr(
+        """to_json(named_struct('name', source, 'full_name', lang || '/' || source,
+           'description', CASE WHEN last % 3 < 2 THEN 'python tools ' || source END,
+           'language', CASE WHEN n % 4 < 3 THEN 'Python' ELSE 'Go' END,
+           'stargazers_count', CASE WHEN n % 5 > 0 THEN chars END, 'size', n,
+           'default_branch', CASE WHEN n % 2 = 0 THEN 'trunk' END, 'topics', CASE WHEN n % 2 = 1 THEN array(lang, source) END,
+           'license', CASE WHEN n % 3 = 1 THEN named_struct('name', 'MIT') END,
+           'html_url', 'https://github.com/' || lang || '/' || source || '.git', 'created_at', '2024-01-01T00:00:00Z')) AS value"""
+    )
+
+
+@query
+def repository_metadata(spark, sf_dir):
+    from codestrata.sources import repos
+
+    out = repos.parse_repositories(_landed_repositories(spark, sf_dir))
+    return out.withColumns({"topics": F.array_join("topics", ","), "created_at": F.date_format("created_at", "yyyy-MM-dd")}).drop("updated_at")
+
+
+@query
+def popular_repositories(spark, sf_dir):
+    from codestrata.sources import repos
+
+    return repos.popular(repos.parse_repositories(_landed_repositories(spark, sf_dir)))
+
+
+def _listing(spark, sf_dir):
+    return files_of(spark, sf_dir).select(
+        F.substring_index("path", "/", 1).alias("repo"), F.lit("file").alias("type"), "path", "name", "size",
+        F.concat(F.lit("https://host/"), F.col("path")).alias("download_url"),
+    )
+
+
+@query
+def repository_files(spark, sf_dir):
+    from codestrata.sources import repos
+
+    return repos.list_files(_listing(spark, sf_dir), 20)
+
+
+@query
+def repository_file_counts(spark, sf_dir):
+    from codestrata.sources import repos
+
+    return repos.supported_counts(_listing(spark, sf_dir))
+
+
+@query
+def repository_urls(spark, sf_dir):
+    from codestrata.sources import repos
+
+    url = F.concat(F.replace("url", F.lit("example.com"), F.lit("github.com")), F.lit(".git@dev"))
+    pages = table(spark, sf_dir, "pages").select("page_id", repos.split_branch(url).alias("s"))
+    parsed = pages.select("page_id", "s.branch", repos.parse_url(F.col("s.url")).alias("r"))
+    return parsed.select("page_id", "branch", "r.owner", "r.name", F.col("r.url").alias("url"))
+
+
+@query
+def repository_documents(spark, sf_dir):
+    from codestrata.operators import documents
+    from codestrata.sources import repos
+
+    f = files_of(spark, sf_dir)
+    meta = repos.parse_repositories(_landed_repositories(spark, sf_dir))
+    return documents.repository_documents(meta, f, rollups.selection_rollup(analysis.issues(f)))
+
+
+@query
+def last_turns(spark, sf_dir):
+    from codestrata.operators import history
+
+    return history.last_turns(history.question_answers(table(spark, sf_dir, "conversations")))

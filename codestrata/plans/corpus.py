@@ -102,8 +102,11 @@ TEST_COLUMNS = [
     "doc_id",
     """dir || '/' || CASE doc_id % 3 WHEN 0 THEN 'test_' || stem || '.py' WHEN 1 THEN stem || '.spec.js'
        ELSE stem || '_test.py' END AS path""",
-    f"""COALESCE(CASE doc_id % 3 WHEN 1 THEN 'function check_' || id || '() {{ return load_' || id || '(1, 2) }}' || {NL}
-        ELSE 'def check_' || id || '():' || {NL} || '    assert run_' || id || '(1, 2)' || {NL} END, '') AS content""",
+    f"""COALESCE(CASE doc_id % 3 WHEN 1 THEN
+          'import {{ load }} from ' || chr(39) || './' || stem || chr(39) || chr(59) || {NL}
+          || 'function check_' || id || '() {{ return load_' || id || '(1, 2) }}' || {NL}
+        ELSE 'from ' || stem || ' import run_' || id || {NL}
+          || 'def check_' || id || '():' || {NL} || '    assert run_' || id || '(1, 2)' || {NL} END, '') AS content""",
 ]
 TEST_FILTER = "doc_id % 7 < 2"
 
