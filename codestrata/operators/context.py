@@ -22,19 +22,26 @@ def _is_code(stripped: Column) -> Column:
     return (stripped != "") & ~F.startswith(stripped, F.lit("#"))
 
 
+def window(lines: Column, start: Column, n: int) -> Column:
+    """Up to ``n`` lines from the 0-based ``start``.  Costs the window only; slice() would copy the whole file."""
+    last = F.least(start + (n - 1), F.size(lines) - 1)
+    return F.when(
+        start < F.size(lines), F.transform(F.sequence(start, last), lambda j: F.get(lines, j))
+    ).otherwise(F.array().cast("array<string>"))
+
+
 def documented_after(lines: Column, i: Column) -> Column:
     """A docstring is the first thing, other than blanks and comments, in the five lines after the definition."""
     telling = F.filter(
-        F.slice(lines, i + 2, F.lit(DOC_WINDOW)), lambda t: t.rlike(DOC_QUOTES) | _is_code(strip(t))
+        window(lines, i + 1, DOC_WINDOW), lambda t: t.rlike(DOC_QUOTES) | _is_code(strip(t))
     )
     return F.coalesce(F.get(telling, F.lit(0)).rlike(DOC_QUOTES), F.lit(False))
 
 
 def has_jsdoc(lines: Column, i: Column) -> Column:
     """A doc comment on the line itself or on one of the four above."""
-    start = F.greatest(i - (JSDOC_WINDOW - 2), F.lit(1))
-    around = F.slice(lines, start, i + 2 - start)
-    return F.exists(around, lambda t: F.contains(t, F.lit("/**")) | F.contains(t, F.lit("* @")))
+    above = F.sequence(F.greatest(i - (JSDOC_WINDOW - 1), F.lit(0)), i)
+    return F.exists(F.transform(above, lambda j: F.get(lines, j)), lambda t: F.contains(t, F.lit("/**")) | F.contains(t, F.lit("* @")))
 
 
 def has_module_docstring(lines: Column) -> Column:
@@ -44,9 +51,9 @@ def has_module_docstring(lines: Column) -> Column:
 
 def function_body(lines: Column, i: Column) -> Column:
     """Stripped code lines after a definition, up to the next ``def`` and at most fifty lines ahead."""
-    window = F.transform(F.slice(lines, i + 2, F.lit(COMPLEX_WINDOW)), strip)
-    stop = F.array_position(F.transform(window, lambda t, k: (k > 0) & F.startswith(t, F.lit("def "))), F.lit(True))
-    return F.filter(F.when(stop > 0, F.slice(window, F.lit(1), (stop - 1).cast("int"))).otherwise(window), _is_code)
+    ahead = F.transform(window(lines, i + 1, COMPLEX_WINDOW), strip)
+    stop = F.array_position(F.transform(ahead, lambda t, k: (k > 0) & F.startswith(t, F.lit("def "))), F.lit(True))
+    return F.filter(F.when(stop > 0, F.slice(ahead, F.lit(1), (stop - 1).cast("int"))).otherwise(ahead), _is_code)
 
 
 def is_complex_function(lines: Column, i: Column) -> Column:

@@ -53,16 +53,21 @@ def blocks(files: DataFrame) -> DataFrame:
     the only ones that need their subsets later.
     """
     fps = F.transform(F.split(normalize_text(F.col("content")), "\n"), F.md5)
+    # Elements are taken one by one: slice() copies its whole input, which is quadratic over a file.
     windows = F.transform(
-        F.sequence(F.lit(1), F.size("fps") - (BLOCK_LINES - 1)),
-        lambda i: F.array_sort(F.array_distinct(F.slice("fps", i, F.lit(BLOCK_LINES)))),
+        F.sequence(F.lit(0), F.size("fps") - BLOCK_LINES),
+        lambda i: F.array(*[F.get("fps", i + j) for j in range(BLOCK_LINES)]),
     )
+    # Short files are dropped after the explode: a filter on the size would be pushed down to the text and
+    # evaluate the whole normalisation a second time.
+    enough = F.when(F.size("fps") >= BLOCK_LINES, windows)
     group = F.when(F.col("language") == "python", "python").otherwise("script")
     return (
         analysable(files)
         .select("path", group.alias("lang_group"), fps.alias("fps"))
-        .where(F.size("fps") >= BLOCK_LINES)
-        .select("lang_group", "path", F.posexplode_outer(windows).alias("pos", "key"))
+        .select("lang_group", "path", F.posexplode_outer(enough).alias("pos", "window"))
+        .where(F.col("pos").isNotNull())
+        .select("lang_group", "path", "pos", F.sort_array(F.array_distinct("window")).alias("key"))
         .select(
             "lang_group",
             "path",
