@@ -196,9 +196,11 @@ def duplicate_blocks(spark, sf_dir):
 
 
 def _entities(spark, sf_dir):
+    """Entity table, parsed once and staged: several queries read it more than once."""
     from codestrata.operators import entities
+    from codestrata.session import stage
 
-    return entities.entities(files_of(spark, sf_dir))
+    return stage(entities.entities(files_of(spark, sf_dir)))
 
 
 @query

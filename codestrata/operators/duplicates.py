@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import name_of
 from ..functions.text import SPACE, WORD
-from ..session import stage
+from ..session import salted_join, stage
 from ..sources.tables import analysable
 
 # Window length and similarity threshold.
@@ -26,7 +26,6 @@ SIMILARITY = 0.8
 
 # Size up to which a class is listed pair by pair.
 MAX_CLASS_SIZE = 16
-_LINK_SALTS = 16
 
 _BLANK = SPACE.replace(r"\x{9}-\x{d}", r"\x{9}\x{b}-\x{d}")
 _COUNT = "decimal(38,0)"
@@ -113,8 +112,8 @@ def duplicate_classes(counts: DataFrame, min_files: int = 2) -> DataFrame:
 def duplicate_links(counts: DataFrame) -> DataFrame:
     """Five-set classes and the four-set classes inside them, with the number of cross-file pairs.
 
-    ``pairs = members5 * members4 - sum over files of members5(file) * members4(file)``.  The correction joins
-    per-file counts and is salted by file, so a class that is in a third of all files still spreads out.
+    ``pairs = members5 * members4 - sum over files of members5(file) * members4(file)``.  Both joins that a common
+    block could overload are salted.
     """
     all_classes = duplicate_classes(counts, min_files=1)
     five = all_classes.where(F.col("n") == BLOCK_LINES).select(
@@ -126,15 +125,14 @@ def duplicate_links(counts: DataFrame) -> DataFrame:
     four = all_classes.where(F.col("n") == BLOCK_LINES - 1).select(
         "lang_group", F.col("block_id").alias("block4"), F.col("members").alias("members4")
     )
-    links = five.join(four, ["lang_group", "block4"])
-    salt = F.pmod(F.xxhash64("path"), F.lit(_LINK_SALTS)).cast("int").alias("salt")
-    per_file = counts.select("lang_group", "block_id", "path", "cnt", salt)
-    salted = links.select(
-        "lang_group", "block5", "block4", F.explode(F.sequence(F.lit(0), F.lit(_LINK_SALTS - 1))).alias("salt")
-    )
-    in_five = salted.join(
-        per_file.select("lang_group", F.col("block_id").alias("block5"), "salt", "path", F.col("cnt").alias("cnt5")),
-        ["lang_group", "block5", "salt"],
+    # One four-set may lie inside a large share of all five-sets, and one five-set in a large share of all files.
+    links = salted_join(five, four, ["lang_group", "block4"], "block5")
+    per_file = counts.select("lang_group", "block_id", "path", "cnt")
+    in_five = salted_join(
+        per_file.select("lang_group", F.col("block_id").alias("block5"), "path", F.col("cnt").alias("cnt5")),
+        links.select("lang_group", "block5", "block4"),
+        ["lang_group", "block5"],
+        "path",
     )
     same_file = (
         in_five.join(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import CODE_EXTS, display_language
 from ..functions.structure import extract_entities
+from ..session import salted_join
 from ..sources.tables import analysable
 
 
@@ -30,7 +31,8 @@ def entities(files: DataFrame) -> DataFrame:
 def edges(entities_df: DataFrame) -> DataFrame:
     """'uses' edges: a dependency that is the name of an entity of the same file.
 
-    Keyed by file and name, so a large file spreads over tasks; names are made distinct first.
+    Keyed by file and name, so a large file spreads over tasks; names are made distinct first.  The table is read
+    twice: pass a staged or stored one, so that no file is parsed twice.
     """
     uses = entities_df.select(
         "file_path", F.col("name").alias("source"), "line_number", F.explode("dependencies").alias("target")
@@ -139,7 +141,8 @@ def import_edges(files: DataFrame, entities_df: DataFrame) -> DataFrame:
     targets = files.where(F.col("language").isNotNull()).select(
         F.col("path").alias("target"), (F.col("language") == "python").alias("py"), F.concat_ws("/", "parent", "stem").alias("key")
     )
-    return sources.join(targets, ["py", "key"]).select("source", "target").distinct()
+    # One module may be imported by a large share of all files; its targets are at most a few suffixes.
+    return salted_join(sources, targets, ["py", "key"], "source").select("source", "target").distinct()
 
 
 def import_degrees(import_edges_df: DataFrame) -> DataFrame:

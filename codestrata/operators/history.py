@@ -10,15 +10,13 @@ LAST_TURNS, QUESTION_CHARS, ANSWER_CHARS = 5, 60, 100
 
 
 def question_answers(conversations: DataFrame) -> DataFrame:
-    """User turns with the assistant turn that follows, from ``(conv_id, turn, role, text)``."""
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    paired = conversations.where(F.col("role").isin("user", "assistant")).select(
-        "conv_id", "turn", "role", F.col("text").alias("question"),
-        F.lead("role").over(order).alias("next_role"), F.lead("text").over(order).alias("next_text"),
-    )
-    return paired.where("role = 'user'").select(
-        "conv_id", "turn", "question", F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("answer")
-    )
+    """User turns with the assistant turn that follows, from ``(conv_id, turn, role, text)``.
+
+    Turns are numbered one by one, so the answer is found by key and a very long conversation spreads over tasks.
+    """
+    asked = conversations.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    answers = conversations.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return asked.join(answers, ["conv_id", "turn"], "left").select("conv_id", "turn", "question", "answer")
 
 
 def last_turns(turns: DataFrame, n: int = LAST_TURNS) -> DataFrame:

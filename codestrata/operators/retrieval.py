@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD, SPACE, strip, truncate
+from ..functions.text import SPACE, WORD, strip, truncate
+from ..session import broadcast_if_small, salted_join, stage
 from .knn import nearest
 
 # File-name patterns in order of preference, and the limits of the retrieval steps.
@@ -54,7 +55,7 @@ def by_filename(chunks: DataFrame, names: DataFrame) -> DataFrame:
     A popular file name may own a large share of the index.  The chunks are ranked within (file name, kind) and
     cut before the shuffle, and the totals come from a combined count, so no task sees a whole name.
     """
-    asked = chunks.join(names.select("filename").distinct(), "filename", "left_semi").withColumn(
+    asked = chunks.join(broadcast_if_small(names.select("filename").distinct()), "filename", "left_semi").withColumn(
         "is_entity", F.coalesce(F.col("type") == "entity", F.lit(False))
     )
     totals = asked.groupBy("filename").agg(F.count(F.lit(1)).alias("total_hits"))
@@ -124,32 +125,23 @@ def related_entities(questions: DataFrame, entities: DataFrame, limit: int = MAX
     """First entities related to each question: by name containment either way, then by the kind it asks for.
 
     Containment is an equality join on substrings of the lengths that occur on the other side.  Entities are
-    reduced to the first per name before they meet a question, so repeated names cost nothing.
+    reduced to the first per name before they meet a question, so repeated names cost nothing.  The entity
+    table is read several times: pass a staged or stored one.
     """
-    order = F.struct("file_path", "pos")
-    keep = F.struct("file_path", "pos", "name", "type", "line_number", "content", "docstring", "parameters", "dependencies")
-    first = entities.groupBy("name").agg(F.min_by(keep, order).alias("e")).select(
-        F.lower("name").alias("low"), "name", "e"
-    )
+    at = F.struct("file_path", "pos")
+    first = entities.groupBy("name").agg(F.min(at).alias("at")).select(F.lower("name").alias("low"), "name", "at")
     q = questions.select("qid", F.lower("question").alias("q"))
-    # Distinct lengths of one side, as one row: names are short, so it is a short list.
-    name_lengths = first.agg(F.collect_set(F.length("low")).alias("lengths"))
-    q_lengths = q.agg(F.collect_set(F.length("q")).alias("lengths"))
-    longest = first.agg(F.max(F.length("low")).alias("m")).first()["m"] or 0
-    n_len = name_lengths.first()["lengths"] or []
-    q_len = [n for n in (q_lengths.first()["lengths"] or []) if 0 < n <= longest]
-    in_question = (
-        _pieces(q, "q", n_len, "low").join(first, "low").select("qid", "name", "e")
-    )
-    named = in_question
+    # Lengths that occur on each side: names are short, so both lists are short.
+    n_len = sorted(first.agg(F.collect_set(F.length("low"))).first()[0] or [])
+    q_len = sorted(n for (n,) in q.select(F.length("q")).distinct().where(F.length("q").between(1, max(n_len, default=0))).collect())
+    # A one-letter name occurs in most questions: spread its matches by question.
+    named = salted_join(_pieces(q, "q", n_len, "low"), first, ["low"], "qid").select("qid", "name", "at")
     if q_len:
-        pieces = _pieces(first, "low", q_len, "q")
-        named = named.unionByName(
-            q.where(F.length("q") <= longest).join(pieces, "q").select("qid", "name", "e")
-        )
+        short = q.where(F.length("q") <= max(q_len))
+        named = named.unionByName(salted_join(_pieces(first, "low", q_len, "q"), short, ["q"], "name").select("qid", "name", "at"))
     # An empty question is contained in every name: the first few names serve all of them.
-    by_order = first.orderBy("e.file_path", "e.pos").limit(limit).select(F.lit("").alias("q"), "name", "e")
-    named = named.unionByName(q.where("q = ''").join(F.broadcast(by_order), "q").select("qid", "name", "e"))
+    by_order = first.orderBy("at").limit(limit).select(F.lit("").alias("q"), "name", "at")
+    named = named.unionByName(q.where("q = ''").join(F.broadcast(by_order), "q").select("qid", "name", "at"))
 
     # By kind: enough first names of a kind to fill the limit even when all named ones are among them.
     kinds = None
@@ -157,19 +149,27 @@ def related_entities(questions: DataFrame, entities: DataFrame, limit: int = MAX
         one = (
             entities.where(F.col("type") == kind)
             .groupBy("name")
-            .agg(F.min_by(keep, order).alias("e"))
-            .orderBy("e.file_path", "e.pos")
+            .agg(F.min(at).alias("at"))
+            .orderBy("at")
             .limit(2 * limit)
-            .select(F.lit(kind).alias("kind"), "name", "e")
+            .select(F.lit(kind).alias("kind"), "name", "at")
         )
         kinds = one if kinds is None else kinds.unionByName(one)
     asked = F.when(F.contains("q", F.lit("function")), "function").when(F.contains("q", F.lit("class")), "class")
-    by_kind = q.withColumn("kind", asked).where(F.col("kind").isNotNull()).join(F.broadcast(kinds), "kind").select("qid", "name", "e")
+    by_kind = q.withColumn("kind", asked).where(F.col("kind").isNotNull()).join(F.broadcast(kinds), "kind").select("qid", "name", "at")
 
     staged = named.select("*", F.lit(0).alias("stage")).unionByName(by_kind.select("*", F.lit(1).alias("stage")))
-    unique = staged.groupBy("qid", "name").agg(F.min(F.struct("stage", "e.file_path", "e.pos")).alias("at"), F.min_by("e", "stage").alias("e"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("at"))
-    return unique.withColumn("related_no", rank).where(F.col("related_no") <= limit).select("qid", "related_no", "e.*")
+    unique = staged.groupBy("qid", "name").agg(F.min(F.struct("stage", "at")).alias("best"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("best"))
+    chosen = stage(
+        unique.withColumn("related_no", rank)
+        .where(F.col("related_no") <= limit)
+        .select("qid", "related_no", F.col("best.at.file_path").alias("file_path"), F.col("best.at.pos").alias("pos"))
+    )
+    # Only now the wide entity rows are met, by their key.
+    return entities.join(broadcast_if_small(chosen), ["file_path", "pos"]).select(
+        "qid", "related_no", "file_path", "pos", "name", "type", "line_number", "content", "docstring", "parameters", "dependencies"
+    )
 
 
 # ---- hits ----------------------------------------------------------------------------------------------
@@ -230,30 +230,46 @@ def retrieve(
     questions: DataFrame,
     chunks: DataFrame,
     entities: DataFrame | None = None,
-    facts: DataFrame | None = None,
+    structure: tuple[DataFrame, DataFrame] | None = None,
     k: int = 3,
 ) -> DataFrame:
-    """At most ``k`` hits per question, in order; see the module text for the three kinds."""
+    """At most ``k`` hits per question, in order; see the module text for the three kinds.
+
+    ``structure`` is the pair (files with their entities, edges) that enriches similarity hits; facts are only built
+    for the files that were hit.  Intermediate hits are a few rows per question and are staged, so the chunk table
+    is scanned once per kind of search.
+    """
     asked = questions.withColumn("filename", filename_in(F.col("question")))
     names = asked.where(F.col("filename").isNotNull()).select("qid", "filename")
     hits = by_filename(chunks, names).where(F.col("hit_no") <= min(k, MAX_FILE_RESULTS))
-    by_name = names.join(hits, "filename").select(
-        "qid", F.lit("file").alias("hit_kind"), "hit_no", "source", "filename", "type", "entity_name", "line_number", "text"
+    by_name = stage(
+        names.join(hits, "filename").select(
+            "qid", F.lit("file").alias("hit_kind"), "hit_no", "source", "filename", "type", "entity_name", "line_number", "text"
+        )
     )
     others = asked.drop("filename").join(by_name.select("qid").distinct(), "qid", "left_anti")
 
-    near = nearest(others.select("qid", "embedding"), chunks.select(F.col("chunk_id").alias("item_id"), "embedding"), k)
-    found = near.join(chunks.drop("embedding"), near["item_id"] == chunks["chunk_id"]).drop("item_id")
-    if facts is not None:
+    near = stage(nearest(others.select("qid", "embedding"), chunks.select(F.col("chunk_id").alias("item_id"), "embedding"), k))
+    keyed = near.withColumnRenamed("item_id", "chunk_id").drop("dist")
+    found = stage(chunks.drop("embedding").join(broadcast_if_small(keyed), "chunk_id"))
+    if structure is not None:
+        paths = broadcast_if_small(found.select("source").distinct())
+        parsed, edges = structure
+        facts = file_facts(
+            parsed.join(paths.select(F.col("source").alias("path")), "path", "left_semi"),
+            edges.join(paths.select(F.col("source").alias("file_path")), "file_path", "left_semi"),
+        )
         found = found.join(facts, "source", "left")
     similar = found.select(
         "qid", F.lit("similar").alias("hit_kind"), F.col("rank").alias("hit_no"), "source", "filename", "type", "entity_name",
-        "line_number", truncate(enriched_text(facts is not None), HIT_CHARS).alias("text"),
+        "line_number", truncate(enriched_text(structure is not None), HIT_CHARS).alias("text"),
     )
     out = by_name.unionByName(similar)
     if entities is not None:
-        found_n = similar.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-        short = others.join(found_n, "qid", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < k)
+        found_n = near.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+        short = stage(others.join(found_n, "qid", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < k).select("qid", "question", "n"))
+        if short.isEmpty():
+            return out.select(*HIT_COLUMNS)
         related = related_entities(short.select("qid", "question"), entities).where(F.col("related_no") <= MAX_RELATED_HITS)
         extra = related.join(short.select("qid", "n"), "qid").select(
             "qid", F.lit("related").alias("hit_kind"), (F.col("n") + F.col("related_no")).cast("int").alias("hit_no"),
@@ -356,8 +372,8 @@ def search_report(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFr
     names = asked.where(F.col("filename_detected").isNotNull()).select("qid", F.col("filename_detected").alias("filename"))
     preview = truncate(F.col("text"), PREVIEW_CHARS)
     file_hits = names.join(by_filename(chunks, names), "filename").select("qid", "hit_no", preview.alias("preview"))
-    near = nearest(asked.select("qid", "embedding"), chunks.select(F.col("chunk_id").alias("item_id"), "embedding"), k)
-    sim_hits = near.join(chunks.select(F.col("chunk_id").alias("item_id"), "text"), "item_id").select(
+    near = stage(nearest(asked.select("qid", "embedding"), chunks.select(F.col("chunk_id").alias("item_id"), "embedding"), k))
+    sim_hits = chunks.select(F.col("chunk_id").alias("item_id"), "text").join(broadcast_if_small(near.drop("dist")), "item_id").select(
         "qid", F.col("rank").alias("hit_no"), preview.alias("preview")
     )
     out = asked.select("qid", "question", "filename_detected")

@@ -21,11 +21,11 @@ class Index:
     """Tables of an indexed corpus; each can be written and read back on its own."""
 
     files: DataFrame
+    parsed: DataFrame
     entities: DataFrame
     edges: DataFrame
     documents: DataFrame
     chunks: DataFrame
-    facts: DataFrame
 
     def report(self) -> DataFrame:
         return documents.index_report(self.documents, self.chunks, self.entities, self.edges)
@@ -56,19 +56,19 @@ def fit_term_embedder(texts: DataFrame, column: str, dims: int = 256) -> Embedde
 
 
 def build_index(files: DataFrame, embed: Embedder | None = None, chunker: str = "recursive") -> Index:
-    """Documents, chunks and vectors of a files table.  The parsed structure is computed once and staged."""
+    """Documents, chunks and vectors of a files table.  Parsed structure and vectors are computed once and staged."""
     parsed = stage(entities.entity_files(files))
     found = parsed.select("path", F.posexplode("entities").alias("pos", "e")).select(F.col("path").alias("file_path"), "pos", "e.*")
-    used = entities.edges(found)
+    used = stage(entities.edges(found))
     docs = documents.code_documents(parsed)
     pieces = documents.chunks(docs, chunker)
     embed = embed or fit_term_embedder(pieces, "text")
-    return Index(files, found, used, docs, embed(pieces, "text"), retrieval.file_facts(parsed, used))
+    return Index(files, parsed, found, used, docs, stage(embed(pieces, "text")))
 
 
 def answer_prompts(index: Index, questions: DataFrame, name: str = "corpus", k: int = 3) -> DataFrame:
     """Prompt table for a batch of ``questions(qid, question, embedding)``."""
-    hits = stage(retrieval.retrieve(questions, index.chunks, index.entities, index.facts, k))
+    hits = stage(retrieval.retrieve(questions, index.chunks, index.entities, (index.parsed, index.edges), k))
     names = questions.select(retrieval.filename_in(F.col("question")).alias("filename")).where("filename IS NOT NULL")
     views = retrieval.file_views(retrieval.by_filename(index.chunks, names))
     return retrieval.prompts(questions, hits, index.summary_text(name), views)

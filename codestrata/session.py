@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the jobs rely on; a cluster sets its own sizes on top.
 RECOMMENDED = {
@@ -12,8 +13,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Rows of the text tables are whole files, so batches to Python are kept short.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # Rows of the text tables are whole files: batches to Python are limited by size, not only by rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 
@@ -34,3 +35,26 @@ def stage(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="codestrata-"))
     return df.checkpoint()
+
+
+# Rows of a narrow table (keys and short values) that may be broadcast: some tens of megabytes at most.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a narrow table when a count proves it small; a larger one takes the shuffle join.
+
+    The count stops at the bound.  Call it on staged or cheap tables.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], salt_by: str, salts: int = 16) -> DataFrame:
+    """Inner join in which one key may own a large share of ``many``.
+
+    Rows of ``many`` are spread by ``salt_by`` over ``salts`` copies of the matching rows of ``few``, so the rows of a
+    hot key reach that many tasks.  ``few`` should be narrow and have few rows per key.
+    """
+    salt = F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.withColumn("_salt", salt).join(copies, [*keys, "_salt"]).drop("_salt")

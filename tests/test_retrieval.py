@@ -150,12 +150,12 @@ def test_index_and_answers(spark, make_files):
     assert report["chunks_created"] >= 5
     embed = index.fit_term_embedder(built.chunks, "text")
     q = embed(spark.createDataFrame([(1, "who calls charge amount"), (2, "explain view.js"), (3, "explain gone.py")], "qid int, question string"), "question")
-    hits = retrieval.retrieve(q, built.chunks, built.entities, built.facts, 3)
+    hits = retrieval.retrieve(q, built.chunks, built.entities, (built.parsed, built.edges), 3)
     kinds = {}
     for r in hits.collect():
         kinds.setdefault(r["qid"], set()).add(r["hit_kind"])
     assert kinds == {1: {"similar"}, 2: {"file"}, 3: {"similar"}}
-    wide = retrieval.retrieve(q.where("qid = 1"), built.chunks, built.entities, built.facts, 20).orderBy("hit_no").collect()
+    wide = retrieval.retrieve(q.where("qid = 1"), built.chunks, built.entities, (built.parsed, built.edges), 20).orderBy("hit_no").collect()
     assert [r["entity_name"] for r in wide if r["hit_kind"] == "related"] == ["charge"]
     assert any("**Code Relationships:**" in r["text"] and "- pay uses charge (line 1)" in r["text"] for r in wide if r["hit_kind"] == "similar")
     prompts = index.answer_prompts(built, q)
