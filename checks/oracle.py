@@ -332,7 +332,8 @@ _imp = r"""import\s+(?:\{[^}]*\}|\w+)\s+from\s+['"]([^'"]+)['"]"""
 
 def _entity(lang: str, pattern: str, kind: str, rank: str, params: str = "NULL") -> str:
     return (
-        f"SELECT path, parent, language, line, text, regexp_extract(text, {_q(pattern)}, 1) AS name, '{kind}' AS type, {rank} AS rank, "
+        f"SELECT doc_id, path, parent, name AS filename, ext, language, line, text, regexp_extract(text, {_q(pattern)}, 1) AS name, '{kind}' AS type, "
+        f"{rank} AS rank, regexp_extract(text, {_q(pattern)}, 0) AS matched, "
         f"CAST({params} AS INTEGER) AS n_params, len(text) - len(ltrim(text, ' ')) AS indent FROM lines "
         f"WHERE language {'=' if lang == 'python' else '<>'} 'python' AND NOT broken AND regexp_matches(text, {_q(pattern)})"
     )
@@ -381,6 +382,53 @@ ORACLE["import_graph"] = f"WITH {IMPORTS} SELECT * FROM import_edges"
 ORACLE["import_degrees"] = f"""WITH {IMPORTS} SELECT path, sum(o) AS out_degree, sum(i) AS in_degree FROM (
   SELECT source AS path, 1 AS o, 0 AS i FROM import_edges UNION ALL SELECT target, 0, 1 FROM import_edges) GROUP BY path"""
 
+DEPS = f"""{EDGES},
+script_words AS (
+  SELECT s.path, s.name, s.line, unnest(regexp_extract_all(l.text, '\\w+')) AS w, false AS call FROM spans s JOIN lines l ON l.path = s.path AND l.line BETWEEN s.line AND s.last WHERE s.language <> 'python'
+  UNION ALL SELECT s.path, s.name, s.line, unnest(regexp_extract_all(l.text, '(\\w+)\\s*\\(', 1)), true FROM spans s JOIN lines l ON l.path = s.path AND l.line BETWEEN s.line AND s.last WHERE s.language <> 'python'),
+script_deps AS (SELECT path, name, line, count(DISTINCT w) AS n FROM script_words
+  WHERE call OR w NOT IN ('var', 'let', 'const', 'function', 'if', 'else', 'for', 'while', 'return') GROUP BY ALL),
+counted AS (SELECT e.*, CASE WHEN type = 'import' THEN 1 WHEN e.language <> 'python' THEN d.n
+    WHEN e.name LIKE 'run\\_%' ESCAPE '\\' THEN 7 + CAST(doc_id % 7 = 0 AS INTEGER) + 2 * CAST(doc_id % 6 = 0 AS INTEGER)
+    WHEN e.name LIKE 'helper%' THEN 5 + CAST(doc_id % 8 = 0 AS INTEGER) WHEN e.name LIKE 'branchy%' THEN 2
+    WHEN type = 'class' AND e.name LIKE 'Widget%' THEN 5 WHEN e.name = '__init__' THEN 4 WHEN e.name LIKE 'check%' THEN 1 ELSE 0 END AS deps,
+    CASE WHEN e.language = 'python' AND type = 'function' AND e.name LIKE 'run%' AND doc_id % 4 < 2 THEN 'Run.'
+         WHEN e.language = 'python' AND type = 'class' AND e.name LIKE 'Widget%' AND doc_id % 2 = 0 THEN 'A widget.' END AS docstring,
+    CASE WHEN type = 'import' OR e.language <> 'python' THEN matched ELSE ltrim((SELECT string_agg(l.text, chr(10) ORDER BY l.line) FROM lines l
+       WHERE l.path = e.path AND l.line BETWEEN e.line AND (SELECT max(m.line) FROM lines m, spans s WHERE m.path = e.path AND s.path = e.path
+         AND s.line = e.line AND s.name = e.name AND m.text <> '' AND m.line BETWEEN s.line AND s.last)), ' ') END AS content
+  FROM ents e LEFT JOIN script_deps d USING (path, name, line)),
+named_deps AS (SELECT name, deps FROM counted WHERE deps > 0 QUALIFY row_number() OVER (PARTITION BY name ORDER BY path DESC, pos DESC) = 1)"""
+ORACLE["top_dependencies"] = f"WITH {DEPS} SELECT name, CAST(deps AS INTEGER) AS dependencies FROM named_deps ORDER BY deps DESC, name LIMIT 5"
+ORACLE["codebase_summary"] = f"""WITH {DEPS}, top AS (SELECT name, deps FROM named_deps ORDER BY deps DESC, name LIMIT 5)
+SELECT 0 AS ord, 'Codebase Summary for corpus' AS line UNION ALL SELECT 1, ''
+UNION ALL SELECT 2, '**Files Analyzed:** ' || CAST(count(*) AS VARCHAR) FROM files UNION ALL SELECT 3, '**Code Entities:** ' || CAST(count(*) AS VARCHAR) FROM ents
+UNION ALL SELECT 4, '**Relationships:** ' || CAST(count(*) AS VARCHAR) FROM edges UNION ALL SELECT 5, '' UNION ALL SELECT 6, '**Entity Types:**'
+UNION ALL SELECT 7, '- ' || type || ': ' || CAST(count(*) AS VARCHAR) FROM ents GROUP BY type
+UNION ALL SELECT 8, '' UNION ALL SELECT 9, '**Most Complex Entities (by dependencies):**'
+UNION ALL SELECT 10, '- ' || name || ': ' || CAST(deps AS VARCHAR) || ' dependencies' FROM top"""
+ORACLE["entity_details"] = f"""WITH {DEPS} SELECT path AS file_path, CAST(pos AS INTEGER) AS pos, name, type, CAST(line AS INTEGER) AS line_number, content, docstring,
+  CAST(deps AS INTEGER) AS n_dependencies FROM counted"""
+_shown = "CASE ext WHEN '.py' THEN 'Python' WHEN '.js' THEN 'JavaScript' WHEN '.jsx' THEN 'JavaScript' ELSE 'TypeScript' END"
+_flag = lambda c: f"CASE WHEN {c} THEN 'True' ELSE 'False' END"
+ORACLE["document_metadata"] = f"""WITH {DEPS}
+SELECT path || '#0' AS doc_id, path AS source, name AS filename, ext AS file_extension, 'code_file' AS type, NULL AS entity_name, NULL AS entity_type,
+  NULL AS line_number, {_shown} AS language, 'True' AS ast_parsed, NULL AS has_docstring, NULL AS has_parameters, NULL AS has_dependencies,
+  substr(content, 1, 1000) AS code_content FROM files
+UNION ALL SELECT path || '#' || CAST(pos + 1 AS VARCHAR), path, filename, ext, 'entity', name, type, CAST(line AS VARCHAR), {_shown}, 'True',
+  {_flag('docstring IS NOT NULL')}, {_flag('coalesce(n_params, 0) > 0')}, {_flag('deps > 0')}, substr(content, 1, 1000) FROM counted"""
+
+ORACLE["file_documents"] = f"""WITH {DEPS},
+bullets AS (SELECT path, count(*) AS n, string_agg(DISTINCT type, ', ' ORDER BY type) AS types,
+  string_agg('- ' || name || ' (' || type || ') at line ' || CAST(line AS VARCHAR)
+    || coalesce(chr(10) || '  Docstring: ' || substr(docstring, 1, 100) || '...', '')
+    || CASE WHEN n_params > 0 THEN chr(10) || '  Parameters: ' || regexp_extract(text, '\\(([^)]*)\\)', 1) ELSE '' END, chr(10) ORDER BY pos) AS list
+  FROM counted GROUP BY path)
+SELECT f.path || '#0' AS doc_id, trim('File: ' || f.name || chr(10) || 'Language: ' || {_shown} || chr(10) || 'Extension: ' || f.ext || chr(10)
+  || 'Total Entities: ' || CAST(coalesce(b.n, 0) AS VARCHAR) || chr(10) || 'Entity Types: ' || coalesce(types, '') || chr(10) || chr(10)
+  || 'Code Content:' || chr(10) || f.content || chr(10) || chr(10) || 'AST Parsed Entities:' || chr(10) || coalesce(list, 'No entities found'), {TRIM}) AS content
+FROM files f LEFT JOIN bullets b USING (path)"""
+
 # ---- documents, chunks, retrieval ----------------------------------------------------------------------
 
 
@@ -436,8 +484,9 @@ named AS (SELECT *, CAST(rn AS INTEGER) AS hit_no FROM ranked WHERE total_hits <
 file_part AS (SELECT q.qid, 'file' AS hit_kind, n.hit_no, n.source, n.filename, n.text FROM questions q JOIN named n USING (filename) WHERE n.hit_no <= 3),
 vectors AS (SELECT c.*, e.embedding AS cv FROM chunks c JOIN embeddings e ON e.vec_id = (c.num * 7 + c.chunk_no) % (SELECT count(*) FROM embeddings)),
 pair AS (SELECT qid, qv, vec_id FROM questions WHERE {{which}}),
-near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, chunk_id) AS rank FROM (
-  SELECT p.qid, v.*, {_dist.format(a='p.qv', b='v.cv')} AS d FROM pair p, vectors v))"""
+close AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY d, chunk_id) AS rank FROM (
+  SELECT p.qid, v.chunk_id, {_dist.format(a='p.qv', b='v.cv')} AS d FROM pair p, vectors v) QUALIFY rank <= 10),
+near AS (SELECT * FROM close JOIN chunks USING (chunk_id))"""
 _info = """|| chr(10) || chr(10) || '**File Information:**' || chr(10) || '- Filename: ' || filename || chr(10) || '- Language: Text' || chr(10)
   || '- Extension: .txt' || chr(10) || '- AST Parsed: False' || chr(10) || '- Total Entities: 0' || chr(10) || '- Entity Types: ' || chr(10)"""
 

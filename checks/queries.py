@@ -210,7 +210,7 @@ def entity_list(spark, sf_dir):
 
 @query
 def entity_details(spark, sf_dir):
-    return _entities(spark, sf_dir).select("*", F.array_join("dependencies", ",").alias("deps")).drop("dependencies", "parameters")
+    return _entities(spark, sf_dir).withColumn("n_dependencies", F.size("dependencies")).drop("dependencies", "parameters")
 
 
 @query
@@ -304,6 +304,11 @@ def code_documents(spark, sf_dir):
     return _code_documents(spark, sf_dir).drop("code_content")
 
 
+@query
+def file_documents(spark, sf_dir):
+    return _code_documents(spark, sf_dir).where("type = 'code_file'").select("doc_id", "content")
+
+
 @query
 def document_metadata(spark, sf_dir):
     from codestrata.operators import documents

@@ -14,6 +14,9 @@ METADATA = [
 ]
 
 
+# The wording of the document templates in the functions below.
+
+
 def _text(*parts: Column | str) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 

@@ -85,6 +85,7 @@ def codebase_summary(name: str, totals: DataFrame, entities_df: DataFrame, n: in
     """Summary text as ordered lines ``(ord, line)``: totals, entity types and the entities with most dependencies."""
     text = F.col
 
+    # Headings and labels of the summary.
     def line(order: int, *parts: Column | str) -> Column:
         cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]
         return F.struct(F.lit(order).alias("ord"), F.concat(*cols).alias("line"))

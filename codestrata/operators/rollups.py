@@ -118,6 +118,7 @@ def selection_rollup(issues: DataFrame) -> DataFrame:
 
 def summary_report(summary: DataFrame, issues: DataFrame, generated_at: str | None = None) -> DataFrame:
     """Report lines ``(ord, line)``: totals, severities, categories and the standing advice."""
+    # Headings and labels of the report.
     stamp = F.lit(generated_at) if generated_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
 
     def rows(*lines: Column, first: int) -> Column:

@@ -190,6 +190,7 @@ def risk_assessment(scored: DataFrame) -> DataFrame:
     empty = total == 0
     avg = F.when(empty, 0.0).otherwise(F.col("cents") / F.greatest(total, F.lit(1)) / 100)
     level = F.when(crit > 0, "Critical").when(high > 3, "High").when(F.col("avg") > 0.6, "Medium").otherwise("Low")
+    # Wording of the recommendations.
     advice = F.filter(
         F.array(
             F.when(empty, F.lit("No issues found. Code quality is good.")),

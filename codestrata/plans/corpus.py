@@ -79,6 +79,7 @@ def _script_code() -> str:
 
 
 _BARS = f"'| ' || replace(replace(text, chr(92), '/'), {NL}, {NL} || '| ')"
+_COMMENTS = f"'# ' || replace(text, {NL}, {NL} || '# ')"
 _Q3 = "repeat(chr(34), 3)"
 
 BASE_COLUMNS = [
@@ -95,7 +96,7 @@ SOURCE_COLUMNS = [
     "doc_id",
     "dir || '/' || stem || ext AS path",
     f"""COALESCE(CASE WHEN doc_id % 5 = 0 THEN {_python_code()} || 'NOTES = ' || {_Q3} || {NL} || {_BARS} || {NL} || {_Q3} || {NL}
-        WHEN doc_id % 5 = 1 THEN 'def broken_' || id || '(:' || {NL} || {_python_code()} || text
+        WHEN doc_id % 5 = 1 THEN 'def broken_' || id || '(:' || {NL} || {_python_code()} || {_COMMENTS}
         ELSE {_script_code()} || text END, '') AS content""",
 ]
 TEST_COLUMNS = [

@@ -1,0 +1,4 @@
+"""No operator keeps state across batches, so there is nothing stream-specific to build.
+
+``rules.rule_issues`` and ``severity.score_issues`` are stateless and run unchanged on a streaming files table.
+"""
