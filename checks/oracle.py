@@ -201,15 +201,16 @@ scored AS (SELECT *, 'Issue has ' || CASE impact_level WHEN 4 THEN 'critical' WH
     || '. Severity score: ' || CAST(severity_score AS VARCHAR) || '/1.0. Priority: ' || priority || '.' AS reasoning FROM prioritized)"""
 
 KEYS = "rule_id, category, severity, file, line, message, suggestion, impact, test_type"
+KEYS0 = KEYS.replace("line,", "coalesce(line, 0) AS line,")
 SCORES = "severity_score, impact_level, likelihood_level, priority, reasoning"
-N = "CAST(count(*) AS DECIMAL(38,0))"
+N = "CAST(count(*) AS BIGINT)"
 
 ORACLE["source_files"] = f"""WITH {FILES} SELECT path, name, parent, stem, ext, language, strlen(content) AS size,
   CASE ext WHEN '.py' THEN 'Python' WHEN '.js' THEN 'JavaScript' WHEN '.jsx' THEN 'JavaScript' ELSE 'TypeScript' END AS display_language,
   true AS supported, CAST(len(ls) AS BIGINT) AS n_lines FROM files"""
 ORACLE["line_rules_issues"] = f"WITH {LINE_ISSUES} SELECT {KEYS} FROM issues"
 ORACLE["basic_issues"] = f"WITH {BASIC} SELECT {KEYS} FROM issues"
-ORACLE["enhanced_issues"] = f"WITH {ENHANCED} SELECT {KEYS} FROM issues"
+ORACLE["enhanced_issues"] = f"WITH {ENHANCED} SELECT {KEYS0} FROM issues"
 _js_parts = [s for s in _basic(False) + _enhanced() if "language <> 'python'" in s.rsplit(" WHERE ", 1)[1]]
 ORACLE["pages_script_rules"] = f"""WITH files AS (SELECT 'pages/p' || CAST(page_id AS VARCHAR) || '.js' AS path, 'javascript' AS language,
     replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS content FROM pages),
@@ -223,16 +224,16 @@ FROM (SELECT path, line, fname AS name, {_sizes()} AS fn, has_docstring FROM (
   SELECT path, line, {_name(DEF)} AS fname, list_transform(ls[line + 1:line + 50], lambda x: trim(x, {TRIM})) AS w, {DOCUMENTED} AS has_docstring
   FROM lines WHERE language = 'python' AND regexp_matches(text, {_q(DEF)})))"""
 ORACLE["untested_files"] = f"WITH {LINES}, {UNTESTED} SELECT path, language FROM untested"
-ORACLE["issues_scored"] = f"WITH {ENHANCED}, {SCORED} SELECT {KEYS}, {SCORES} FROM scored"
+ORACLE["issues_scored"] = f"WITH {ENHANCED}, {SCORED} SELECT {KEYS0}, {SCORES} FROM scored"
 ORACLE["top_issues"] = f"""WITH {BASIC}, {SCORED} SELECT rule_id, file, line, message, {SCORES} FROM scored
 ORDER BY severity_score DESC, file, line, rule_id, message LIMIT 100"""
 ORACLE["high_severity_issues"] = f"WITH {BASIC} SELECT {KEYS} FROM issues WHERE severity IN ('high', 'critical')"
-ORACLE["priority_summary"] = f"""WITH {BASIC}, {SCORED} SELECT t.label AS priority, CAST(count(s.priority) AS DECIMAL(38,0)) AS issues
+ORACLE["priority_summary"] = f"""WITH {BASIC}, {SCORED} SELECT t.label AS priority, CAST(count(s.priority) AS BIGINT) AS issues
 FROM unnest(['P0 - Critical', 'P1 - High', 'P2 - Medium', 'P3 - Low', 'P4 - Info']) AS t(label)
 LEFT JOIN scored s ON s.priority = t.label GROUP BY t.label"""
 ORACLE["risk_assessment"] = f"""WITH {ENHANCED}, {SCORED},
-t AS (SELECT {N} AS total_issues, CAST(count(*) FILTER (priority LIKE 'P0%') AS DECIMAL(38,0)) AS critical_issues,
-  CAST(count(*) FILTER (priority LIKE 'P1%') AS DECIMAL(38,0)) AS high_issues, avg(severity_score) AS a FROM scored)
+t AS (SELECT {N} AS total_issues, CAST(count(*) FILTER (priority LIKE 'P0%') AS BIGINT) AS critical_issues,
+  CAST(count(*) FILTER (priority LIKE 'P1%') AS BIGINT) AS high_issues, avg(severity_score) AS a FROM scored)
 SELECT CASE WHEN critical_issues > 0 THEN 'Critical' WHEN high_issues > 3 THEN 'High' WHEN a > 0.6 THEN 'Medium' ELSE 'Low' END AS risk_level,
   round(a, 2) AS risk_score, total_issues, critical_issues, high_issues,
   array_to_string(list_filter([
@@ -250,15 +251,15 @@ ORACLE["category_counts"] = f"""WITH {ENHANCED} SELECT category, upper(category[
 FROM issues GROUP BY category"""
 ORACLE["severity_counts"] = f"WITH {ENHANCED} SELECT severity, {N} AS issues FROM issues GROUP BY severity"
 ORACLE["console_counts"] = f"""WITH {BASIC} SELECT {N} AS total_issues,
-  CAST(count(*) FILTER (severity = 'high') AS DECIMAL(38,0)) AS high_priority,
-  CAST(count(*) FILTER (severity = 'medium') AS DECIMAL(38,0)) AS medium_priority,
-  CAST(count(*) FILTER (severity = 'low') AS DECIMAL(38,0)) AS low_priority FROM issues"""
+  CAST(count(*) FILTER (severity = 'high') AS BIGINT) AS high_priority,
+  CAST(count(*) FILTER (severity = 'medium') AS BIGINT) AS medium_priority,
+  CAST(count(*) FILTER (severity = 'low') AS BIGINT) AS low_priority FROM issues"""
 ORACLE["file_complexity_top10"] = f"""WITH {BASIC}, s AS (SELECT regexp_extract(file, '([^/]*)$', 1) AS file_name,
-  CAST(sum(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS DECIMAL(38,0)) AS score, {N} AS issues
+  CAST(sum(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS BIGINT) AS score, {N} AS issues
   FROM issues GROUP BY 1)
 SELECT *, CASE WHEN score > 15 THEN 'critical' WHEN score > 10 THEN 'high' WHEN score > 5 THEN 'medium' ELSE 'low' END AS level
 FROM s ORDER BY score DESC, file_name LIMIT 10"""
-_CELLS = ", ".join(f"CAST(count(*) FILTER (priority = '{p}') AS DECIMAL(38,0)) AS \"{p}\"" for p in sev.PRIORITIES)
+_CELLS = ", ".join(f"CAST(count(*) FILTER (priority = '{p}') AS BIGINT) AS \"{p}\"" for p in sev.PRIORITIES)
 ORACLE["priority_matrix"] = f"WITH {ENHANCED}, {SCORED} SELECT category, {_CELLS} FROM scored GROUP BY category"
 ORACLE["selection_rollup"] = f"""WITH {BASIC},
 chosen AS (SELECT i.* FROM issues i JOIN files f ON f.path = i.file WHERE f.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
@@ -301,8 +302,8 @@ links AS (
   FROM (SELECT *, unnest(key) AS dropped FROM cls WHERE n = 5) a
   JOIN cls b ON b.lang_group = a.lang_group AND b.n = 4 AND b.block_id = md5(array_to_string(list_filter(a.key, lambda k: k <> a.dropped), ',')))"""
 ORACLE["duplicate_classes"] = f"""WITH {BLOCKS} SELECT lang_group, block_id, CAST(n AS INTEGER) AS n, members, files, first_path,
-  CAST(first_start AS INTEGER) AS first_start, pairs FROM classes"""
-ORACLE["duplicate_links"] = f"WITH {BLOCKS} SELECT * FROM links WHERE pairs > 0"
+  CAST(first_start AS INTEGER) AS first_start, CAST(pairs AS VARCHAR) AS pairs FROM classes"""
+ORACLE["duplicate_links"] = f"WITH {BLOCKS} SELECT * REPLACE (CAST(pairs AS VARCHAR) AS pairs) FROM links WHERE pairs > 0"
 _cap = 16
 _n = lambda p: f"regexp_extract({p}, '([^/]*)$', 1)"
 _span = lambda s: f"CAST({s} AS VARCHAR) || '-' || CAST({s} + 4 AS VARCHAR)"
@@ -315,10 +316,10 @@ near0 AS (SELECT a.path AS pa, a.start AS sa, b.path AS pb, b.start AS sb FROM l
   WHERE members5 <= {_cap} AND members4 <= {_cap} AND a.path <> b.path),
 pairs AS (SELECT * FROM eq UNION ALL SELECT least(pa, pb), CASE WHEN pa < pb THEN sa ELSE sb END, greatest(pa, pb), CASE WHEN pa < pb THEN sb ELSE sa END, 0.8 FROM near0)
 SELECT 'DUP-01' AS rule_id, 'Code duplication detected between ' || {_n('p1')} || ' and ' || {_n('p2')} AS message, p1 AS file1, p2 AS file2,
-  {_span('s1')} AS lines1, {_span('s2')} AS lines2, CAST(similarity AS DOUBLE) AS similarity, CAST(1 AS DECIMAL(38,0)) AS findings FROM pairs
-UNION ALL SELECT 'DUP-01C', 'Code duplication detected across ' || CAST(files AS VARCHAR) || ' files', first_path, NULL, {_span('first_start')}, block_id, 1.0, pairs
+  {_span('s1')} AS lines1, {_span('s2')} AS lines2, CAST(similarity AS DOUBLE) AS similarity, '1' AS findings FROM pairs
+UNION ALL SELECT 'DUP-01C', 'Code duplication detected across ' || CAST(files AS VARCHAR) || ' files', first_path, NULL, {_span('first_start')}, block_id, 1.0, CAST(pairs AS VARCHAR)
   FROM classes WHERE members > {_cap}
-UNION ALL SELECT 'DUP-01L', 'Code duplication detected between two groups of blocks', NULL, NULL, block5, block4, 0.8, pairs
+UNION ALL SELECT 'DUP-01L', 'Code duplication detected between two groups of blocks', NULL, NULL, block5, block4, 0.8, CAST(pairs AS VARCHAR)
   FROM links WHERE pairs > 0 AND (members5 > {_cap} OR members4 > {_cap})"""
 
 # ---- structure -----------------------------------------------------------------------------------------
@@ -365,7 +366,7 @@ words AS (SELECT DISTINCT s.path, s.name AS source, s.line,
   UNION SELECT path, name, line, name FROM ents WHERE type = 'import' AND NOT starts_with(text, 'from ')),
 edges AS (SELECT DISTINCT source, target, 'uses' AS relationship_type, path AS file_path, CAST(line AS INTEGER) AS line_number
   FROM words w WHERE EXISTS (SELECT 1 FROM ents e WHERE e.path = w.path AND e.name = w.target))"""
-ORACLE["entity_list"] = f"WITH {ENTS} SELECT path AS file_path, name, type, CAST(line AS INTEGER) AS line_number, n_params FROM ents"
+ORACLE["entity_list"] = f"WITH {ENTS} SELECT path AS file_path, name, type, CAST(line AS INTEGER) AS line_number, coalesce(n_params, 0) AS n_params FROM ents"
 ORACLE["entity_edges"] = f"WITH {EDGES} SELECT * FROM edges"
 ORACLE["entity_edge_lookup"] = f"WITH {EDGES} SELECT * FROM edges WHERE source = 'os' OR target = 'os'"
 ORACLE["entity_name_lookup"] = f"""WITH {ENTS} SELECT path AS file_path, name, type, CAST(line AS INTEGER) AS line_number FROM ents
@@ -379,7 +380,7 @@ wanted AS (SELECT path AS source, language = 'python' AS py, parent || '/' ||
   FROM ents WHERE type = 'import'),
 import_edges AS (SELECT DISTINCT w.source, f.path AS target FROM wanted w JOIN files f ON w.py = (f.language = 'python') AND w.key = f.parent || '/' || f.stem)"""
 ORACLE["import_graph"] = f"WITH {IMPORTS} SELECT * FROM import_edges"
-ORACLE["import_degrees"] = f"""WITH {IMPORTS} SELECT path, sum(o) AS out_degree, sum(i) AS in_degree FROM (
+ORACLE["import_degrees"] = f"""WITH {IMPORTS} SELECT path, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (
   SELECT source AS path, 1 AS o, 0 AS i FROM import_edges UNION ALL SELECT target, 0, 1 FROM import_edges) GROUP BY path"""
 
 DEPS = f"""{EDGES},
@@ -512,8 +513,7 @@ ORACLE["file_views"] = f"""WITH {HITS.replace('{which}', 'false')},
 b AS (SELECT *, coalesce(sum(len(text)) OVER (PARTITION BY filename ORDER BY hit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM named)
 SELECT filename, string_agg(CASE WHEN before + len(text) <= 3000 THEN text ELSE substr(text, 1, CAST(3000 - before AS BIGINT)) || '...' END,
   chr(10) || chr(10) ORDER BY hit_no) AS file_content FROM b WHERE before + len(text) <= 3000 OR 3000 - before > 100 GROUP BY filename"""
-ORACLE["retrieval_hits"] = f"""WITH {_hits(3)} SELECT qid, hit_kind, hit_no, source, filename, 'code' AS type, CAST(NULL AS VARCHAR) AS entity_name,
-  CAST(NULL AS INTEGER) AS line_number, text FROM hits"""
+ORACLE["retrieval_hits"] = f"""WITH {_hits(3)} SELECT qid, hit_kind, hit_no, source, filename, 'code' AS type, text FROM hits"""
 ORACLE["context_budget"] = f"WITH {_hits(10)} SELECT * FROM contexts"
 ORACLE["hit_sources"] = f"WITH {_hits(10)} SELECT * FROM sources"
 

@@ -28,6 +28,16 @@ def _scored(spark: SparkSession, sf_dir: str, mode: str = "basic") -> DataFrame:
     return analysis.scored_issues(files_of(spark, sf_dir), mode, duplication=False)
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """Counts as bigint: rollups without duplicate pairs stay far below its range."""
+    return df.select(*[F.col(f"`{c}`").cast("bigint").alias(c) if t.startswith("decimal") else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def issue_rows(df: DataFrame, *more: str) -> DataFrame:
+    """Issue columns; line 0 stands for a finding about a whole file."""
+    return df.withColumn("line", F.coalesce("line", F.lit(0))).select(*ISSUE_KEYS, *more)
+
+
 ISSUE_KEYS = ["rule_id", "category", "severity", "file", "line", "message", "suggestion", "impact", "test_type"]
 SCORE_KEYS = ["severity_score", "impact_level", "likelihood_level", "priority", "reasoning"]
 
@@ -61,7 +71,7 @@ def basic_issues(spark, sf_dir):
 
 @query
 def enhanced_issues(spark, sf_dir):
-    return analysis.issues(files_of(spark, sf_dir), "enhanced", duplication=False).select(*ISSUE_KEYS)
+    return issue_rows(analysis.issues(files_of(spark, sf_dir), "enhanced", duplication=False))
 
 
 @query
@@ -90,7 +100,7 @@ def untested_files(spark, sf_dir):
 
 @query
 def issues_scored(spark, sf_dir):
-    return _scored(spark, sf_dir, "enhanced").select(*ISSUE_KEYS, *SCORE_KEYS)
+    return issue_rows(_scored(spark, sf_dir, "enhanced"), *SCORE_KEYS)
 
 
 @query
@@ -105,45 +115,44 @@ def high_severity_issues(spark, sf_dir):
 
 @query
 def priority_summary(spark, sf_dir):
-    return severity.priority_summary(_scored(spark, sf_dir))
+    return plain(severity.priority_summary(_scored(spark, sf_dir)))
 
 
 @query
 def risk_assessment(spark, sf_dir):
-    return severity.risk_assessment(_scored(spark, sf_dir, "enhanced")).withColumn(
-        "recommendations", F.array_join("recommendations", " | ")
-    )
+    out = severity.risk_assessment(_scored(spark, sf_dir, "enhanced"))
+    return plain(out.withColumn("recommendations", F.array_join("recommendations", " | ")))
 
 
 @query
 def run_summary(spark, sf_dir):
     f = files_of(spark, sf_dir)
-    return rollups.run_summary(f, analysis.issues(f))
+    return plain(rollups.run_summary(f, analysis.issues(f)))
 
 
 @query
 def category_counts(spark, sf_dir):
-    return rollups.category_counts(analysis.issues(files_of(spark, sf_dir), "enhanced", duplication=False))
+    return plain(rollups.category_counts(analysis.issues(files_of(spark, sf_dir), "enhanced", duplication=False)))
 
 
 @query
 def severity_counts(spark, sf_dir):
-    return rollups.severity_counts(analysis.issues(files_of(spark, sf_dir), "enhanced", duplication=False))
+    return plain(rollups.severity_counts(analysis.issues(files_of(spark, sf_dir), "enhanced", duplication=False)))
 
 
 @query
 def console_counts(spark, sf_dir):
-    return rollups.console_counts(analysis.issues(files_of(spark, sf_dir)))
+    return plain(rollups.console_counts(analysis.issues(files_of(spark, sf_dir))))
 
 
 @query
 def file_complexity_top10(spark, sf_dir):
-    return rollups.top_files(analysis.issues(files_of(spark, sf_dir)))
+    return plain(rollups.top_files(analysis.issues(files_of(spark, sf_dir))))
 
 
 @query
 def priority_matrix(spark, sf_dir):
-    return rollups.priority_matrix(_scored(spark, sf_dir, "enhanced"))
+    return plain(rollups.priority_matrix(_scored(spark, sf_dir, "enhanced")))
 
 
 @query
@@ -152,7 +161,7 @@ def selection_rollup(spark, sf_dir):
     chosen = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     paths = table(spark, sf_dir, "documents").join(chosen, "doc_id", "left_semi")
     selection = corpus.derived_corpus(paths).select("path")
-    return rollups.selection_rollup(analysis.analyse_selection(f, selection))
+    return plain(rollups.selection_rollup(analysis.analyse_selection(f, selection)))
 
 
 @query
@@ -176,20 +185,22 @@ def normalized_lines(spark, sf_dir):
 @query
 def duplicate_classes(spark, sf_dir):
     counts = duplicates.block_counts(duplicates.blocks(files_of(spark, sf_dir)))
-    return duplicates.duplicate_classes(counts).drop("key")
+    return duplicates.duplicate_classes(counts).drop("key").withColumn("pairs", F.col("pairs").cast("string"))
 
 
 @query
 def duplicate_links(spark, sf_dir):
     from codestrata.session import stage
 
-    return duplicates.duplicate_links(stage(duplicates.block_counts(duplicates.blocks(files_of(spark, sf_dir)))))
+    links = duplicates.duplicate_links(stage(duplicates.block_counts(duplicates.blocks(files_of(spark, sf_dir)))))
+    return links.withColumn("pairs", F.col("pairs").cast("string"))
 
 
 @query
 def duplicate_blocks(spark, sf_dir):
     found = duplicates.duplication_issues(duplicates.blocks(files_of(spark, sf_dir)))
-    return found.select("rule_id", "message", "file1", "file2", "lines1", "lines2", "similarity", "findings")
+    # Pair counts can exceed any integer type, so they are shown as text.
+    return found.select("rule_id", "message", "file1", "file2", "lines1", "lines2", "similarity", F.col("findings").cast("string").alias("findings"))
 
 
 # ---- structure -----------------------------------------------------------------------------------------
@@ -205,7 +216,7 @@ def _entities(spark, sf_dir):
 
 @query
 def entity_list(spark, sf_dir):
-    return _entities(spark, sf_dir).select("file_path", "name", "type", "line_number", F.size("parameters").alias("n_params"))
+    return _entities(spark, sf_dir).select("file_path", "name", "type", "line_number", F.coalesce(F.size("parameters"), F.lit(0)).alias("n_params"))
 
 
 @query
@@ -450,7 +461,7 @@ def _basic_hits(spark, sf_dir, k=3):
 
 @query
 def retrieval_hits(spark, sf_dir):
-    return _basic_hits(spark, sf_dir)
+    return _basic_hits(spark, sf_dir).select("qid", "hit_kind", "hit_no", "source", "filename", "type", "text")
 
 
 @query
