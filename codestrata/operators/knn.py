@@ -52,8 +52,9 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def nearest(queries: DataFrame, items: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(qid, item_id, dist, rank)``: the ``k`` nearest items per question by squared Euclidean distance.
 
-    ``queries(qid, embedding)``, ``items(item_id, embedding)``; ties go to the smaller item id.
+    Rows without a vector take no part.  ``queries(qid, embedding)``, ``items(item_id, embedding)``; ties go to the smaller item id.
     """
+    queries, items = (df.where(F.col("embedding").isNotNull()) for df in (queries, items))
     q_type, i_type = dict(queries.dtypes)["qid"], dict(items.dtypes)["item_id"]
     schema = f"qid {q_type}, item_id {i_type}, dist double"
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("cells")).first()

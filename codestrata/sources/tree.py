@@ -1,8 +1,9 @@
-"""Source-tree scan as a Spark data source.
+"""Source-tree scan: a data source that lists, then an even spread of the reading.
 
 Spark's file formats skip names that start with ``_`` or ``.``, and those are real source files.  This source
 lists a file system all workers can see and keeps them.  The driver only opens the top of the tree, until there are
-enough directories to share out; each task walks its own directories and reads its own files.
+enough directories to share out, and keeps no file names.  Listing can be uneven, so it yields paths only; the paths are
+then spread by hash and each task reads its own files.
 """
 
 from __future__ import annotations
@@ -11,30 +12,33 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.paths import CODE_EXTS
 from .tables import files_from_table
 
+BATCH_BYTES = 16 * 1024 * 1024
+
 
 @dataclass
 class _Share(InputPartition):
-    """Directories to walk and files to read by one task."""
+    """One directory of a listing task: its own files only, or everything below it."""
 
-    roots: tuple[str, ...]
-    files: tuple[str, ...]
+    path: str
+    deep: bool
 
 
 class SourceTree(DataSource):
-    """``spark.read.format("source_tree").option("exts", ".py,.js").load(path)``"""
+    """Paths of a tree: ``spark.read.format("source_tree").option("exts", ".py,.js").load(path)``"""
 
     @classmethod
     def name(cls) -> str:
         return "source_tree"
 
     def schema(self) -> str:
-        return "path string, content binary"
+        return "path string"
 
     def reader(self, schema) -> DataSourceReader:
         return _TreeReader(
@@ -50,47 +54,54 @@ class _TreeReader(DataSourceReader):
 
     def partitions(self) -> list[_Share]:
         if os.path.isfile(self.path):
-            return [_Share((), (self.path,))]
+            return [_Share(self.path, False)]
         if not os.path.isdir(self.path):
             raise ValueError(f"Path does not exist: {self.path}")
-        dirs, files = [self.path], []
-        while dirs and len(dirs) < self.splits:
-            below = []
-            for d in dirs:
-                for entry in os.scandir(d):
-                    if entry.is_dir(follow_symlinks=False):
-                        below.append(entry.path)
-                    elif self._wanted(entry):
-                        files.append(entry.path)
-            dirs = below
-        n = max(1, min(self.splits, len(dirs) + len(files)))
-        return [_Share(tuple(sorted(dirs)[i::n]), tuple(sorted(files)[i::n])) for i in range(n)]
-
-    def _wanted(self, entry: os.DirEntry) -> bool:
-        return entry.name.endswith(self.exts) and entry.is_file()
-
-    def read(self, share: _Share) -> Iterator[tuple[str, bytes]]:
-        for path in share.files:
-            yield from self._load(path)
-        pending = list(share.roots)
+        shallow, deep = [], [self.path]
+        while deep and len(deep) < self.splits:
+            shallow += deep
+            deep = [e.path for d in deep for e in os.scandir(d) if e.is_dir(follow_symlinks=False)]
+        return [_Share(p, False) for p in shallow] + [_Share(p, True) for p in deep]
+
+    def read(self, share: _Share) -> Iterator[tuple[str]]:
+        if os.path.isfile(share.path):
+            yield (share.path,)
+            return
+        pending = [share.path]
         while pending:
             for entry in os.scandir(pending.pop()):
                 if entry.is_dir(follow_symlinks=False):
-                    pending.append(entry.path)
-                elif self._wanted(entry):
-                    yield from self._load(entry.path)
-
-    @staticmethod
-    def _load(path: str) -> Iterator[tuple[str, bytes]]:
-        try:
-            with open(path, "rb") as f:
-                yield path, f.read()
-        except OSError:
-            yield path, None
-
-
-def scan_source_tree(spark: SparkSession, path: str, exts: list[str] | None = None, splits: int = 64) -> DataFrame:
-    """Files table of a directory or a single file."""
+                    if share.deep:
+                        pending.append(entry.path)
+                elif entry.name.endswith(self.exts) and entry.is_file():
+                    yield (entry.path,)
+
+
+def _load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Contents of the listed files; a file that cannot be read gets null content."""
+    for pdf in batches:
+        rows, size = [], 0
+        for path in pdf["path"]:
+            try:
+                with open(path, "rb") as f:
+                    data = f.read()
+            except OSError:
+                data = None
+            rows.append((path, data))
+            size += len(data or b"")
+            if size >= BATCH_BYTES:
+                yield pd.DataFrame(rows, columns=["path", "content"])
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+
+def scan_source_tree(
+    spark: SparkSession, path: str, exts: list[str] | None = None, splits: int = 64, partitions: int | None = None
+) -> DataFrame:
+    """Files table of a directory or a single file; ``partitions`` is the number of reading tasks."""
     spark.dataSource.register(SourceTree)
     reader = spark.read.format("source_tree").option("exts", ",".join(exts or CODE_EXTS)).option("splits", str(splits))
-    return files_from_table(reader.load(path))
+    tasks = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    listed = reader.load(path).repartition(tasks, "path")
+    return files_from_table(listed.mapInPandas(_load, "path string, content binary"))
