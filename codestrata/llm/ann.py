@@ -24,7 +24,7 @@ from .common import documents, staged
 
 TREES = 64
 BITS = 64
-SHARE = 0.6
+SHARE = 0.8
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 50_000
 SEED = 20_240_101
