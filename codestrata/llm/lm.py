@@ -11,7 +11,7 @@ chunk however often it occurs.  A bucket sums its entries into the counts, joins
 the chunk explodes its texts into n-grams again, looks its counts up and sums per document.
 
 Null or empty texts, and texts of an empty table, have no words: score 0, mean null.  Rows that repeat an id or a text are
-documents of their own.  N-grams are told apart by 64-bit hashes.
+documents of their own.  N-grams are told apart by ``HASH_BITS`` bits of a hash.
 """
 
 from __future__ import annotations
@@ -20,18 +20,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, documents, slices, staged
+from .common import documents, slices, staged
 from .words import Words
 
 ORDER = 3
 ALPHA = 0.4
 UNSEEN = 0.5
+# N-grams are told apart by so many bits: with a billion of them in the corpus, one in a billion shares its number.
+HASH_BITS = 60
+# Text of a chunk: the larger, the fewer n-grams are sent twice; a task holds one chunk at a time.
+CHUNK_BYTES = 12 << 20
 
 
 def orders_of(w: Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hashes and first words of the n-grams of each order from 1."""
     hashes = w.hashes()
-    return [w.grams(hashes, n) for n in range(1, order + 1)]
+    return [(h >> np.uint64(64 - HASH_BITS), at) for h, at in (w.grams(hashes, n) for n in range(1, order + 1))]
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -63,20 +67,33 @@ def unpack_counts(data: bytes) -> np.ndarray:
 
 
 def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """``chunk, doc_ids, texts``: whole documents, about ``chunk_bytes`` of text in each row."""
+    """``chunk, doc_ids, sizes, data``: whole documents, about ``chunk_bytes`` of text in each row, compressed."""
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
+        import zstandard
         from pyspark import TaskContext
 
         part, k = TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text", chunk_bytes):
-            chunk = (part << 32) + k
+            chunk, text = (part << 32) + k, batch.column(1)
             k += 1
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([batch.column(0).cast(pa.string()).to_pylist()], pa.list_(pa.string())), pa.array([batch.column(1).cast(pa.string()).to_pylist()], pa.list_(pa.string()))], names=["chunk", "doc_ids", "texts"])
+            data = zstandard.compress(Words(text).data.tobytes(), 6)
+            ids, sizes = batch.column(0).cast(pa.string()).to_pylist(), pc.binary_length(text).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([ids], pa.list_(pa.string())), pa.array([sizes], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["chunk", "doc_ids", "sizes", "data"])
 
     rows = documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "chunk long, doc_ids array<string>, texts array<string>")
+    return rows.mapInArrow(run, "chunk long, doc_ids array<string>, sizes array<long>, data binary")
+
+
+def words_of(sizes, data: bytes) -> Words:
+    """The words of a chunk's texts."""
+    import pyarrow as pa
+    import zstandard
+
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))])
+    return Words(pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(zstandard.decompress(data))))
 
 
 def requests(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
@@ -86,8 +103,8 @@ def requests(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for chunk, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                w = Words(texts.values.cast(pa.large_string()))
+            for row in batch.to_pylist():
+                chunk, w = row["chunk"], words_of(row["sizes"], row["data"])
                 keys, n = np.unique(np.concatenate([h for h, _ in orders_of(w, order)]), return_counts=True)
                 cut = np.searchsorted(keys, bucket_starts(buckets))
                 out = [(b, pack(k), pack_counts(c)) for b, (k, c) in enumerate(zip(np.split(keys, cut[1:]), np.split(n, cut[1:]), strict=True)) if len(k)]
@@ -95,12 +112,12 @@ def requests(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
                     b, k, c = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(b), pa.int64()), pa.array(b, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["chunk", "bucket", "grams", "counts"])
 
-    return chunks.select("chunk", "texts").mapInArrow(run, "chunk long, bucket int, grams binary, counts binary")
+    return chunks.select("chunk", "sizes", "data").mapInArrow(run, "chunk long, bucket int, grams binary, counts binary")
 
 
 def bucket_starts(buckets: int) -> np.ndarray:
     """First hash of each bucket: equal ranges of the hashes."""
-    return np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+    return np.array([(b << HASH_BITS) // buckets for b in range(buckets)], np.uint64)
 
 
 def counted(asked: DataFrame) -> DataFrame:
@@ -150,7 +167,7 @@ def score_texts(w: Words, found: list[tuple[np.ndarray, np.ndarray]], keys: np.n
     return np.bincount(text, out, minlength=w.n_texts)
 
 
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, unseen: float = UNSEEN, chunk_bytes: int = SLICE_BYTES, buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, unseen: float = UNSEEN, chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
     """``doc_id, n_words, log_score, mean_log_score`` of each document."""
     spark = docs.sparkSession
     chunks = staged(chunked(docs, chunk_bytes), "chunks")
@@ -163,18 +180,17 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, unseen: flo
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(len(Words(t.values.cast(pa.large_string()))) for t in batch.column(0))], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(words_of(r["sizes"], r["data"])) for r in batch.to_pylist())], pa.int64())], names=["n"])
 
-    total = chunks.select("texts").mapInArrow(words, "n long").agg(F.sum("n")).first()[0] or 0
+    total = chunks.select("sizes", "data").mapInArrow(words, "n long").agg(F.sum("n")).first()[0] or 0
 
     def run(left, right):
         import pandas as pd
-        import pyarrow as pa
 
         out = pd.DataFrame({"doc_id": pd.Series(dtype="Int64"), "n_words": pd.Series(dtype="int64"), "log_score": pd.Series(dtype="float64")})
         if not len(left):
             return out
-        w = Words(pa.array([t for t in left["texts"].iloc[0]], pa.large_string()))
+        w = words_of(left["sizes"].iloc[0], left["data"].iloc[0])
         found = orders_of(w, order)
         keys = np.unique(np.concatenate([h for h, _ in found]))
         right = right.sort_values("bucket")
