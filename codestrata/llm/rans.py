@@ -267,7 +267,8 @@ def read_blocks(blocks: DataFrame, table: Table) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return blocks.join(file_starts(blocks), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    starts = F.broadcast(file_starts(blocks))  # one narrow row for each range partition of the writing job
+    return blocks.join(starts, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, Table]:
