@@ -28,11 +28,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: the one whose id is the class's; repeated rows of that id count once."""
-    classes = jaccard.join(docs)
-    chosen = classes.where("doc_id = class_id or doc_id is null").select("doc_id", "class_id").distinct()
-    kept = docs.select(*COLUMNS).join(chosen.select("doc_id").where("doc_id is not null"), "doc_id", "left_semi")
-    once = kept.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("doc_id", "d.*")
-    return once.select(*COLUMNS).union(docs.select(*COLUMNS).where("doc_id is null"))
+    classes = common.staged(jaccard.join(docs), "classes")
+    # Narrow rows decide: ids whose class another one stands for, and ids that rows repeat.
+    others = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    repeated = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rows = docs.select(*COLUMNS).join(others, "doc_id", "left_anti")
+    once = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d"))
+    return rows.join(repeated, "doc_id", "left_anti").select(*COLUMNS).union(once.select("doc_id", "d.*").select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
