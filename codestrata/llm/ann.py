@@ -40,9 +40,9 @@ def vectors(items: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 
 
 def width_of(rows: DataFrame) -> int:
-    """The most frequent length of the vectors (the smaller on a tie)."""
+    """The most frequent length of the vectors (the smaller on a tie; 1 if there are none)."""
     found = rows.groupBy(F.size("vec").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    return found["width"] if found else 0
+    return found["width"] if found else 1
 
 
 def planes(width: int, trees: int = TREES) -> np.ndarray:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices, staged
+from .common import SLICE_BYTES, documents, slices, staged
 from .words import Words
 
 ORDER = 3
@@ -88,12 +88,11 @@ def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
 
 
 def words_of(sizes, data: bytes) -> Words:
-    """The words of a chunk's texts."""
+    """The words of texts that follow each other in ``data``."""
     import pyarrow as pa
-    import zstandard
 
     offsets = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))])
-    return Words(pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(zstandard.decompress(data))))
+    return Words(pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data)))
 
 
 def requests(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
@@ -101,10 +100,11 @@ def requests(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        import zstandard
 
         for batch in batches:
             for row in batch.to_pylist():
-                chunk, w = row["chunk"], words_of(row["sizes"], row["data"])
+                chunk, w = row["chunk"], words_of(row["sizes"], zstandard.decompress(row["data"]))
                 keys, n = np.unique(np.concatenate([h for h, _ in orders_of(w, order)]), return_counts=True)
                 cut = np.searchsorted(keys, bucket_starts(buckets))
                 out = [(b, pack(k), pack_counts(c)) for b, (k, c) in enumerate(zip(np.split(keys, cut[1:]), np.split(n, cut[1:]), strict=True)) if len(k)]
@@ -178,26 +178,35 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, unseen: flo
 
     def words(batches):
         import pyarrow as pa
+        import zstandard
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(len(words_of(r["sizes"], r["data"])) for r in batch.to_pylist())], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(words_of(r["sizes"], zstandard.decompress(r["data"]))) for r in batch.to_pylist())], pa.int64())], names=["n"])
 
     total = chunks.select("sizes", "data").mapInArrow(words, "n long").agg(F.sum("n")).first()[0] or 0
 
     def run(left, right):
         import pandas as pd
+        import zstandard
 
         out = pd.DataFrame({"doc_id": pd.Series(dtype="Int64"), "n_words": pd.Series(dtype="int64"), "log_score": pd.Series(dtype="float64")})
         if not len(left):
             return out
-        w = words_of(left["sizes"].iloc[0], left["data"].iloc[0])
-        found = orders_of(w, order)
-        keys = np.unique(np.concatenate([h for h, _ in found]))
+        sizes, data = np.asarray(left["sizes"].iloc[0], np.int64), zstandard.decompress(left["data"].iloc[0])
+        keys = np.unique(np.concatenate([np.unique(h) for h, _ in orders_of(words_of(sizes, data), order)]))
         right = right.sort_values("bucket")
         totals = np.concatenate([unpack_counts(t) for t in right["totals"]]) if len(right) else np.zeros(0, np.int64)
-        value = score_texts(w, found, keys, totals, total, alpha, unseen) if len(w) else np.zeros(w.n_texts)
+        ends = np.cumsum(sizes)
+        counts, values, first = [], [], 0
+        while first < len(sizes):  # a part of the chunk's texts at a time, to bound the arrays
+            begin = int(ends[first] - sizes[first])
+            last = max(first + 1, int(np.searchsorted(ends, begin + SLICE_BYTES // 2, side="right")))
+            w = words_of(sizes[first:last], data[begin : int(ends[last - 1])])
+            counts.append(np.diff(w.first))
+            values.append(score_texts(w, orders_of(w, order), keys, totals, total, alpha, unseen) if len(w) else np.zeros(w.n_texts))
+            first = last
         ids = pd.array([None if x is None else int(x) for x in left["doc_ids"].iloc[0]], dtype="Int64")
-        return pd.DataFrame({"doc_id": ids, "n_words": np.diff(w.first), "log_score": value})
+        return pd.DataFrame({"doc_id": ids, "n_words": np.concatenate(counts), "log_score": np.concatenate(values)})
 
     scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, "doc_id long, n_words long, log_score double")
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

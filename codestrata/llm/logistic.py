@@ -57,11 +57,12 @@ def platt(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Slope and offset that turn scores into probabilities (Platt's scaling with his smoothed targets)."""
     pos, neg = int(labels.sum()), int(len(labels) - labels.sum())
     target = np.where(labels == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x = np.stack([scores, np.ones(len(scores))], axis=1)
-    theta = np.array([1.0, 0.0])
-    for _ in range(50):
+    scale = max(float(scores.std()), 1e-9)
+    x = np.stack([scores / scale, np.ones(len(scores))], axis=1)
+    theta = np.array([0.0, np.log((pos + 1) / (neg + 1))])
+    for _ in range(100):
         p = sigmoid(x @ theta)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, x.T @ (p - target) + 1e-3 * (theta - [1.0, 0.0]))
-        theta -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
-    return float(theta[0]), float(theta[1])
+        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
+        step = np.linalg.solve(hess, x.T @ (p - target) + 1e-4 * theta)
+        theta -= step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+    return float(theta[0]) / scale, float(theta[1])

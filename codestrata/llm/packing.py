@@ -259,7 +259,8 @@ def ranked(found: DataFrame) -> DataFrame:
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, piece, start, length, sequence_id, offset`` and the ``keep`` columns of staged pieces."""
-    narrow = cut.select("doc_id", "piece", "start", "length", "part", "nth", *keep)
+    base = ["doc_id", "piece", "start", "length", "part", "nth"]
+    narrow = cut.select(*base, *[c for c in keep if c not in base])
     counts = np.zeros(capacity + 1, np.int64)
     for row in narrow.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most ``capacity`` rows
         counts[row["length"]] = row["n"]

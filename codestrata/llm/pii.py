@@ -4,7 +4,7 @@ Base spans come from the text as it is: e-mail addresses, IPv4 addresses, paymen
 leftmost and non-overlapping per kind; what fails its check is dropped.  For disguised identifiers three transducers
 rewrite the text - look-alike characters, spelled digits, at/dot disguises - and each keeps the source range of every
 character it writes.  The same detectors run over the rewritten text; spans that use a rewritten character are mapped back
-to the source and added, unless a base span of the kind overlaps them.
+to the source and added, unless they lie within a base span of the kind.
 
 Offsets are code points, ends exclusive.  Null text counts as empty: no spans.  Each row is handled for itself, so repeated
 ids and texts give repeated results.  Detectors take time in proportion to the text, whatever it holds.
@@ -177,7 +177,7 @@ def disguised_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[s
             start, end = int(new.start[a]), int(new.end[b - 1])
             while k < len(taken) and taken[k][1] <= start:
                 k += 1
-            if k == len(taken) or taken[k][0] >= end:
+            if k == len(taken) or not taken[k][0] <= start < end <= taken[k][1]:
                 added[kind].append((start, end))
     return added
 

@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
         y = pdf["label"].to_numpy()
         fold = np.arange(len(y)) % 3 == 2
         if min(np.bincount(y[~fold], minlength=2).min(), np.bincount(y[fold], minlength=2).min()) == 0:
-            return pd.DataFrame({"weights": [], "told": []})
+            return pd.DataFrame({"weights": [], "told": []}, dtype=object)
         dims = [np.frombuffer(x, "<i4") for x in pdf["dims"]]
         shares = [np.frombuffer(x, "<f4") for x in pdf["shares"]]
         inside = np.flatnonzero(~fold)

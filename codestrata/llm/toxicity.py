@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
     def train(pdf):
         import pandas as pd
 
-        none = pd.DataFrame({"weights": [], "told": []})
+        none = pd.DataFrame({"weights": [], "told": []}, dtype=object)
         pdf = pdf.sort_values(["doc_id", "forms"], kind="stable").drop_duplicates("forms")
         y = pdf["label"].to_numpy()
         if np.bincount(y, minlength=2).min() == 0:
