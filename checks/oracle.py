@@ -304,23 +304,22 @@ links AS (
 ORACLE["duplicate_classes"] = f"""WITH {BLOCKS} SELECT lang_group, block_id, CAST(n AS INTEGER) AS n, members, files, first_path,
   CAST(first_start AS INTEGER) AS first_start, CAST(pairs AS VARCHAR) AS pairs FROM classes"""
 ORACLE["duplicate_links"] = f"WITH {BLOCKS} SELECT * REPLACE (CAST(pairs AS VARCHAR) AS pairs) FROM links WHERE pairs > 0"
-_cap = 16
-_n = lambda p: f"regexp_extract({p}, '([^/]*)$', 1)"
 _span = lambda s: f"CAST({s} AS VARCHAR) || '-' || CAST({s} + 4 AS VARCHAR)"
-ORACLE["duplicate_blocks"] = f"""WITH {BLOCKS},
-eq AS (SELECT a.path AS p1, a.start AS s1, b.path AS p2, b.start AS s2, 1.0 AS similarity
-  FROM classes c JOIN blocks a USING (lang_group, block_id) JOIN blocks b USING (lang_group, block_id)
-  WHERE c.members <= {_cap} AND a.path < b.path),
-near0 AS (SELECT a.path AS pa, a.start AS sa, b.path AS pb, b.start AS sb FROM links l
-  JOIN blocks a ON a.lang_group = l.lang_group AND a.block_id = l.block5 JOIN blocks b ON b.lang_group = l.lang_group AND b.block_id = l.block4
-  WHERE members5 <= {_cap} AND members4 <= {_cap} AND a.path <> b.path),
-pairs AS (SELECT * FROM eq UNION ALL SELECT least(pa, pb), CASE WHEN pa < pb THEN sa ELSE sb END, greatest(pa, pb), CASE WHEN pa < pb THEN sb ELSE sa END, 0.8 FROM near0)
-SELECT 'DUP-01' AS rule_id, 'Code duplication detected between ' || {_n('p1')} || ' and ' || {_n('p2')} AS message, p1 AS file1, p2 AS file2,
-  {_span('s1')} AS lines1, {_span('s2')} AS lines2, CAST(similarity AS DOUBLE) AS similarity, '1' AS findings FROM pairs
-UNION ALL SELECT 'DUP-01C', 'Code duplication detected across ' || CAST(files AS VARCHAR) || ' files', first_path, NULL, {_span('first_start')}, block_id, 1.0, CAST(pairs AS VARCHAR)
-  FROM classes WHERE members > {_cap}
-UNION ALL SELECT 'DUP-01L', 'Code duplication detected between two groups of blocks', NULL, NULL, block5, block4, 0.8, CAST(pairs AS VARCHAR)
-  FROM links WHERE pairs > 0 AND (members5 > {_cap} OR members4 > {_cap})"""
+ORACLE["duplicate_blocks"] = f"""WITH {BLOCKS}
+SELECT 'DUP-01' AS rule_id, 'Code duplication detected across ' || CAST(files AS VARCHAR) || ' files' AS message, first_path AS file1, NULL AS file2,
+  {_span('first_start')} AS lines1, NULL AS lines2, CAST(1.0 AS DOUBLE) AS similarity, CAST(pairs AS VARCHAR) AS findings FROM classes
+UNION ALL SELECT 'DUP-01', 'Code duplication detected between two groups of blocks', a.first.path, b.first.path, {_span('a.first.start')}, {_span('b.first.start')},
+  0.8, CAST(l.pairs AS VARCHAR)
+  FROM links l JOIN cls a ON a.lang_group = l.lang_group AND a.block_id = l.block5 JOIN cls b ON b.lang_group = l.lang_group AND b.block_id = l.block4 WHERE l.pairs > 0"""
+ORACLE["duplicate_members"] = f"""WITH {BLOCKS} SELECT lang_group, block_id, path, CAST(start AS INTEGER) AS start FROM blocks JOIN classes USING (lang_group, block_id)"""
+ORACLE["duplicate_pairs_of_selection"] = f"""WITH {BLOCKS},
+mine AS (SELECT * FROM blocks WHERE path IN (SELECT path FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))),
+near AS (SELECT lang_group, block5 AS a, block4 AS b FROM links WHERE pairs > 0 UNION ALL SELECT lang_group, block4, block5 FROM links WHERE pairs > 0)
+SELECT m.lang_group, m.path AS path1, CAST(m.start AS INTEGER) AS start1, b.path AS path2, CAST(b.start AS INTEGER) AS start2, CAST(1.0 AS DOUBLE) AS similarity
+  FROM mine m JOIN blocks b USING (lang_group, block_id) WHERE b.path <> m.path
+UNION ALL SELECT m.lang_group, m.path, CAST(m.start AS INTEGER), b.path, CAST(b.start AS INTEGER), 0.8
+  FROM mine m JOIN near n ON n.lang_group = m.lang_group AND n.a = m.block_id
+  JOIN blocks b ON b.lang_group = n.lang_group AND b.block_id = n.b WHERE b.path <> m.path"""
 
 # ---- structure -----------------------------------------------------------------------------------------
 # Definitions of the corpus stand on lines of their own, so entities can be read off the lines.

@@ -203,6 +203,19 @@ def duplicate_blocks(spark, sf_dir):
     return found.select("rule_id", "message", "file1", "file2", "lines1", "lines2", "similarity", F.col("findings").cast("string").alias("findings"))
 
 
+@query
+def duplicate_members(spark, sf_dir):
+    b = duplicates.blocks(files_of(spark, sf_dir))
+    return duplicates.members_of(b, duplicates.duplicate_classes(duplicates.block_counts(b)))
+
+
+@query
+def duplicate_pairs_of_selection(spark, sf_dir):
+    chosen = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    paths = table(spark, sf_dir, "documents").join(chosen, "doc_id", "left_semi")
+    return duplicates.pairs_for_files(duplicates.blocks(files_of(spark, sf_dir)), corpus.derived_corpus(paths).select("path"))
+
+
 # ---- structure -----------------------------------------------------------------------------------------
 
 

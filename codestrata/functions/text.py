@@ -61,12 +61,6 @@ def contains_any(c: Column, needles: list[str]) -> Column:
     return c.rlike("|".join(needles))
 
 
-def normalize_line(line: Column) -> Column:
-    """Comparison form of a line: comments dropped, blanks collapsed, identifiers masked."""
-    no_comment = F.regexp_replace(F.regexp_replace(line, "(?s)#.*", ""), "(?s)//.*", "")
-    collapsed = F.regexp_replace(strip(no_comment), SPACE + "+", " ")
-    return F.regexp_replace(collapsed, f"(?<!{WORD})[a-zA-Z_][a-zA-Z0-9_]*(?!{WORD})", "VAR")
-
 
 def list_repr(c: Column) -> Column:
     """``['a', 'b']`` for an array of strings."""

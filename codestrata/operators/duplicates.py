@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import name_of
 from ..functions.text import SPACE, WORD
 from ..session import salted_join, stage
 from ..sources.tables import analysable
@@ -24,9 +23,6 @@ from ..sources.tables import analysable
 BLOCK_LINES = 5
 SIMILARITY = 0.8
 
-# Size up to which a class is listed pair by pair.
-MAX_CLASS_SIZE = 16
-
 _BLANK = SPACE.replace(r"\x{9}-\x{d}", r"\x{9}\x{b}-\x{d}")
 _COUNT = "decimal(38,0)"
 
@@ -151,56 +147,6 @@ def duplicate_links(counts: DataFrame) -> DataFrame:
     )
 
 
-def small_classes(blocks_df: DataFrame, max_class_size: int = MAX_CLASS_SIZE) -> DataFrame:
-    """Member list of every class of at most ``max_class_size`` blocks.
-
-    The rank limit is applied before the shuffle, so a class of any size sends at most
-    ``max_class_size + 1`` rows per task; classes that exceed the bound are then left to their class row.
-    """
-    order = Window.partitionBy("lang_group", "block_id").orderBy("path", "start")
-    return (
-        blocks_df.select("lang_group", "block_id", "path", "start", "n")
-        .withColumn("rn", F.row_number().over(order))
-        .where(F.col("rn") <= max_class_size + 1)
-        .groupBy("lang_group", "block_id")
-        .agg(F.sort_array(F.collect_list(F.struct("path", "start"))).alias("members"), F.first("n").alias("n"))
-        .where(F.size("members") <= max_class_size)
-    )
-
-
-def _pair_rows(pairs: Column, similarity: float) -> list[Column]:
-    return ["lang_group", F.inline(pairs), F.lit(similarity).alias("similarity")]
-
-
-def _cross(a: Column, b: Column, keep) -> Column:
-    """All (x, y) of two bounded arrays that satisfy ``keep``, ordered so that the first path is the smaller."""
-    def pair(x: Column, y: Column) -> Column:
-        swap = x["path"] > y["path"]
-        lo, hi = F.when(swap, y).otherwise(x), F.when(swap, x).otherwise(y)
-        return F.struct(
-            lo["path"].alias("path1"), lo["start"].alias("start1"), hi["path"].alias("path2"), hi["start"].alias("start2")
-        )
-
-    return F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: keep(x, y)), lambda y: pair(x, y))))
-
-
-def duplicate_pairs(blocks_df: DataFrame, links: DataFrame, max_class_size: int = MAX_CLASS_SIZE) -> DataFrame:
-    """Similar block pairs of all classes within the size bound: equal sets (1.0) and near sets (0.8)."""
-    small = small_classes(blocks_df, max_class_size)
-    equal = small.where(F.size("members") > 1).select(
-        *_pair_rows(_cross(F.col("members"), F.col("members"), lambda x, y: x["path"] < y["path"]), 1.0)
-    )
-    bounded = links.where((F.col("members5") <= max_class_size) & (F.col("members4") <= max_class_size))
-    side = small.select("lang_group", "block_id", "members")
-    near = (
-        bounded.select("lang_group", "block5", "block4")
-        .join(side.select("lang_group", F.col("block_id").alias("block5"), F.col("members").alias("m5")), ["lang_group", "block5"])
-        .join(side.select("lang_group", F.col("block_id").alias("block4"), F.col("members").alias("m4")), ["lang_group", "block4"])
-        .select(*_pair_rows(_cross(F.col("m5"), F.col("m4"), lambda x, y: x["path"] != y["path"]), 0.8))
-    )
-    return equal.unionByName(near)
-
-
 def members_of(blocks_df: DataFrame, classes: DataFrame) -> DataFrame:
     """Every block of the given classes, one row each: the member list of classes of any size."""
     return blocks_df.select("lang_group", "block_id", "path", "start").join(
@@ -209,7 +155,7 @@ def members_of(blocks_df: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def pairs_for_files(blocks_df: DataFrame, selection: DataFrame) -> DataFrame:
-    """All equal-set pairs with one side in ``selection(path)``, whatever the class size.
+    """All similar pairs with one side in ``selection(path)``: equal sets (1.0) and near sets (0.8).
 
     The answer to "where else does this file occur"; its size is the selection's share of the classes.
     """
@@ -217,8 +163,15 @@ def pairs_for_files(blocks_df: DataFrame, selection: DataFrame) -> DataFrame:
     mine = b.join(selection.select("path").distinct(), "path", "left_semi").select(
         "lang_group", "block_id", F.col("path").alias("path1"), F.col("start").alias("start1")
     )
-    return mine.join(b, ["lang_group", "block_id"]).where(F.col("path") != F.col("path1")).select(
-        "lang_group", "path1", "start1", F.col("path").alias("path2"), F.col("start").alias("start2")
+    links = duplicate_links(block_counts(blocks_df))
+    near = links.select("lang_group", F.col("block5").alias("block_id"), F.col("block4").alias("other")).union(
+        links.select("lang_group", F.col("block4").alias("block_id"), F.col("block5").alias("other"))
+    )
+    equal = mine.join(b, ["lang_group", "block_id"]).withColumn("similarity", F.lit(1.0))
+    linked = mine.join(near, ["lang_group", "block_id"]).select("lang_group", F.col("other").alias("block_id"), "path1", "start1")
+    linked = linked.join(b, ["lang_group", "block_id"]).withColumn("similarity", F.lit(SIMILARITY))
+    return equal.unionByName(linked).where(F.col("path") != F.col("path1")).select(
+        "lang_group", "path1", "start1", F.col("path").alias("path2"), F.col("start").alias("start2"), "similarity"
     )
 
 
@@ -230,48 +183,39 @@ def _span(start: Column) -> Column:
 SUGGESTION = "Consider extracting common code into a shared function or module"
 
 
-def duplication_issues(blocks_df: DataFrame, max_class_size: int = MAX_CLASS_SIZE) -> DataFrame:
-    """Duplication findings: a row per pair within the size bound, else a row per class or link.
+def duplication_issues(blocks_df: DataFrame) -> DataFrame:
+    """Duplication findings: a row per class of equal blocks and a row per link between two classes, at every size.
 
-    ``findings`` is the number of pairs a row stands for, so counts over the table are exact at any size.
+    ``findings`` is the number of cross-file pairs a row stands for, so counts over the table are exact.  The files named
+    are the first of each class; ``members_of`` lists the others and ``pairs_for_files`` the pairs of chosen files.
     """
     counts = stage(block_counts(blocks_df))
-    links = stage(duplicate_links(counts))
-    pairs = duplicate_pairs(blocks_df, links, max_class_size).select(
-        F.lit("DUP-01").alias("rule_id"),
-        F.concat(
-            F.lit("Code duplication detected between "), name_of(F.col("path1")), F.lit(" and "), name_of(F.col("path2"))
-        ).alias("message"),
-        F.col("path1").alias("file1"),
-        F.col("path2").alias("file2"),
-        _span(F.col("start1")).alias("lines1"),
-        _span(F.col("start2")).alias("lines2"),
-        "similarity",
-        F.lit(1).cast(_COUNT).alias("findings"),
-    )
-    large = duplicate_classes(counts).where(F.col("members") > max_class_size).select(
-        F.lit("DUP-01C").alias("rule_id"),
+    equal = duplicate_classes(counts).select(
         F.concat(F.lit("Code duplication detected across "), F.col("files").cast("string"), F.lit(" files")).alias("message"),
         F.col("first_path").alias("file1"),
         F.lit(None).cast("string").alias("file2"),
         _span(F.col("first_start")).alias("lines1"),
-        F.col("block_id").alias("lines2"),
+        F.lit(None).cast("string").alias("lines2"),
         F.lit(1.0).alias("similarity"),
         F.col("pairs").alias("findings"),
     )
-    wide = links.where((F.col("members5") > max_class_size) | (F.col("members4") > max_class_size)).select(
-        F.lit("DUP-01L").alias("rule_id"),
+    places = duplicate_classes(counts, min_files=1).select("lang_group", "block_id", "first_path", "first_start")
+    five, four = (
+        places.select("lang_group", F.col("block_id").alias(f"block{n}"), F.col("first_path").alias(f"path{n}"), F.col("first_start").alias(f"start{n}"))
+        for n in (BLOCK_LINES, BLOCK_LINES - 1)
+    )
+    linked = duplicate_links(counts).join(five, ["lang_group", "block5"]).join(four, ["lang_group", "block4"]).select(
         F.lit("Code duplication detected between two groups of blocks").alias("message"),
-        F.lit(None).cast("string").alias("file1"),
-        F.lit(None).cast("string").alias("file2"),
-        F.col("block5").alias("lines1"),
-        F.col("block4").alias("lines2"),
-        F.lit(0.8).alias("similarity"),
+        F.col("path5").alias("file1"),
+        F.col("path4").alias("file2"),
+        _span(F.col("start5")).alias("lines1"),
+        _span(F.col("start4")).alias("lines2"),
+        F.lit(SIMILARITY).alias("similarity"),
         F.col("pairs").alias("findings"),
     )
     none = F.lit(None)
-    return pairs.unionByName(large).unionByName(wide).select(
-        "rule_id",
+    return equal.unionByName(linked).select(
+        F.lit("DUP-01").alias("rule_id"),
         F.lit("duplication").alias("category"),
         F.lit("medium").alias("severity"),
         none.cast("string").alias("file"),

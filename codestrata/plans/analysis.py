@@ -14,7 +14,6 @@ def issues(
     gate_on_parse: bool = True,
     rule_set: list[rules.Rule] | None = None,
     duplication: bool = True,
-    max_class_size: int = duplicates.MAX_CLASS_SIZE,
 ) -> DataFrame:
     """All findings of a corpus.
 
@@ -28,7 +27,7 @@ def issues(
         if ids & {"TP-01", "TJ-01"}:
             out = out.unionByName(coverage.untested_issues(files))
         if duplication:
-            out = out.unionByName(duplicates.duplication_issues(duplicates.blocks(files), max_class_size))
+            out = out.unionByName(duplicates.duplication_issues(duplicates.blocks(files)))
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,16 +25,22 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage, in the shared folder named by ``spark.checkpoint.dir``.
+    """Compute ``df`` once and cut its lineage, as a table in the shared folder named by ``spark.checkpoint.dir``.
 
-    Used where one expensive result feeds several joins.  The data is on shared storage, so it survives
-    the loss of executors.  Only a session without the setting (a local test) gets a temporary folder.
+    Used where one expensive result feeds several joins.  The data is on shared storage, so it survives the loss of
+    executors; Parquet keeps columns apart, so later reads take only what they need.  A session on a local master may
+    leave the setting out and gets a folder in its warehouse; on a cluster that is an error.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="codestrata-"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+    path = f"{folder.rstrip('/')}/codestrata/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # Rows of a narrow table (keys and short values) that may be broadcast: some tens of megabytes at most.
