@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.llm import common, jaccard, mixing, packing, pii, quality
@@ -28,13 +28,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: the one whose id is the class's; repeated rows of that id count once."""
-    classes = common.staged(jaccard.join(docs), "classes")
-    # Narrow rows decide: ids whose class another one stands for, and ids that rows repeat.
-    others = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    repeated = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    rows = docs.select(*COLUMNS).join(others, "doc_id", "left_anti")
-    once = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d"))
-    return rows.join(repeated, "doc_id", "left_anti").select(*COLUMNS).union(once.select("doc_id", "d.*").select(*COLUMNS))
+    classes = jaccard.join(docs)
+    chosen = classes.where("doc_id = class_id").select("doc_id").distinct()
+    # Texts move once: the merge join deals them by id, and the ranking of rows that repeat an id needs no other order.
+    rows = docs.select(*COLUMNS).join(chosen.hint("merge"), "doc_id", "left_semi")
+    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
+    kept = rows.withColumn("nth", once).where("nth = 1").select(*COLUMNS)
+    return kept.union(docs.select(*COLUMNS).where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
