@@ -460,6 +460,7 @@ ORACLE["knn_topk"] = f"""SELECT qid, item_id, round(d, 6) AS dist, rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, item_id) AS INTEGER) AS rank FROM (
     SELECT a.vec_id AS qid, b.vec_id AS item_id, {_dist.format(a='a.embedding', b='b.embedding')} AS d FROM embeddings a, embeddings b))
 WHERE rank <= 5"""
+ORACLE["knn_topk_batched"] = ORACLE["knn_topk"]
 
 QUESTIONS = """turns AS (SELECT conv_id, turn, text, conv_id * 31 + turn AS key FROM conversations WHERE role = 'user'),
 asked AS (SELECT conv_id * 1000 + turn AS qid, key % (SELECT count(*) FROM embeddings) AS vec_id, text || CASE key % 4

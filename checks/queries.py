@@ -427,6 +427,18 @@ def knn_topk(spark, sf_dir):
     return near.select("qid", "item_id", F.round("dist", 6).alias("dist"), "rank")
 
 
+@query
+def knn_topk_batched(spark, sf_dir):
+    from codestrata.operators.knn import nearest
+
+    emb = table(spark, sf_dir, "embeddings")
+    queries = emb.select(F.col("vec_id").alias("qid"), "embedding")
+    # A quarter of the questions' bytes, so that several batches meet the vectors at every size.
+    budget = queries.agg(F.sum(F.size("embedding") * 2)).first()[0] or 1
+    near = nearest(queries, emb.select(F.col("vec_id").alias("item_id"), "embedding"), 5, budget)
+    return near.select("qid", "item_id", F.round("dist", 6).alias("dist"), "rank")
+
+
 @query
 def question_filename(spark, sf_dir):
     from codestrata.operators.retrieval import filename_in

@@ -1,8 +1,8 @@
 """Exact nearest neighbours for batches of questions.
 
 The few questions travel to the many vectors: each task keeps a running top-k per question over its own
-vectors with block matrix products and sends only those rows on.  Questions are broadcast only while they
-fit a checked budget; above it both sides are cut into blocks and meet block by block.
+vectors with block matrix products and sends only those rows on.  Questions are broadcast in batches that fit a
+checked budget, one scan of the vectors for each; the vectors themselves are never shuffled.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Bytes of question vectors that may be broadcast, and rows per block beyond that.
+from ..session import stage
+
+# Bytes of questions, ids and vectors, that one batch may broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
-BLOCK_ROWS = 20_000
 _CELLS = 4_000_000
 
 
@@ -57,19 +58,30 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, broadcast_bytes: int =
     queries, items = (df.where(F.col("embedding").isNotNull()) for df in (queries, items))
     q_type, i_type = dict(queries.dtypes)["qid"], dict(items.dtypes)["item_id"]
     schema = f"qid {q_type}, item_id {i_type}, dist double"
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("cells")).first()
-    if size["cells"] * 8 <= broadcast_bytes:
-        local = _near_broadcast(queries, items, k, schema)
+    vector, name = F.size("embedding").cast("long") * 8, F.coalesce(F.octet_length(F.col("qid").cast("string")), F.lit(0))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(vector + name), F.lit(0)).alias("bytes")).first()
+    batches = max(1, min(size["n"], -(-size["bytes"] // max(1, broadcast_bytes))))
+    if batches == 1:
+        local, _ = _near_broadcast(queries, items, k, schema)
     else:
-        local = _near_blocks(queries, items, k, schema, size["n"])
+        # Each batch becomes a table, so the driver holds the questions of one batch only.
+        local = None
+        for number in range(batches):
+            batch = queries.where(F.pmod(F.xxhash64("qid"), F.lit(batches)) == number)
+            near, shared = _near_broadcast(batch, items, k, schema)
+            near = stage(near)
+            if shared is not None:
+                shared.destroy()
+            local = near if local is None else local.unionByName(near)
     order = Window.partitionBy("qid").orderBy("dist", "item_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _near_broadcast(queries: DataFrame, items: DataFrame, k: int, schema: str) -> DataFrame:
+def _near_broadcast(queries: DataFrame, items: DataFrame, k: int, schema: str):
+    """Candidates of all tasks for one batch of questions, and the broadcast they read (None without questions)."""
     rows = queries.select("qid", "embedding").toPandas()
     if rows.empty:
-        return queries.sparkSession.createDataFrame([], schema)
+        return queries.sparkSession.createDataFrame([], schema), None
     shared = queries.sparkSession.sparkContext.broadcast((rows["qid"].to_numpy(), _matrix(rows["embedding"])))
 
     def scan(batches):
@@ -81,24 +93,4 @@ def _near_broadcast(queries: DataFrame, items: DataFrame, k: int, schema: str) -
         if best is not None:
             yield pd.DataFrame({"qid": qids[best["row"]], "item_id": best["item_id"].to_numpy(), "dist": best["dist"].to_numpy()})
 
-    return items.select("item_id", "embedding").mapInPandas(scan, schema)
-
-
-def _near_blocks(queries: DataFrame, items: DataFrame, k: int, schema: str, n_queries: int) -> DataFrame:
-    """Question blocks meet item blocks; every group holds at most about two blocks of vectors."""
-    n_items = items.count()
-    nq, ni = -(-n_queries // BLOCK_ROWS), max(1, -(-n_items // BLOCK_ROWS))
-
-    def block(key: str, n: int):
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-    q = queries.select("qid", "embedding", block("qid", nq).alias("qb")).select("*", F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib"))
-    i = items.select("item_id", "embedding", block("item_id", ni).alias("ib")).select("*", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"qid": [], "item_id": [], "dist": []})
-        best = _scan(_matrix(left["embedding"]), right["item_id"].to_numpy(), _matrix(right["embedding"]), k, None)
-        return pd.DataFrame({"qid": left["qid"].to_numpy()[best["row"]], "item_id": best["item_id"].to_numpy(), "dist": best["dist"].to_numpy()})
-
-    return q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(meet, schema)
+    return items.select("item_id", "embedding").mapInPandas(scan, schema), shared

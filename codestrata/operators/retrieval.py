@@ -175,8 +175,8 @@ def related_entities(questions: DataFrame, entities: DataFrame, limit: int = MAX
 # ---- hits ----------------------------------------------------------------------------------------------
 
 
-def file_facts(entity_files: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per file: number and kinds of entities, their list and the file's edges as text."""
+def file_facts(entity_files: DataFrame, edges: DataFrame, chars: int = HIT_CHARS) -> DataFrame:
+    """Per file: number and kinds of entities, their list and the file's edges as text, as far as ``chars`` shows them."""
     e = F.coalesce("entities", F.array())
 
     def bullet(x: Column) -> Column:
@@ -192,14 +192,14 @@ def file_facts(entity_files: DataFrame, edges: DataFrame) -> DataFrame:
 
     listing = F.array_join(F.transform(e, bullet), "")
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(e, lambda x: x["type"]))), ", ")
-    # A hit is cut to 1000 characters, so the text beyond that is never shown.
+    # A hit is cut to ``chars`` characters, so the text beyond that is never shown.
     facts = entity_files.select(
         F.col("path").alias("source"), F.size(e).alias("total_entities"), kinds.alias("entity_types"),
-        F.left(listing, F.lit(HIT_CHARS + 1)).alias("entity_list"),
+        F.left(listing, F.lit(chars + 1)).alias("entity_list"),
     )
     order = Window.partitionBy("file_path").orderBy("line_number", "source", "target")
-    # The shortest edge line has 20 characters, so 51 of them fill the cut.
-    shown = edges.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= 51)
+    # An edge line has 20 characters at least, which bounds the lines within the cut.
+    shown = edges.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= chars // 20 + 1)
     line = F.concat("source", F.lit(" "), "relationship_type", F.lit(" "), "target", F.lit(" (line "), F.col("line_number").cast("string"), F.lit(")\n"))
     lists = shown.groupBy(F.col("file_path").alias("path")).agg(F.array_sort(F.collect_list(F.struct("rn", line.alias("t")))).alias("l"))
     edge_text = lists.select("path", F.array_join(F.transform("l", lambda s: F.concat(F.lit("- "), s["t"])), "").alias("edge_list"))
@@ -335,7 +335,10 @@ def prompts(questions: DataFrame, hits: DataFrame, summary: DataFrame | None = N
     )
     context = F.coalesce("context", F.lit(NO_CONTEXT))
     if views is not None:
-        base = base.join(views, "filename", "left")
+        # Most questions name no file: their keys are made different, so that they spread over the join's tasks.
+        nobody = F.concat(F.lit("\0"), F.col("qid").cast("string"))
+        named = views.select(F.col("filename").alias("_view"), "file_content")
+        base = base.withColumn("_key", F.coalesce("filename", nobody)).join(named, F.col("_key") == F.col("_view"), "left").drop("_key", "_view")
         seen = F.col("file_content").isNotNull() & ~F.contains(F.lower("file_content"), F.lit("not found"))
         context = F.when(
             seen,

@@ -2,8 +2,9 @@
 
 Spark's file formats skip names that start with ``_`` or ``.``, and those are real source files.  This source
 lists a file system all workers can see and keeps them.  The driver only opens the top of the tree, until there are
-enough directories to share out, and keeps no file names.  Listing can be uneven, so it yields paths only; the paths are
-then spread by hash and each task reads its own files.
+enough directories to share out, and keeps no file names; the directories go into a bounded number of shares.  Listing
+can be uneven, so it yields paths only; the paths are then spread by hash and each task reads its own files.  A directory
+that can't be listed becomes a row of its own with a read error.
 """
 
 from __future__ import annotations
@@ -24,10 +25,19 @@ BATCH_BYTES = 16 * 1024 * 1024
 
 @dataclass
 class _Share(InputPartition):
-    """One directory of a listing task: its own files only, or everything below it."""
+    """Directories of a listing task: of the first ones only their own files, of the others everything below."""
 
-    path: str
-    deep: bool
+    shallow: tuple[str, ...]
+    deep: tuple[str, ...]
+
+
+def _entries(path: str) -> list[os.DirEntry] | None:
+    """Entries of a directory, or None if it can't be listed."""
+    try:
+        with os.scandir(path) as found:
+            return list(found)
+    except OSError:
+        return None
 
 
 class SourceTree(DataSource):
@@ -54,25 +64,29 @@ class _TreeReader(DataSourceReader):
 
     def partitions(self) -> list[_Share]:
         if os.path.isfile(self.path):
-            return [_Share(self.path, False)]
+            return [_Share((self.path,), ())]
         if not os.path.isdir(self.path):
             raise ValueError(f"Path does not exist: {self.path}")
         shallow, deep = [], [self.path]
         while deep and len(deep) < self.splits:
             shallow += deep
-            deep = [e.path for d in deep for e in os.scandir(d) if e.is_dir(follow_symlinks=False)]
-        return [_Share(p, False) for p in shallow] + [_Share(p, True) for p in deep]
+            deep = [e.path for d in deep for e in _entries(d) or [] if e.is_dir(follow_symlinks=False)]
+        n = max(1, min(self.splits, len(shallow) + len(deep)))
+        # Deep directories are dealt from the first share on, shallow ones from the last, so small trees spread as well.
+        return [_Share(tuple(shallow[n - 1 - i :: n]), tuple(deep[i::n])) for i in range(n)]
 
     def read(self, share: _Share) -> Iterator[tuple[str]]:
-        if os.path.isfile(share.path):
-            yield (share.path,)
-            return
-        pending = [share.path]
+        pending = [(p, False) for p in share.shallow] + [(p, True) for p in share.deep]
         while pending:
-            for entry in os.scandir(pending.pop()):
+            path, deep = pending.pop()
+            entries = None if os.path.isfile(path) else _entries(path)
+            if entries is None:
+                yield (path,)
+                continue
+            for entry in entries:
                 if entry.is_dir(follow_symlinks=False):
-                    if share.deep:
-                        pending.append(entry.path)
+                    if deep:
+                        pending.append((entry.path, True))
                 elif entry.name.endswith(self.exts) and entry.is_file():
                     yield (entry.path,)
 

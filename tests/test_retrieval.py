@@ -12,12 +12,11 @@ def _vectors(rng, n, d=8, copies=0):
     return rows + [(n + j, rows[0][1]) for j in range(copies)]
 
 
-@pytest.mark.parametrize("budget", [knn.BROADCAST_BYTES, 0])
-def test_nearest_is_exact(spark, budget, monkeypatch):
+@pytest.mark.parametrize("budget", [knn.BROADCAST_BYTES, 200, 0])
+def test_nearest_is_exact(spark, budget):
     rng = random.Random(11)
     items, queries = _vectors(rng, 120, copies=40), _vectors(rng, 7) + [(99, None)]
     queries[-1] = (99, items[0][1])  # a question that equals a vector held by a quarter of the rows
-    monkeypatch.setattr(knn, "BLOCK_ROWS", 30)
     q = spark.createDataFrame(queries, "qid bigint, embedding array<float>")
     i = spark.createDataFrame(items, "item_id bigint, embedding array<float>").repartition(5)
     got = sorted((r["qid"], r["rank"], r["item_id"]) for r in knn.nearest(q, i, 5, budget).collect())
@@ -28,6 +27,14 @@ def test_nearest_is_exact(spark, budget, monkeypatch):
     assert got == sorted(want)
 
 
+def test_long_ids_count_in_the_budget(spark):
+    q = spark.createDataFrame([("q" * 500 + str(i), [float(i)]) for i in range(4)], "qid string, embedding array<double>")
+    i = spark.createDataFrame([(n, [float(n)]) for n in range(9)], "item_id bigint, embedding array<double>")
+    found = knn.nearest(q, i, 1, 1100)
+    assert len(found.inputFiles()) > 0  # written batch by batch
+    assert sorted((r["qid"][500:], r["item_id"]) for r in found.collect()) == [(str(n), n) for n in range(4)]
+
+
 def test_nearest_without_questions_or_with_few_items(spark):
     q = spark.createDataFrame([(1, [0.0, 1.0])], "qid bigint, embedding array<float>")
     i = spark.createDataFrame([("a", [0.0, 1.0])], "item_id string, embedding array<float>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codestrata.operators import rollups, severity
 from codestrata.plans import analysis
 from codestrata.sources import repos, sinks, tables
-from codestrata.sources.tree import scan_source_tree
+from codestrata.sources.tree import _Share, _TreeReader, scan_source_tree
 
 
 def _tree(root, files: dict):
@@ -40,6 +40,22 @@ def test_scan_single_file_and_missing(spark, tmp_path):
         scan_source_tree(spark, str(tmp_path / "none")).count()
 
 
+def test_wide_trees_get_few_shares(tmp_path):
+    for i in range(300):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "a.py").write_text("1")
+    reader = _TreeReader(str(tmp_path), (".py",), 8)
+    shares = reader.partitions()
+    assert len(shares) == 8 and max(len(s.deep) for s in shares) - min(len(s.deep) for s in shares) <= 1
+    found = [p for s in shares for (p,) in reader.read(s)]
+    assert sorted(found) == sorted(str(tmp_path / f"d{i}" / "a.py") for i in range(300))
+
+
+def test_directory_that_cannot_be_listed_is_a_row(tmp_path):
+    gone = str(tmp_path / "gone")
+    assert list(_TreeReader(str(tmp_path), (".py",), 8).read(_Share((), (gone,)))) == [(gone,)]
+
+
 def test_selection_and_optional_filters(spark, make_files):
     files = make_files({"a.py": "eval(x)", "b.py": "eval(x)", "c.js": "eval(x)"})
     chosen = spark.createDataFrame([("a.py",), ("c.js",), ("zzz",)], "path string")
