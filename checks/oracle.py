@@ -161,7 +161,42 @@ def _union(parts: list[str]) -> str:
 
 LINE_ISSUES = f"{LINES}, issues AS ({_union(_basic(False))})"
 BASIC = f"{LINES}, issues AS ({_union(_basic(True))})"
-ENHANCED = f"{LINES}, {UNTESTED}, issues AS ({_union(_basic(True) + _enhanced() + _untested_issues())})"
+_no_comment = "regexp_replace(regexp_replace(text, '#.*', ''), '//.*', '')"
+_collapsed = f"regexp_replace(trim({_no_comment}, {TRIM}), {_q(SPACE + '+')}, ' ', 'g')"
+NORM = f"""array_to_string(list_transform(regexp_extract_all({_collapsed}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'),
+  lambda w: CASE WHEN regexp_full_match(w, '[A-Za-z_][A-Za-z0-9_]*') THEN 'VAR' ELSE w END), '')"""
+DUPLICATES = f"""fps AS (SELECT path, CASE WHEN language = 'python' THEN 'python' ELSE 'script' END AS lang_group,
+  list(md5(coalesce({NORM}, '')) ORDER BY line) AS fp FROM lines GROUP BY ALL),
+keyed AS (SELECT path, lang_group, i AS start, list_sort(list_distinct(fp[i:i + 4])) AS key FROM fps, unnest(range(1, len(fp) - 3)) AS t(i)),
+blocks AS (SELECT *, len(key) AS n, md5(array_to_string(key, ',')) AS block_id FROM keyed),
+cls AS (SELECT lang_group, block_id, any_value(n) AS n, any_value(key) AS key, count(*) AS members, count(DISTINCT path) AS files,
+  min({{'path': path, 'start': start}}) AS first FROM blocks GROUP BY lang_group, block_id),
+per_file AS (SELECT lang_group, block_id, path, count(*) AS cnt FROM blocks GROUP BY ALL),
+classes AS (SELECT c.lang_group, c.block_id, c.n, c.members, c.files, first.path AS first_path, first.start AS first_start,
+    CAST((c.members * c.members - s.sq) // 2 AS DECIMAL(38,0)) AS pairs
+  FROM cls c JOIN (SELECT lang_group, block_id, sum(cnt * cnt) AS sq FROM per_file GROUP BY ALL) s USING (lang_group, block_id) WHERE files > 1),
+links AS (
+  SELECT a.lang_group, a.block_id AS block5, b.block_id AS block4, a.members AS members5, b.members AS members4,
+    CAST(a.members * b.members - coalesce((SELECT sum(x.cnt * y.cnt) FROM per_file x JOIN per_file y USING (lang_group, path)
+      WHERE x.lang_group = a.lang_group AND x.block_id = a.block_id AND y.block_id = b.block_id), 0) AS DECIMAL(38,0)) AS pairs
+  FROM (SELECT *, unnest(key) AS dropped FROM cls WHERE n = 5) a
+  JOIN cls b ON b.lang_group = a.lang_group AND b.n = 4 AND b.block_id = md5(array_to_string(list_filter(a.key, lambda k: k <> a.dropped), ',')))"""
+BLOCKS = f"{LINES},\n{DUPLICATES}"
+
+
+def _duplication_issues() -> list[str]:
+    """Findings on duplicated blocks; each stands for the number of pairs in ``findings``."""
+    keys = "'DUP-01' AS rule_id, 'duplication' AS category, 'medium' AS severity, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS INTEGER) AS line"
+    rest = "'Consider extracting common code into a shared function or module', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), pairs"
+    return [
+        f"SELECT {keys}, 'Code duplication detected across ' || CAST(files AS VARCHAR) || ' files', {rest} FROM classes",
+        f"SELECT {keys}, 'Code duplication detected between two groups of blocks', {rest} FROM links WHERE pairs > 0",
+    ]
+
+
+_single = _union(_basic(True) + _enhanced() + _untested_issues())
+ENHANCED = f"""{LINES}, {UNTESTED}, {DUPLICATES},
+issues AS (SELECT *, CAST(1 AS DECIMAL(38,0)) AS findings FROM ({_single}) UNION ALL {_union(_duplication_issues())})"""
 
 
 def _any(c: str, words: list[str]) -> str:
@@ -190,7 +225,7 @@ SCORE_TABLE = """score_table(impact_level, likelihood_level, severity_score) AS
   (3, 1, 0.60), (3, 2, 0.67), (3, 3, 0.75), (3, 4, 0.82), (4, 1, 0.77), (4, 2, 0.85), (4, 3, 0.92), (4, 4, 1.00))"""
 SCORED = f"""{SCORE_TABLE},
 leveled AS (SELECT *, {IMPACT} AS impact_level, {LIKELIHOOD} AS likelihood_level
-  FROM (SELECT *, lower(message) AS m, lower(category) AS c, lower(file) AS p FROM issues)),
+  FROM (SELECT *, lower(message) AS m, lower(category) AS c, coalesce(lower(file), '') AS p FROM issues)),
 prioritized AS (SELECT l.*, CAST(severity_score AS DOUBLE) AS severity_score,
     CASE WHEN severity_score >= 0.8 THEN 'P0 - Critical' WHEN severity_score >= 0.6 THEN 'P1 - High'
          WHEN severity_score >= 0.4 THEN 'P2 - Medium' ELSE 'P3 - Low' END AS priority
@@ -201,9 +236,10 @@ scored AS (SELECT *, 'Issue has ' || CASE impact_level WHEN 4 THEN 'critical' WH
     || '. Severity score: ' || CAST(severity_score AS VARCHAR) || '/1.0. Priority: ' || priority || '.' AS reasoning FROM prioritized)"""
 
 KEYS = "rule_id, category, severity, file, line, message, suggestion, impact, test_type"
-KEYS0 = KEYS.replace("line,", "coalesce(line, 0) AS line,")
+KEYS0 = KEYS.replace("file, line,", "coalesce(file, '') AS file, coalesce(line, 0) AS line,") + ", CAST(findings AS VARCHAR) AS findings"
 SCORES = "severity_score, impact_level, likelihood_level, priority, reasoning"
 N = "CAST(count(*) AS BIGINT)"
+FOUND = "CAST(sum(findings) AS BIGINT)"
 
 ORACLE["source_files"] = f"""WITH {FILES} SELECT path, name, parent, stem, ext, language, strlen(content) AS size,
   CASE ext WHEN '.py' THEN 'Python' WHEN '.js' THEN 'JavaScript' WHEN '.jsx' THEN 'JavaScript' ELSE 'TypeScript' END AS display_language,
@@ -232,8 +268,9 @@ ORACLE["priority_summary"] = f"""WITH {BASIC}, {SCORED} SELECT t.label AS priori
 FROM unnest(['P0 - Critical', 'P1 - High', 'P2 - Medium', 'P3 - Low', 'P4 - Info']) AS t(label)
 LEFT JOIN scored s ON s.priority = t.label GROUP BY t.label"""
 ORACLE["risk_assessment"] = f"""WITH {ENHANCED}, {SCORED},
-t AS (SELECT {N} AS total_issues, CAST(count(*) FILTER (priority LIKE 'P0%') AS BIGINT) AS critical_issues,
-  CAST(count(*) FILTER (priority LIKE 'P1%') AS BIGINT) AS high_issues, avg(severity_score) AS a FROM scored)
+t AS (SELECT {FOUND} AS total_issues, CAST(coalesce(sum(findings) FILTER (priority LIKE 'P0%'), 0) AS BIGINT) AS critical_issues,
+  CAST(coalesce(sum(findings) FILTER (priority LIKE 'P1%'), 0) AS BIGINT) AS high_issues,
+  CAST(sum(CAST(round(severity_score * 100) AS BIGINT) * findings) AS DOUBLE) / CAST(sum(findings) AS DOUBLE) / 100 AS a FROM scored)
 SELECT CASE WHEN critical_issues > 0 THEN 'Critical' WHEN high_issues > 3 THEN 'High' WHEN a > 0.6 THEN 'Medium' ELSE 'Low' END AS risk_level,
   round(a, 2) AS risk_score, total_issues, critical_issues, high_issues,
   array_to_string(list_filter([
@@ -246,10 +283,10 @@ SUMMARY = f"""summary AS (SELECT (SELECT count(*) FROM files) AS files_analyzed,
   (SELECT CAST(sum(len(ls)) AS BIGINT) FROM files) AS lines_of_code, (SELECT {N} FROM issues) AS total_issues)"""
 ORACLE["run_summary"] = f"WITH {BASIC}, {SUMMARY} SELECT * FROM summary"
 ORACLE["category_counts"] = f"""WITH {ENHANCED} SELECT category, upper(category[1]) || category[2:] AS name,
-  upper(category[1]) || category[2:] || ' related issues' AS description, {N} AS issues,
-  CASE WHEN count(*) > 10 THEN 'critical' WHEN count(*) > 5 THEN 'high' WHEN count(*) > 2 THEN 'medium' ELSE 'low' END AS level
+  upper(category[1]) || category[2:] || ' related issues' AS description, {FOUND} AS issues,
+  CASE WHEN sum(findings) > 10 THEN 'critical' WHEN sum(findings) > 5 THEN 'high' WHEN sum(findings) > 2 THEN 'medium' ELSE 'low' END AS level
 FROM issues GROUP BY category"""
-ORACLE["severity_counts"] = f"WITH {ENHANCED} SELECT severity, {N} AS issues FROM issues GROUP BY severity"
+ORACLE["severity_counts"] = f"WITH {ENHANCED} SELECT severity, {FOUND} AS issues FROM issues GROUP BY severity"
 ORACLE["console_counts"] = f"""WITH {BASIC} SELECT {N} AS total_issues,
   CAST(count(*) FILTER (severity = 'high') AS BIGINT) AS high_priority,
   CAST(count(*) FILTER (severity = 'medium') AS BIGINT) AS medium_priority,
@@ -259,48 +296,27 @@ ORACLE["file_complexity_top10"] = f"""WITH {BASIC}, s AS (SELECT regexp_extract(
   FROM issues GROUP BY 1)
 SELECT *, CASE WHEN score > 15 THEN 'critical' WHEN score > 10 THEN 'high' WHEN score > 5 THEN 'medium' ELSE 'low' END AS level
 FROM s ORDER BY score DESC, file_name LIMIT 10"""
-_CELLS = ", ".join(f"CAST(count(*) FILTER (priority = '{p}') AS BIGINT) AS \"{p}\"" for p in sev.PRIORITIES)
+_CELLS = ", ".join(f"CAST(coalesce(sum(findings) FILTER (priority = '{p}'), 0) AS BIGINT) AS \"{p}\"" for p in sev.PRIORITIES)
 ORACLE["priority_matrix"] = f"WITH {ENHANCED}, {SCORED} SELECT category, {_CELLS} FROM scored GROUP BY category"
 ORACLE["selection_rollup"] = f"""WITH {BASIC},
 chosen AS (SELECT i.* FROM issues i JOIN files f ON f.path = i.file WHERE f.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
 SELECT 'category' AS counter, category AS value, {N} AS issues FROM chosen GROUP BY category
 UNION ALL SELECT 'severity', severity, {N} FROM chosen GROUP BY severity"""
-ORACLE["summary_report"] = f"""WITH {ENHANCED}, {SUMMARY},
+ORACLE["summary_report"] = f"""WITH {ENHANCED}, {SUMMARY.replace(N, FOUND)},
 sevs(i, s) AS (VALUES (0, 'critical'), (1, 'high'), (2, 'medium'), (3, 'low'))
 SELECT 0 AS ord, '# Code Quality Analysis Report' AS line UNION ALL SELECT 1, 'Generated on: 2024-01-01 00:00:00' UNION ALL SELECT 2, ''
 UNION ALL SELECT 3, '## Summary' UNION ALL SELECT 4, '- **Files Analyzed**: ' || CAST(files_analyzed AS VARCHAR) FROM summary
 UNION ALL SELECT 5, '- **Lines of Code**: ' || format('{{:,}}', lines_of_code) FROM summary
 UNION ALL SELECT 6, '- **Total Issues**: ' || CAST(total_issues AS VARCHAR) FROM summary
 UNION ALL SELECT 7, '' UNION ALL SELECT 8, '## Issues by Severity'
-UNION ALL SELECT 20 + i, '- **' || upper(s[1]) || s[2:] || '**: ' || CAST((SELECT count(*) FROM issues WHERE severity = s) AS VARCHAR) FROM sevs
+UNION ALL SELECT 20 + i, '- **' || upper(s[1]) || s[2:] || '**: ' || CAST((SELECT coalesce(sum(findings), 0) FROM issues WHERE severity = s) AS VARCHAR) FROM sevs
 UNION ALL SELECT 24, '' UNION ALL SELECT 25, '## Issues by Category'
-UNION ALL SELECT 30, '- **' || upper(category[1]) || category[2:] || '**: ' || CAST(count(*) AS VARCHAR) FROM issues GROUP BY category
+UNION ALL SELECT 30, '- **' || upper(category[1]) || category[2:] || '**: ' || CAST(sum(findings) AS VARCHAR) FROM issues GROUP BY category
 UNION ALL SELECT 40, '' UNION ALL SELECT 41, '## Recommendations'
 UNION ALL SELECT 42, '- Focus on critical and high-priority issues first' UNION ALL SELECT 43, '- Implement automated code quality checks'
 UNION ALL SELECT 44, '- Consider code review processes for complex files' UNION ALL SELECT 45, '- Regular monitoring of code quality metrics'"""
 
-_no_comment = "regexp_replace(regexp_replace(text, '#.*', ''), '//.*', '')"
-_collapsed = f"regexp_replace(trim({_no_comment}, {TRIM}), {_q(SPACE + '+')}, ' ', 'g')"
-NORM = f"""array_to_string(list_transform(regexp_extract_all({_collapsed}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'),
-  lambda w: CASE WHEN regexp_full_match(w, '[A-Za-z_][A-Za-z0-9_]*') THEN 'VAR' ELSE w END), '')"""
 ORACLE["normalized_lines"] = f"WITH {LINES} SELECT path, CAST(line AS INTEGER) AS line, coalesce({NORM}, '') AS norm FROM lines"
-BLOCKS = f"""{LINES},
-fps AS (SELECT path, CASE WHEN language = 'python' THEN 'python' ELSE 'script' END AS lang_group,
-  list(md5(coalesce({NORM}, '')) ORDER BY line) AS fp FROM lines GROUP BY ALL),
-keyed AS (SELECT path, lang_group, i AS start, list_sort(list_distinct(fp[i:i + 4])) AS key FROM fps, unnest(range(1, len(fp) - 3)) AS t(i)),
-blocks AS (SELECT *, len(key) AS n, md5(array_to_string(key, ',')) AS block_id FROM keyed),
-cls AS (SELECT lang_group, block_id, any_value(n) AS n, any_value(key) AS key, count(*) AS members, count(DISTINCT path) AS files,
-  min({{'path': path, 'start': start}}) AS first FROM blocks GROUP BY lang_group, block_id),
-per_file AS (SELECT lang_group, block_id, path, count(*) AS cnt FROM blocks GROUP BY ALL),
-classes AS (SELECT c.lang_group, c.block_id, c.n, c.members, c.files, first.path AS first_path, first.start AS first_start,
-    CAST((c.members * c.members - s.sq) // 2 AS DECIMAL(38,0)) AS pairs
-  FROM cls c JOIN (SELECT lang_group, block_id, sum(cnt * cnt) AS sq FROM per_file GROUP BY ALL) s USING (lang_group, block_id) WHERE files > 1),
-links AS (
-  SELECT a.lang_group, a.block_id AS block5, b.block_id AS block4, a.members AS members5, b.members AS members4,
-    CAST(a.members * b.members - coalesce((SELECT sum(x.cnt * y.cnt) FROM per_file x JOIN per_file y USING (lang_group, path)
-      WHERE x.lang_group = a.lang_group AND x.block_id = a.block_id AND y.block_id = b.block_id), 0) AS DECIMAL(38,0)) AS pairs
-  FROM (SELECT *, unnest(key) AS dropped FROM cls WHERE n = 5) a
-  JOIN cls b ON b.lang_group = a.lang_group AND b.n = 4 AND b.block_id = md5(array_to_string(list_filter(a.key, lambda k: k <> a.dropped), ',')))"""
 ORACLE["duplicate_classes"] = f"""WITH {BLOCKS} SELECT lang_group, block_id, CAST(n AS INTEGER) AS n, members, files, first_path,
   CAST(first_start AS INTEGER) AS first_start, CAST(pairs AS VARCHAR) AS pairs FROM classes"""
 ORACLE["duplicate_links"] = f"WITH {BLOCKS} SELECT * REPLACE (CAST(pairs AS VARCHAR) AS pairs) FROM links WHERE pairs > 0"

@@ -25,17 +25,18 @@ def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str, mode: str = "basic") -> DataFrame:
-    return analysis.scored_issues(files_of(spark, sf_dir), mode, duplication=False)
+    return analysis.scored_issues(files_of(spark, sf_dir), mode)
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Counts as bigint: rollups without duplicate pairs stay far below its range."""
+    """Counts as bigint, which holds the pair counts of the given tables."""
     return df.select(*[F.col(f"`{c}`").cast("bigint").alias(c) if t.startswith("decimal") else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def issue_rows(df: DataFrame, *more: str) -> DataFrame:
-    """Issue columns; line 0 stands for a finding about a whole file."""
-    return df.withColumn("line", F.coalesce("line", F.lit(0))).select(*ISSUE_KEYS, *more)
+    """Issue columns; line 0 stands for a finding about a whole file, an empty file for one about several files."""
+    at = {"line": F.coalesce("line", F.lit(0)), "file": F.coalesce("file", F.lit("")), "findings": F.col("findings").cast("string")}
+    return df.withColumns(at).select(*ISSUE_KEYS, "findings", *more)
 
 
 ISSUE_KEYS = ["rule_id", "category", "severity", "file", "line", "message", "suggestion", "impact", "test_type"]
@@ -71,7 +72,7 @@ def basic_issues(spark, sf_dir):
 
 @query
 def enhanced_issues(spark, sf_dir):
-    return issue_rows(analysis.issues(files_of(spark, sf_dir), "enhanced", duplication=False))
+    return issue_rows(analysis.issues(files_of(spark, sf_dir), "enhanced"))
 
 
 @query
@@ -132,12 +133,12 @@ def run_summary(spark, sf_dir):
 
 @query
 def category_counts(spark, sf_dir):
-    return plain(rollups.category_counts(analysis.issues(files_of(spark, sf_dir), "enhanced", duplication=False)))
+    return plain(rollups.category_counts(analysis.issues(files_of(spark, sf_dir), "enhanced")))
 
 
 @query
 def severity_counts(spark, sf_dir):
-    return plain(rollups.severity_counts(analysis.issues(files_of(spark, sf_dir), "enhanced", duplication=False)))
+    return plain(rollups.severity_counts(analysis.issues(files_of(spark, sf_dir), "enhanced")))
 
 
 @query
@@ -167,7 +168,7 @@ def selection_rollup(spark, sf_dir):
 @query
 def summary_report(spark, sf_dir):
     f = files_of(spark, sf_dir)
-    found = analysis.issues(f, "enhanced", duplication=False)
+    found = analysis.issues(f, "enhanced")
     return rollups.summary_report(rollups.run_summary(f, found), found, "2024-01-01 00:00:00").select("ord", "line")
 
 

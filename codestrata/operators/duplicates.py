@@ -6,8 +6,8 @@ when one has five elements and the other is a four-element subset of it.  Both a
 
 The full pair list grows with the square of the copies, so the complete result is kept in a form that
 grows with the lines: *classes* (blocks with equal sets), *links* (a five-set class and a four-set class
-inside it) and the exact number of pairs each stands for.  Pairs are listed for classes of bounded size;
-larger classes stay one row each, with their pair count and members, so nothing is lost.
+inside it) and the exact number of pairs each stands for.  That form is the same at every size; ``members_of``
+lists the places of classes, ``pairs_for_files`` the pairs of chosen files.
 """
 
 from __future__ import annotations
