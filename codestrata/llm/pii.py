@@ -1,9 +1,9 @@
 """Personal data in whole texts, with an offset-preserving deobfuscation.
 
 Base spans come from the text as it is: e-mail addresses, IPv4 addresses, payment cards (Luhn) and phone numbers,
-leftmost and non-overlapping per kind; what fails its check is dropped.  For disguised identifiers three transducers
-rewrite the text - look-alike characters, spelled digits, at/dot disguises - and each keeps the source range of every
-character it writes.  The same detectors run over the rewritten text; spans that use a rewritten character are mapped back
+leftmost and non-overlapping per kind; what fails its check is dropped.  For disguised identifiers four transducers
+rewrite the text - look-alike characters, spelled digits, at/dot in brackets and entities, bare at/dot words around
+whatever at they left - and each keeps the source range of every character it writes.  The same detectors run over the rewritten text; spans that use a rewritten character are mapped back
 to the source and added, unless they lie within a base span of the kind.
 
 Offsets are code points, ends exclusive.  Null text counts as empty: no spans.  Each row is handled for itself, so repeated
@@ -45,13 +45,19 @@ DIGITS = dict(zip("zero one two three four five six seven eight nine".split(), "
 # Letters of the table, full-width forms, decimal digits of any script, characters without width.
 _ODD = re.compile(f"[{''.join(LOOK_ALIKES)}{NO_WIDTH}！-～]|(?![0-9])\\d")
 _SPELLED = "(?:" + "|".join(DIGITS) + ")"
-_SPELLED_RUN = re.compile(rf"(?i)(?:\bplus[ -]+)?\b{_SPELLED}(?:(?:[ -]+|[ ]+(?:dot|point)[ ]+){_SPELLED})+\b")
+_RUN = rf"(?:\bplus[ -]+)?\b{_SPELLED}(?:(?:[ -]+|[ ]+(?:dot|point)[ ]+){_SPELLED})+\b"
+_SPELLED_RUN = re.compile(rf"(?i){_RUN}")
 _SPELLED_PART = re.compile(rf"(?i)(?P<plus>plus[ -]+)|(?P<digit>{_SPELLED})|(?P<dot>[ ]+(?:dot|point)[ ]+)|[ -]+")
-_BRACKETS = re.compile(r"(?i)[ ]?(?:[\[({<][ ]*(?:(?P<at>at|@)|(?P<dot>dot|\.))[ ]*[\])}>]|(?P<at2>&#64;|&commat;)|(?P<dot2>&#46;|&period;))[ ]?")
-_BARE = re.compile(r"(?i)(?<=[A-Za-z0-9]) at (?=[A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+)")
-_BARE_HOST = re.compile(r"(?i)[A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+")
-_BARE_DOT = re.compile(r"(?i) dot ")
-_HINT = re.compile(rf"(?i)[\[({{<][ ]*(?:at|@|dot|\.)[ ]*[\])}}>]|&#64;|&commat;| at [a-z0-9-]+ dot |\b{_SPELLED}[ -]+(?:(?:dot|point)[ ]+)?{_SPELLED}\b")
+# Disguised signs that are rewritten wherever they stand, and the bare words, which count only around an at.
+_AT_SIGN = r"(?:[\[({<][ ]*(?:at|@)[ ]*[\])}>]|&#64;|&commat;)"
+_DOT_SIGN = r"(?:[\[({<][ ]*(?:dot|\.)[ ]*[\])}>]|&#46;|&period;)"
+_DOT_WORD = " dot "
+_SIGNS = re.compile(rf"(?i)[ ]?(?:(?P<at>{_AT_SIGN})|{_DOT_SIGN})[ ]?")
+_AT = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])@(?=[A-Za-z0-9-])|(?<=[A-Za-z0-9]) at (?=[A-Za-z0-9-])")
+_HOST = re.compile(rf"(?i)[A-Za-z0-9-]++(?:(?:\.|{_DOT_WORD})[A-Za-z0-9-]++)++")
+_DOT = re.compile(rf"(?i){_DOT_WORD}|\.")
+# Whatever a transducer can rewrite in an ASCII text: bare words need a dot that is a word or rewritten.
+_HINT = re.compile(rf"(?i){_AT_SIGN}|{_DOT_SIGN}|{_DOT_WORD}|{_RUN}")
 
 
 def luhn(digits: str) -> bool:
@@ -143,17 +149,43 @@ def spelled_digits(text: str):
             yield m.start(), m.end(), "+" if kind == "plus" else DIGITS[m[0].lower()] if kind == "digit" else "." if kind == "dot" else ""
 
 
-def at_and_dot(text: str):
-    edits = [(m.start(), m.end(), "@" if m["at"] or m["at2"] else ".") for m in _BRACKETS.finditer(text)]
-    for m in _BARE.finditer(text):
-        edits.append((m.start(), m.end(), "@"))
-        host = _BARE_HOST.match(text, m.end())
-        edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, host.start(), host.end())]
-    done = 0
-    for a, b, new in sorted(edits):
-        if a >= done:
-            yield a, b, new
-            done = b
+def signs(text: str):
+    for m in _SIGNS.finditer(text):
+        yield m.start(), m.end(), "@" if m["at"] else "."
+
+
+def _local_start(text: str, end: int, floor: int) -> int:
+    """Start of the local part that ends at ``end``: words joined by dots, in signs or as words."""
+    at = end
+    while True:
+        while at > floor and text[at - 1] in LOCAL:
+            at -= 1
+        joint = at - len(_DOT_WORD)
+        if at == end or joint <= floor or text[joint:at].lower() != _DOT_WORD or text[joint - 1] not in LOCAL:
+            return at
+        at, end = joint, joint
+
+
+def bare_words(text: str, changed: np.ndarray):
+    """Edits of bare words around each at; a bare at needs a dot, on either side, that is a word or was rewritten."""
+    floor = 0
+    for m in _AT.finditer(text):
+        host = _HOST.match(text, m.end())
+        if not host or m.start() <= floor:
+            continue
+        start = _local_start(text, m.start(), floor)
+        dots = [*_DOT.finditer(text, start, m.start()), *_DOT.finditer(text, host.start(), host.end())]
+        words = [d for d in dots if d[0] != "."]
+        if m[0] != "@" and not words:
+            # Rewritten numbers ("at one dot two") are no host.
+            last = text[max(text.rfind(".", host.start(), host.end()), host.start()) : host.end()]
+            if not any(changed[d.start()] for d in dots) or not any(c.isalpha() for c in last):
+                continue
+        edits = [(d.start(), d.end(), ".") for d in words]
+        if m[0] != "@":
+            edits.append((m.start(), m.end(), "@"))
+        yield from sorted(edits)
+        floor = host.end()
 
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
@@ -166,8 +198,9 @@ def disguised_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[s
     if not (_HINT.search(text) or (not text.isascii() and _ODD.search(text))):
         return added
     new = Rewritten(text)
-    for transducer in (look_alikes, spelled_digits, at_and_dot):
+    for transducer in (look_alikes, spelled_digits, signs):
         new.replace(transducer(new.text))
+    new.replace(bare_words(new.text, new.changed))
     touched = np.concatenate([[0], np.cumsum(new.changed)])
     for kind, found in DETECTORS.items():
         taken, k = base[kind], 0

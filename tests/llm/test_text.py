@@ -83,6 +83,27 @@ def test_disguises_map_back_to_the_source(text, kind, source):
     assert [text[a:b] for a, b in found[kind]] == [source] and (text[0] == "x" or not base[kind])
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        "john (at) mail dot com", "john at mail (dot) com", "john@mail dot com", "john dot doe at mail dot com", "john@mail&#46;com",
+        "john@mail&period;com", "john dot doe@mail.com", "john [dot] doe at mail dot example (dot) com", "john dot doe (at) mail.com",
+        "john dot a dot doe &#64; mail dot com", "john AT mail DOT com",
+    ],
+)
+def test_mixed_disguises_are_found_whole(source):
+    text = f"write {source}, or call"
+    base = pii.base_spans(text)
+    more = pii.disguised_spans(text, base)
+    assert [text[a:b] for a, b in more["email"]] == [source]
+    assert pii.masked(text, {k: base[k] + more[k] for k in pii.KINDS}) == "write [EMAIL], or call"
+
+
+def test_bare_words_in_prose_are_no_addresses():
+    for text in ["Look at example.com today.", "It was at one dot two then.", "The dot came at noon. A dot is a dot here.", "Ask @john about it."]:
+        assert not any(pii.disguised_spans(text, pii.base_spans(text)).values())
+
+
 def test_plain_prose_gets_no_added_spans():
     text = "He was at one of two places. Dot came at seven. See version 1.2.3 (at home)."
     assert not any(pii.disguised_spans(text, pii.base_spans(text)).values())
