@@ -1,11 +1,17 @@
 """Licence families of paragraphs: sparse word n-gram logistic regression, an unknown class, and template confirmation.
 
-A paragraph is a line with a word.  The classifier is a softmax regression on hashed runs of one to three words (letters
-folded, punctuation at word ends dropped).  Its training set: crops of the template sentences below, and as the unknown
-class at most ``UNKNOWN_ROWS`` lines of at most ``SAMPLE_DOCS`` documents of the corpus (smallest hash of their id) that
-hold no template.  A third of it calibrates the scores by one temperature.  A prediction other than unknown with
-probability ``REPORT_AT`` counts as confirmed if the line holds ``CONFIRM`` of the three-word runs of some sentence of the
-predicted family.
+A paragraph is a run of adjoining lines with a word; signs alone (comment marks, rules) are no words.  The classifier is a
+softmax regression on hashed runs of one to three words (letters folded, punctuation at word ends dropped).  Its training
+set: crops of the template sentences below, and as the unknown class at most ``UNKNOWN_ROWS`` lines of at most
+``SAMPLE_DOCS`` documents of the corpus (smallest hash of their id) outside every passage that holds half a template.  A
+third of it calibrates the scores by one temperature.
+
+Both steps look across line breaks.  A paragraph is predicted if a window of it - a line, adjoining lines up to the length
+of the longest sentence, or a passage with template runs - is other than unknown with probability ``REPORT_AT``.  A family
+is confirmed where ``CONFIRM`` of the three-word runs of one of its sentences stand in a passage of at most ``REACH`` times
+the sentence's words, or in one line, and the classifier gives that passage or line the family.  Of confirmed
+families that claim the same passage (one covers most of the other) the one whose sentence is held more fully stays; all
+others are reported.
 
 Result: one row per document.  Null or empty texts have no paragraphs and no families; repeated ids and texts give
 repeated rows; an empty table gives an empty result, as does a corpus without lines for the unknown class (the templates
@@ -20,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import logistic
 from .common import documents, slices
-from .toxicity import forms
+from .toxicity import _EDGE, forms
 from .words import Words, grams, hash_ranges, mix
 
 DIMS = 1 << 16
@@ -28,8 +34,11 @@ SAMPLE_DOCS = 400
 UNKNOWN_ROWS = 4000
 REPORT_AT = 0.5
 CONFIRM = 0.7
+REACH = 2
 ORDERS = 3
 GAIN = 10.0
+# Words that one step of the classifier works on; bounds its arrays, not the size of a text.
+STEP_WORDS = 1 << 15
 
 # Sentences of public licence texts and of the usual notices that name them.
 TEMPLATES = {
@@ -94,19 +103,29 @@ FAMILIES = list(TEMPLATES)
 
 
 class Lines:
-    """Folded word hashes of a batch, and the first word of each line with a word."""
+    """Folded word hashes of a batch, the first word of each line with a word, and the first word of each paragraph."""
 
     def __init__(self, array):
         self.words = w = Words(array)
         data = np.where((w.data >= 65) & (w.data <= 90), w.data + 32, w.data).astype(np.uint8)
-        self.hashes = hash_ranges(data, *forms(w)) if len(w) else np.zeros(0, np.uint64)
-        opens = np.zeros(len(w), bool)
-        opens[w.first[:-1][w.first[:-1] < w.first[1:]]] = True
+        inner = np.concatenate([[0], np.cumsum(~_EDGE[w.data])])
+        keep = inner[w.end] > inner[w.start]
+        start, end = forms(w)
+        self.hashes = hash_ranges(data, start[keep], end[keep])
+        self.begin, self.end = w.start[keep], w.end[keep]
+        text = w.text_of()[keep]
         breaks = np.concatenate([[0], np.cumsum(w.data == 10)])
-        opens[1:] |= breaks[w.start[1:]] > breaks[w.start[:-1]]
+        self.number = breaks[self.begin] - breaks[w.offsets[text]]  # line of each word in its text
+        other, step = np.diff(text, prepend=-1) != 0, np.diff(self.number, prepend=-1)
+        opens = other | (step != 0)
         self.start = np.flatnonzero(opens)
-        self.first = np.append(self.start, len(w))
-        self.text = w.text_of()[self.start]
+        self.first = np.append(self.start, len(self.hashes))
+        self.text = text[self.start]
+        self.line = np.cumsum(opens) - 1  # of each word
+        self.paragraph = np.cumsum((other | (step > 1))[self.start]) - 1  # of each line
+        fresh = np.diff(self.paragraph, prepend=-1) != 0
+        self.paragraph_text = self.text[fresh]
+        self.paragraph_first = np.append(self.start[fresh], len(self.hashes))
 
     def __len__(self) -> int:
         return len(self.start)
@@ -125,8 +144,8 @@ def of_strings(texts: list[str]) -> Lines:
     return Lines(pa.array(texts, pa.large_string()))
 
 
-def template_runs() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All three-word runs of the sentences: hash and sentence; family and number of runs of each sentence."""
+def template_runs() -> tuple[np.ndarray, ...]:
+    """All three-word runs of the sentences: hash and sentence; family, number of runs and of words of each sentence."""
     sentences = [(f, s) for f, family in enumerate(FAMILIES) for s in TEMPLATES[family]]
     lines = of_strings([s for _, s in sentences])
     *_, (line, h) = lines.runs()
@@ -136,7 +155,7 @@ def template_runs() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             line, h = np.append(line, k), np.append(h, run_hash[run_line == k])
     keep = np.unique(np.stack([h, line.astype(np.uint64)]), axis=1)
     h, line = keep[0], keep[1].astype(np.int64)
-    return h, line, np.array([f for f, _ in sentences]), np.bincount(line, minlength=len(sentences))
+    return h, line, np.array([f for f, _ in sentences]), np.bincount(line, minlength=len(sentences)), np.diff(lines.first)
 
 
 def examples(seed: int = 5, crops: int = 40) -> tuple[list[str], list[int]]:
@@ -168,31 +187,92 @@ def sparse(lines: Lines):
     return np.concatenate(rows), np.concatenate(dims), np.concatenate(shares)
 
 
-def held_runs(lines: Lines, known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line, sentence and share of the sentence's runs, for every sentence of which a line holds a run."""
-    h, sentence, _, size = known
-    out_line, out_sentence = [], []
+def hits(lines: Lines, known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, end and template run of every run that a paragraph shares with a template."""
+    h = known[0]
     order = np.argsort(h, kind="stable")
-    for line, found in lines.runs():
+    begin, end, run = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in range(1, ORDERS + 1):
+        found, at = grams(lines.hashes, lines.paragraph_first, n)
+        found = mix(found + np.uint64(n))
         low, high = np.searchsorted(h[order], found), np.searchsorted(h[order], found, side="right")
         hit = np.flatnonzero(high > low)
         for k in range(int((high - low)[hit].max(initial=0))):
             more = hit[low[hit] + k < high[hit]]
-            out_line.append(line[more])
-            out_sentence.append(order[low[more] + k])
-    if not out_line:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    pairs = np.unique(np.stack([np.concatenate(out_line), np.concatenate(out_sentence)]), axis=1)  # a run counts once
-    pairs, n = np.unique(np.stack([pairs[0], sentence[pairs[1]]]), axis=1, return_counts=True)
-    return pairs[0], pairs[1], n / size[pairs[1]]
+            begin.append(at[more])
+            end.append(at[more] + n)
+            run.append(order[low[more] + k])
+    return np.concatenate(begin), np.concatenate(end), np.concatenate(run)
+
+
+def passages(lines: Lines, known, least: float) -> list[tuple[int, int, int, int, int, float]]:
+    """Passages and lines that hold at least the share ``least`` of a sentence's runs.
+
+    Each: words (from, to) to classify, words (from, to) between the first and last run, sentence, share.
+    """
+    _, sentence_of, _, size, n_words = known
+    begin, end, run = hits(lines, known)
+    sentence = sentence_of[run]
+    need = np.ceil(least * size - 1e-9).astype(np.int64)
+    out = []
+    # Lines by themselves, whatever their length.
+    line = lines.line[begin]
+    inside = np.flatnonzero(lines.line[end - 1] == line)
+    order = inside[np.lexsort((begin[inside], sentence[inside], line[inside]))]
+    cuts = np.flatnonzero((np.diff(line[order], prepend=-1) != 0) | (np.diff(sentence[order], prepend=-1) != 0))
+    ends = np.append(cuts, len(order))[1:]
+    for a, b in zip(cuts, ends, strict=True):
+        s = sentence[order[a]]
+        if b - a >= need[s]:
+            n = len(set(run[order[a:b]].tolist()))
+            if n >= need[s]:
+                i = line[order[a]]
+                out.append((lines.first[i], lines.first[i + 1], begin[order[a]], int(end[order[a:b]].max()), s, n / size[s]))
+    # Passages across lines: from each run the runs within reach; of those that meet, the fullest and shortest.
+    paragraph = lines.paragraph[line]
+    order = np.lexsort((begin, paragraph, sentence))
+    begin, end, run, sentence, paragraph = begin[order], end[order], run[order], sentence[order], paragraph[order]
+    wide = len(lines.hashes) + REACH * int(n_words.max()) + 1
+    group = np.cumsum((np.diff(sentence, prepend=-1) != 0) | (np.diff(paragraph, prepend=-1) != 0))
+    stop = np.searchsorted(group * wide + begin, group * wide + begin + REACH * n_words[sentence])
+    some = []
+    for k in np.flatnonzero(stop - np.arange(len(run)) >= need[sentence]):
+        seen, last = set(), k
+        for j, r in enumerate(run[k : stop[k]].tolist(), k):
+            if r not in seen:
+                seen.add(r)
+                last = j
+        if len(seen) >= need[sentence[k]]:
+            some.append((-len(seen), int(end[last] - begin[k]), k, last))
+    taken = np.zeros(len(run), bool)
+    for n, length, k, last in sorted(some):
+        if not taken[k : last + 1].any():
+            taken[k : last + 1] = True
+            s = sentence[k]
+            out.append((begin[k], begin[k] + length, begin[k], begin[k] + length, s, -n / size[s]))
+    return out
+
+
+def clean_lines(batches):
+    """Lines outside all passages that hold half a template."""
+    import pyarrow as pa
+
+    known = template_runs()
+    for batch in slices(batches, "text"):
+        lines = Lines(batch.column(1))
+        clean = np.ones(len(lines), bool)
+        for _, _, a, b, _, _ in passages(lines, known, 0.5):
+            clean[lines.line[a] : lines.line[b - 1] + 1] = False
+        begin, end = lines.begin[lines.first[:-1][clean]], lines.end[lines.first[1:][clean] - 1]
+        texts = [lines.words.data[a:b].tobytes().decode() for a, b in zip(begin, end, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["line"])
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, unknown_rows: int = UNKNOWN_ROWS) -> dict:
     """Weights, bias and temperature, fitted in one task on the templates and a bounded sample of lines."""
     some = documents(docs, "doc_id", "text").where("doc_id is not null and text is not null")
     chosen = F.broadcast(some.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct())  # bounded rows
-    line = F.explode(F.split("text", "\n"))
-    lines = some.join(chosen, "doc_id").select("doc_id", line.alias("line")).where(F.length("line") > 0)
+    lines = some.join(chosen, "doc_id").select("doc_id", "text").mapInArrow(clean_lines, "line string")
     lines = lines.orderBy(F.xxhash64("line"), "line").limit(unknown_rows)
     one = docs.sparkSession.createDataFrame([("",)], "line string")
     lines = lines.select("line").union(one)
@@ -201,22 +281,18 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, unknown_rows: int = UNK
         import pandas as pd
 
         unknown = of_strings(pdf["line"].tolist())
-        held = held_runs(unknown, template_runs())
-        clean = np.ones(len(unknown), bool)
-        clean[held[0][held[2] >= 0.5]] = False
         r0, d0, s0 = sparse(unknown)
         texts, labels = examples()
         known = of_strings(texts)
         r1, d1, s1 = sparse(known)
         row, dim, share = np.concatenate([r0, r1 + len(unknown)]), np.concatenate([d0, d1]), np.concatenate([s0, s1])
         y = np.concatenate([np.zeros(len(unknown), np.int64), np.array(labels)])
-        use = np.concatenate([clean, np.ones(len(known), bool)])
         fold = np.arange(len(y)) % 3 == 2
         part = lambda keep: (keep[row], np.cumsum(keep)[row] - 1)
-        inside, new = part(use & ~fold)
-        w, bias = logistic.fit_sparse(new[inside], dim[inside], share[inside], y[use & ~fold], len(FAMILIES) + 1, DIMS, steps=60)
-        outside, new = part(use & fold)
-        rest = y[use & fold]
+        inside, new = part(~fold)
+        w, bias = logistic.fit_sparse(new[inside], dim[inside], share[inside], y[~fold], len(FAMILIES) + 1, DIMS, steps=60)
+        outside, new = part(fold)
+        rest = y[fold]
         z = np.stack([np.bincount(new[outside], w[dim[outside], c] * share[outside], minlength=len(rest)) for c in range(w.shape[1])], axis=1) + bias
         losses = [(-np.log(logistic.softmax(z / t)[np.arange(len(rest)), rest] + 1e-12).mean(), t) for t in np.geomspace(0.25, 8, 41)]
         return pd.DataFrame({"weights": [w.astype("<f4").tobytes()], "told": [[*bias, min(losses)[1]]]})
@@ -226,22 +302,73 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, unknown_rows: int = UNK
     return {"weights": np.frombuffer(found["weights"], "<f4").reshape(DIMS, -1), "bias": told[:-1], "temperature": told[-1]}
 
 
-def probabilities(lines: Lines, model: dict) -> np.ndarray:
+def probabilities(lines: Lines, model: dict, low: int, high: int):
+    """Function from ranges of words between ``low`` and ``high``, each within a paragraph, to class probabilities."""
     weights = model["weights"]
-    z = np.tile(model["bias"], (len(lines), 1))
-    for line, h in lines.runs():
-        if len(line):
-            dim = (h % np.uint64(DIMS)).astype(np.int64)
-            opens = np.flatnonzero(np.diff(line, prepend=-1))
-            sums = np.add.reduceat(weights[dim], opens, axis=0)
-            z[line[opens]] += GAIN * sums / np.diff(np.append(opens, len(line)))[:, None]
-    return logistic.softmax(z / model["temperature"])
+    cuts = lines.paragraph_first
+    cuts = cuts[np.searchsorted(cuts, low, side="right") : np.searchsorted(cuts, high)]
+    cuts = np.concatenate([[0], cuts - low, [high - low]])
+    sums = []
+    for n in range(1, ORDERS + 1):
+        h, at = grams(lines.hashes[low:high], cuts, n)
+        total = np.zeros((high - low + 1, weights.shape[1]))
+        total[at + 1] = weights[(mix(h + np.uint64(n)) % np.uint64(DIMS)).astype(np.int64)]
+        sums.append(np.cumsum(total, axis=0, out=total))
+
+    def of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        z = np.tile(model["bias"], (len(a), 1))
+        for n, total in enumerate(sums, 1):
+            size = b - a - n + 1
+            has = np.flatnonzero(size > 0)
+            z[has] += GAIN * (total[b[has] - low - n + 1] - total[a[has] - low]) / size[has, None]
+        return logistic.softmax(z / model["temperature"])
+
+    return of
+
+
+def judged(lines: Lines, model: dict, known) -> tuple[np.ndarray, list[tuple[int, int, int, float]]]:
+    """Whether each paragraph is predicted, and the confirmed passages: words (from, to), family, share."""
+    predicted = np.zeros(len(lines.paragraph_text), bool)
+    held, agreed = sorted(passages(lines, known, CONFIRM)), []
+    from_, to = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
+    first, longest = lines.first, int(known[4].max())
+    low = 0
+    while low < len(lines):
+        high = max(low + 1, int(np.searchsorted(first, first[low] + STEP_WORDS, side="right")) - 1)
+        mine = slice(*np.searchsorted(from_, [first[low], first[high]]))
+        end = first[min(len(lines), int(np.searchsorted(first, first[high] + longest)))]
+        of = probabilities(lines, model, int(first[low]), int(max(end, to[mine].max(initial=0))))
+        i, more = np.arange(low, high), 0
+        while len(i):  # each line with as many lines after it as the longest sentence may take
+            p = of(first[i], first[i + more + 1])
+            predicted[lines.paragraph[i[(p.argmax(axis=1) > 0) & (p.max(axis=1) >= REPORT_AT)]]] = True
+            more += 1
+            i = i[(i + more < len(lines)) & (first[np.minimum(i + more, len(lines))] - first[i] < longest)]
+            i = i[lines.paragraph[i + more] == lines.paragraph[i]]
+        p = of(from_[mine], to[mine])
+        for (_, _, a, b, s, share), best, sure in zip(held[mine], p.argmax(axis=1), p.max(axis=1, initial=0), strict=True):
+            if best > 0 and sure >= REPORT_AT:
+                predicted[lines.paragraph[lines.line[a]]] = True
+                if best == known[2][s] + 1:
+                    agreed.append((int(a), int(b), int(best) - 1, float(share)))
+        low = high
+    agreed = sorted(set(agreed))
+    lost = set()
+    for k, (a, b, family, share) in enumerate(agreed):
+        for j in range(k + 1, len(agreed)):
+            a2, b2, family2, share2 = agreed[j]
+            if a2 >= b:
+                break
+            if family != family2 and share != share2 and 2 * (min(b, b2) - a2) > max(b - a, b2 - a2):
+                lost.add(k if share < share2 else j)
+    return predicted, [x for k, x in enumerate(agreed) if k not in lost]
 
 
 def scan(docs: DataFrame, model: dict) -> DataFrame:
     """``doc_id, n_paragraphs, n_predicted, n_confirmed, families, spans`` of each document.
 
-    ``families``: confirmed ones, sorted and comma-joined; ``spans``: family:line number (from 0) of each confirmed line.
+    ``families``: confirmed ones, sorted and comma-joined; ``spans``: family:line number (from 0) of the first line of each
+    confirmed passage.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = documents(docs, "doc_id", "text")
@@ -253,22 +380,16 @@ def scan(docs: DataFrame, model: dict) -> DataFrame:
         for batch in slices(batches, "text"):
             lines = Lines(batch.column(1))
             n = lines.words.n_texts
-            p = probabilities(lines, shared.value) if len(lines) else np.zeros((0, len(FAMILIES) + 1))
-            best = p.argmax(axis=1)
-            predicted = (best > 0) & (p.max(axis=1, initial=0) >= REPORT_AT)
-            line, sentence, share = held_runs(lines, known)
-            same = predicted[line] & (share >= CONFIRM) & (known[2][sentence] + 1 == best[line])
-            confirmed = np.zeros(len(lines), bool)
-            confirmed[line[same]] = True
-            breaks = np.concatenate([[0], np.cumsum(lines.words.data == 10)])
+            predicted, passed = judged(lines, shared.value, known)
+            confirmed = np.zeros(len(predicted), bool)
             names: list[set] = [set() for _ in range(n)]
-            spans: list[list] = [[] for _ in range(n)]
-            for i in np.flatnonzero(confirmed):
-                t, family = lines.text[i], FAMILIES[best[i] - 1]
-                names[t].add(family)
-                number = breaks[lines.words.start[lines.start[i]]] - breaks[lines.words.offsets[t]]
-                spans[t].append(f"{family}:{number}")
-            count = lambda keep: pa.array(np.bincount(lines.text[keep], minlength=n), pa.int64())
+            spans: list[dict] = [{} for _ in range(n)]
+            for a, _, family, _ in passed:
+                i = lines.line[a]
+                confirmed[lines.paragraph[i]] = True
+                names[lines.text[i]].add(FAMILIES[family])
+                spans[lines.text[i]][f"{FAMILIES[family]}:{lines.number[a]}"] = True
+            count = lambda keep: pa.array(np.bincount(lines.paragraph_text[keep], minlength=n), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), count(slice(None)), count(predicted), count(confirmed), pa.array([",".join(sorted(x)) for x in names], pa.string()), pa.array([",".join(x) for x in spans], pa.string())],
                 names=["doc_id", "n_paragraphs", "n_predicted", "n_confirmed", "families", "spans"],

@@ -186,6 +186,70 @@ def test_licence_families(spark, odd):
     assert [r["families"] for r in licenses.scan(odd, model).collect()] == [""] * 7
 
 
+NOTICES = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "bsd": """Copyright (c) 2020, Jane Doe
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "gpl": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "lgpl": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+}
+
+
+def wrapped(text, width, mark=""):
+    import textwrap
+
+    return "\n".join(mark + line for part in text.split("\n\n") for line in [*textwrap.wrap(part, width), ""])
+
+
+def test_hard_wrapped_notices(spark):
+    prose = "\n".join("".join(chr(97 + (i * k) % 26) for k in range(1, 7)) + " some words of prose stand in this line" for i in range(40))
+    want, texts = [], []
+    for family, notice in NOTICES.items():
+        for width in (40, 70, 80, 2000):
+            for mark in ("", " * ", "# ", "// "):
+                want.append(family)
+                texts.append(f"/*\n{wrapped(notice, width, mark)}\n*/\n{prose}")
+        want.append(family)
+        texts.append(prose + "\n" + wrapped(notice, 75).replace("\n\n", "\n") + prose)  # no blank line anywhere
+    want += ["bsd,mit", "apache-2.0,gpl", "", ""]
+    texts.append(wrapped(NOTICES["mit"], 72) + "\n\n" + wrapped(NOTICES["bsd"], 72))
+    texts.append("Licensed under the Apache License, Version 2.0. This work is licensed under the GNU General Public License, version 3.")
+    texts += [prose, "Permission is hereby granted to no one. The above notice shall be included in the list of conditions."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan(docs, licenses.fit(docs)).collect()}
+    assert [found[i]["families"] for i in range(len(texts))] == want
+    both = found[len(texts) - 4]
+    assert both["n_confirmed"] == 4 and both["spans"].startswith("mit:0,mit:")
+
+
+def test_passages_match_a_plain_search():
+    rng = np.random.default_rng(7)
+    vocabulary = " ".join(licenses.TEMPLATES["mit"] + licenses.TEMPLATES["gpl"]).split()
+    texts = ["".join(w + str(rng.choice([" ", "\n"])) for w in rng.choice(vocabulary, 60)) + licenses.TEMPLATES["isc"][1].replace(" ", "\n", 3) for _ in range(20)]
+    lines, known = licenses.of_strings(texts), licenses.template_runs()
+    isc = [s for s, f in enumerate(known[2]) if licenses.FAMILIES[f] == "isc"][1]
+    found = [(lines.text[lines.line[a]], b - a, share) for _, _, a, b, s, share in licenses.passages(lines, known, 0.9) if s == isc]
+    assert found == [(i, known[4][isc], 1.0) for i in range(20)]
+
+
 def test_probabilities_are_calibrated():
     rng = np.random.default_rng(2)
     y = (rng.random(4000) < 0.3).astype(int)
