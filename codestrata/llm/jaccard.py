@@ -83,7 +83,10 @@ def set_id(found: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, set_id, n_grams, keys`` of each document: 128-bit id of its set, size, band hashes (none without words)."""
+    """``doc_id, set_id, n_grams, keys, text_key`` of each document.
+
+    128-bit id of its set, size, band hashes (none without words), 64-bit hash of the text.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -99,11 +102,12 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             ids = pa.array([set_id(found[a:b]) if b > a else None for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
             values = [keys[i].view(np.int64).tolist() if s else [] for i, s in enumerate(sizes)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), ids, pa.array(sizes, pa.int64()), pa.array(values, pa.list_(pa.int64()))],
-                names=["doc_id", "set_id", "n_grams", "keys"],
+                [batch.column(0), ids, pa.array(sizes, pa.int64()), pa.array(values, pa.list_(pa.int64())), batch.column(2)],
+                names=["doc_id", "set_id", "n_grams", "keys", "text_key"],
             )
 
-    return documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, set_id binary, n_grams long, keys array<long>")
+    rows_of = documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_key", F.xxhash64("text"))
+    return rows_of.mapInArrow(run, "doc_id long, set_id binary, n_grams long, keys array<long>, text_key long")
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -245,12 +249,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """``doc_id, copy_id, class_id, n_links`` of each document."""
+def classes_of(docs: DataFrame, n: int, threshold: float, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and ``set_id, copy_id, copy_key, class_id, class_set, n_links`` of each set.
+
+    ``copy_id``/``copy_key``: smallest id with the set and the text's hash there; ``class_set``: the set that ``class_id`` is of,
+    as several sets, of one class or of different ones, may have the same smallest id.
+    """
     bands, rows = choose_bands(threshold, recall)
     rows_of = staged(sketches(docs, n, bands, rows), "sketches")
     known = rows_of.where("doc_id is not null and set_id is not null")
-    reps = known.groupBy("set_id").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys"))
+    first = F.min(F.struct("doc_id", "text_key"))
+    reps = known.groupBy("set_id").agg(first.alias("copy"), F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys"))
+    reps = reps.select("set_id", F.col("copy.doc_id").alias("copy_id"), F.col("copy.text_key").alias("copy_key"), "weight", "keys")
     reps = staged(reps.withColumn("rep", F.xxhash64("set_id")), "reps")
     keyed = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     # Buckets with two members at least; of those with the same members only the first.
@@ -279,17 +289,33 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
 
     roots = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = reps.select("set_id", "rep", "copy_id", "weight").join(linked, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    firsts = classes.where("root is not null").groupBy("root").agg(F.min("copy_id").alias("first_id"))
-    classes = classes.join(firsts, "root", "left").select(
-        "set_id", "copy_id", F.coalesce("first_id", "copy_id").alias("class_id"),
+    classes = reps.select("set_id", "rep", "copy_id", "copy_key", "weight").join(linked, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    firsts = classes.where("root is not null").groupBy("root").agg(F.min(F.struct("copy_id", "set_id")).alias("own"))
+    return rows_of, classes.join(firsts, "root", "left").select(
+        "set_id", "copy_id", "copy_key", F.coalesce("own.copy_id", classes["copy_id"]).alias("class_id"), F.coalesce("own.set_id", classes["set_id"]).alias("class_set"),
         (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
     )
+
+
+def representatives(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """``doc_id, text_key`` (xxhash64 of the text) of one document of each class, and of all documents without words.
+
+    Other rows that repeat the id aren't named by it.  Null ids take no part.
+    """
+    rows_of, classes = classes_of(docs, n, threshold, recall, block)
+    chosen = classes.where("set_id = class_set").select(F.col("copy_id").alias("doc_id"), F.col("copy_key").alias("text_key"))
+    return chosen.union(rows_of.where("doc_id is not null and set_id is null").select("doc_id", "text_key").distinct())
+
+
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """``doc_id, copy_id, class_id, n_links`` of each document."""
+    rows_of, classes = classes_of(docs, n, threshold, recall, block)
+    known = rows_of.where("doc_id is not null and set_id is not null")
     # Rows without a set or an id keep their own id; the others find their set, whose copies may be very many.
     alone = rows_of.where("doc_id is null or set_id is null").select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     spread = 32
     many = known.select("doc_id", "set_id", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).alias("salt"))
-    copies = classes.where("n_links > 0").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    copies = classes.select("set_id", "copy_id", "class_id", "n_links").where("n_links > 0").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
     told = many.join(copies, ["set_id", "salt"], "left")
     own = F.col("doc_id")
     return told.select("doc_id", F.coalesce("copy_id", own).alias("copy_id"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")).union(alone)

@@ -27,14 +27,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one whose id is the class's; repeated rows of that id count once."""
-    classes = jaccard.join(docs)
-    chosen = classes.where("doc_id = class_id").select("doc_id").distinct()
-    # Texts move once: the merge join deals them by id, and the ranking of rows that repeat an id needs no other order.
-    rows = docs.select(*COLUMNS).join(chosen.hint("merge"), "doc_id", "left_semi")
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
-    kept = rows.withColumn("nth", once).where("nth = 1").select(*COLUMNS)
-    return kept.union(docs.select(*COLUMNS).where("doc_id is null"))
+    """One document of each class of near copies: the one whose id and text are the class's; exact repeats of it count once.
+
+    Rows that repeat an id with another text are documents of their own.  A null id takes part under a stand-in made of the
+    text, above usual ids, and stays null.
+    """
+    stand_in = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
+    rows = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("row_id"), F.xxhash64("text").alias("text_key"))
+    chosen = jaccard.representatives(rows.select(F.col("row_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row_id")
+    # Texts move once: the merge join deals them by id and text hash, and the ranking of exact repeats needs no other order.
+    rows = rows.join(chosen.hint("merge"), ["row_id", "text_key"], "left_semi")
+    once = F.row_number().over(Window.partitionBy("row_id", "text_key").orderBy("text", F.col("doc_id").asc_nulls_last(), "lang", "source", "n_chars"))
+    return rows.withColumn("nth", once).where("nth = 1").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -275,6 +275,28 @@ def test_neighbours_of_few_or_no_rows(spark):
 # ---- pipeline ---------------------------------------------------------------------------------------------
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    def text(k, last=""):
+        return " ".join(f"w{k}x{i}" for i in range(60)) + last
+
+    data = [
+        (3, text(1)), (7, text(1)), (7, text(2)),  # a copy and a text of its own under one id
+        (8, text(3)), (8, text(4)), (8, text(4)), (9, text(4, " near")),  # two texts, one of them twice and nearly again
+        (None, text(5)), (None, text(5)), (None, text(6)), (None, text(3)),  # copies among null ids and of a known id
+        (10, text(7)), (10, text(7, " near")), (11, text(8)), (11, text(8, " near")), (11, text(9)),  # near copies under one id
+        (12, ""), (12, ""), (12, None), (13, ""), (None, None), (None, None),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    for rows in (docs, docs.orderBy("n_chars", "text")):
+        found = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, rows, "").collect()]
+        alike = collections.Counter((d, (t or "").removesuffix(" near")) for d, t in found)
+        want = [(3, 1), (7, 2), (8, 3), (8, 4), (None, 5), (None, 6), (10, 7), (11, 8), (11, 9)]
+        assert alike == collections.Counter([*((d, text(k)) for d, k in want), (12, ""), (12, ""), (13, ""), (None, "")])
+        assert (8, text(4)) in found
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from codestrata.llm import quality
