@@ -102,3 +102,80 @@ SELECT s.doc_id, coalesce(c.copy_id, s.doc_id) AS copy_id, coalesce(k.class_id,
 FROM sets s LEFT JOIN copies c ON list_contains(c.docs, s.doc_id)
 LEFT JOIN classes k ON c.copy_id = k.copy_id LEFT JOIN counts l ON c.copy_id = l.copy_id
 """
+
+# Turn ids are MD5 of role and text; a node is told by its turn ids one after the other.  The unsigned CRC-32 goes bit by bit.
+ORACLE["op11_prefix_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, strlen(coalesce(text, '')) AS bytes, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS tid
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (
+  SELECT conv_id, list({'tid': tid, 'bytes': bytes} ORDER BY turn NULLS FIRST, tid) AS own,
+    xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))),
+      lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 9 AS h
+  FROM turns GROUP BY conv_id
+),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(list_slice(coalesce(b.own, []), 1, c.h), list_slice(c.own, c.h + 1, len(c.own))) AS seq
+  FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 5
+),
+places AS (
+  SELECT conv_id, len(seq) AS total, seq, array_to_string(list_transform(seq, lambda t: t.tid), '') AS path, unnest(range(0, len(seq) + 1)) AS depth FROM rebuilt
+),
+nodes AS (
+  SELECT depth, left(path, 32 * depth) AS p, min(conv_id) AS conv_id, count(*) AS n, coalesce(any_value(CASE WHEN depth > 0 THEN seq[depth].bytes END), 0) AS bytes,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (total = depth), '')) AS ends
+  FROM places GROUP BY ALL
+),
+kids AS (SELECT depth - 1 AS depth, left(p, 32 * (depth - 1)) AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+told AS (SELECT v.*, coalesce(k.n, 0) AS n_children FROM nodes v LEFT JOIN kids k ON k.depth = v.depth AND k.p = v.p),
+up AS (SELECT unnest(range(0, depth + 1)) AS above, p, CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf, (n - 1) * bytes AS saved FROM told),
+below AS (SELECT above AS depth, left(p, 32 * above) AS p, sum(leaf) AS n_leaves, sum(saved) AS saved FROM up GROUP BY ALL)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n AS n_convs, CAST(v.n_children AS BIGINT) AS n_children,
+       CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+FROM told v JOIN below b ON b.depth = v.depth AND b.p = v.p
+LEFT JOIN nodes u ON u.depth = v.depth - 1 AND u.p = left(v.p, 32 * (v.depth - 1))
+"""
+
+ORACLE["op12_warc_revisits"] = r"""
+WITH told AS (SELECT page_id, url, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+placed AS (
+  SELECT *, row_number() OVER w AS nth, first_value(page_id) OVER w AS chosen FROM told
+  WINDOW w AS (PARTITION BY html ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST)
+)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND nth > 1 THEN chosen END AS refers_to
+FROM placed
+"""
+
+ORACLE["op13_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM words),
+grams AS (
+  SELECT lang, 1 AS len, ws[i] AS phrase, NULL AS l1, NULL AS r1, NULL AS l2, NULL AS r2 FROM places
+  UNION ALL SELECT lang, 2, ws[i] || ' ' || ws[i + 1], ws[i], ws[i + 1], NULL, NULL FROM places WHERE i < len(ws)
+  UNION ALL SELECT lang, 3, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2], ws[i], ws[i + 1] || ' ' || ws[i + 2], ws[i] || ' ' || ws[i + 1], ws[i + 2] FROM places WHERE i + 1 < len(ws)
+),
+counts AS (SELECT lang, len, phrase, l1, r1, l2, r2, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, sum(len(ws)) AS n FROM words GROUP BY lang),
+inner_two AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, l2 AS phrase, f FROM counts WHERE len = 3 UNION ALL SELECT lang, r1, f FROM counts WHERE len = 3) GROUP BY ALL),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, 1 AS k, l.f AS l, r.f AS r
+  FROM counts c JOIN counts l ON l.lang = c.lang AND l.phrase = c.l1 JOIN counts r ON r.lang = c.lang AND r.phrase = c.r1
+  LEFT JOIN inner_two t ON c.len = 2 AND t.lang = c.lang AND t.phrase = c.phrase
+  WHERE c.len > 1 AND (t.f IS NULL OR 100 * t.f < 50 * c.f)
+  UNION ALL
+  SELECT c.lang, c.phrase, c.f, 2, l.f, r.f
+  FROM counts c JOIN counts l ON l.lang = c.lang AND l.phrase = c.l2 JOIN counts r ON r.lang = c.lang AND r.phrase = c.r2
+),
+scored AS (SELECT *, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""

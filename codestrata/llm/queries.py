@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, licenses, lm, mixing, packing, pii, quality, rans, toxicity
+from . import ann, jaccard, licenses, lm, mixing, packing, phrases, pii, quality, rans, toxicity, trie, warc
 
 REGISTRY = {}
 
@@ -79,3 +79,18 @@ def op9_toxicity(spark, sf_dir):
 @query
 def op10_jaccard_join(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(*trie.rebuilt(trie.numbered(table(spark, sf_dir, "conversations"))))
+
+
+@query
+def op12_warc_revisits(spark, sf_dir):
+    return warc.resolve(warc.read(spark, warc.archive(table(spark, sf_dir, "pages"))))
+
+
+@query
+def op13_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
