@@ -31,7 +31,7 @@ from .words import hash_ranges, mix
 SHARDS = 3
 SLOTS = 1 << 23
 NEVER = 255
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 BITMAP_BITS = 32768  # of one result of bitmap_construct_agg
 
 # Fixed values of the task: what ends a piece, and what parts words within one.
