@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,14 @@ class Reached:
             part[bits[: len(part)] & (part == NEVER)] = step
         return bool(rows)
 
+    def packed(self) -> bytes:
+        """For a broadcast: slots that hold nothing take next to no room."""
+        return zlib.compress(self.table, 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(2, -1)
+
 
 def steps_of(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Step at which each phrase reached the threshold by the tables, or ``NEVER``."""
@@ -142,7 +151,7 @@ def counting(tables, step: int, shards: int, longest: int, salt: int):
     """Arrow function: phrases that count at ``step``, with the step they count from, per slice of texts."""
 
     def run(batches):
-        reached = tables.value
+        reached = [unpacked(t) for t in tables.value]
         for batch in common.slices(batches, "text", SLICE_BYTES):
             pieces = Pieces(batch.column("text"))
             w = pieces.hashes(batch.column("lang").to_pylist(), salt)
@@ -173,7 +182,7 @@ def naming(table, salt: int):
     """Arrow function: texts of the words in the table, and the number of all words by language, per slice of texts."""
 
     def run(batches):
-        wanted = table.value
+        wanted = unpacked(table.value)
         for batch in common.slices(batches, "text", SLICE_BYTES):
             pieces, langs = Pieces(batch.column("text")), batch.column("lang").to_pylist()
             w = pieces.hashes(langs, salt)
@@ -210,7 +219,7 @@ def count_phrases(texts: DataFrame, threshold: int, longest: int, shards: int, s
     last = [0] * longest  # of each length: the last step at which one of its phrases began to count
     state, whole, step = None, {n: [] for n in range(1, longest + 1)}, 0
     while step < max(last) + shards:
-        tables = spark.sparkContext.broadcast([s.table for s in sketches])
+        tables = spark.sparkContext.broadcast([s.packed() for s in sketches])
         rows = texts.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(counting(tables, step, shards, longest, salt), schema)
         rows = rows.withColumn("reached", F.lit(None).cast("int"))
         if state is not None:
@@ -257,7 +266,7 @@ def collocations(docs: DataFrame, top: int = 2000, threshold: int = 10, longest:
     used = Reached(slots)
     for n in range(2, longest + 1):
         used.add(counted[n].select(F.explode(F.array(*words_of[n])).alias("w")), ["w"], 0)
-    table = spark.sparkContext.broadcast(used.table)
+    table = spark.sparkContext.broadcast(used.packed())
     named = texts.select("lang", "text").mapInArrow(naming(table, salt), "w long, lang string, word string, n long")
     named = common.staged(named.groupBy("w", "lang", "word").agg(F.sum("n").alias("n")), "phrase-words")
     names, totals = named.where("w is not null").select("w", "lang", "word"), named.where("w is null").select("lang", "n")
