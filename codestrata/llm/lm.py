@@ -30,6 +30,8 @@ UNSEEN = 0.5
 HASH_BITS = 60
 # Text of a chunk: the larger, the fewer n-grams are sent twice; a task holds one chunk at a time.
 CHUNK_BYTES = 12 << 20
+# N-grams, each as often as it occurs, that a bucket takes on average.
+BUCKET_GRAMS = 6_000_000
 
 
 def orders_of(w: Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -54,20 +56,21 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def pack_counts(values: np.ndarray) -> bytes:
+    """64-bit counts as byte planes; the upper ones are empty but for huge counts and vanish under compression."""
     import zstandard
 
-    return zstandard.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
 
 
 def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """``chunk, doc_ids, sizes, data``: whole documents, about ``chunk_bytes`` of text in each row, compressed."""
+    """``chunk, n_words, doc_ids, sizes, data``: whole documents, about ``chunk_bytes`` of text in each row, compressed."""
 
     def run(batches):
         import pyarrow as pa
@@ -79,12 +82,14 @@ def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         for batch in slices(batches, "text", chunk_bytes):
             chunk, text = (part << 32) + k, batch.column(1)
             k += 1
-            data = zstandard.compress(Words(text).data.tobytes(), 6)
+            words = Words(text)
+            data = zstandard.compress(words.data.tobytes(), 6)
             ids, sizes = batch.column(0).cast(pa.string()).to_pylist(), pc.binary_length(text).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([ids], pa.list_(pa.string())), pa.array([sizes], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["chunk", "doc_ids", "sizes", "data"])
+            columns = [pa.array([chunk]), pa.array([len(words)]), pa.array([ids], pa.list_(pa.string())), pa.array([sizes], pa.list_(pa.int64())), pa.array([data], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "n_words", "doc_ids", "sizes", "data"])
 
     rows = documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "chunk long, doc_ids array<string>, sizes array<long>, data binary")
+    return rows.mapInArrow(run, "chunk long, n_words long, doc_ids array<string>, sizes array<long>, data binary")
 
 
 def words_of(sizes, data: bytes) -> Words:
@@ -136,21 +141,26 @@ def counted(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInPandas(run, "chunk long, bucket int, totals binary")
 
 
-def score_texts(w: Words, found: list[tuple[np.ndarray, np.ndarray]], keys: np.ndarray, totals: np.ndarray, words_in_corpus: int, alpha: float, unseen: float) -> np.ndarray:
-    """Sum of the logarithms of the stupid-backoff scores of each text; ``totals`` are the counts of ``keys``."""
+def score_texts(first: np.ndarray, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], words_in_corpus: int, alpha: float, unseen: float) -> np.ndarray:
+    """Sum of the logarithms of the stupid-backoff scores of each text.
+
+    ``first``: first word of each text and the number of words; ``found``: by order the hashes of the n-grams, their first words
+    and their counts in the corpus.
+    """
     import pandas as pd
 
-    text = w.text_of()
-    sizes = np.diff(w.first)
+    n_texts, n_words = len(first) - 1, int(first[-1])
+    sizes = np.diff(first)
+    text = np.repeat(np.arange(n_texts), sizes)
     left = []  # by order: counts without the text's own, at each first word
-    for grams, at in found:
+    for grams, at, totals in found:
         code, _ = pd.factorize(grams ^ (text[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
         own = np.bincount(code)[code] if len(code) else code
-        rest = np.zeros(len(w), np.int64)
-        rest[at] = totals[np.searchsorted(keys, grams)] - own
+        rest = np.zeros(n_words, np.int64)
+        rest[at] = totals - own
         left.append(rest)
-    out, open_ = np.zeros(len(w)), np.ones(len(w), bool)
-    place = np.arange(len(w)) - w.first[:-1][text]
+    out, open_ = np.zeros(n_words), np.ones(n_words, bool)
+    place = np.arange(n_words) - first[:-1][text]
     for n in range(len(found), 0, -1):
         fits = open_ & (place >= n - 1)
         word = np.flatnonzero(fits)
@@ -164,26 +174,30 @@ def score_texts(w: Words, found: list[tuple[np.ndarray, np.ndarray]], keys: np.n
     never = np.flatnonzero(open_)
     rest = np.maximum((words_in_corpus - sizes)[text[never]], 1)
     out[never] = np.log(unseen) - np.log(rest) + np.minimum(len(found) - 1, place[never]) * np.log(alpha)
-    return np.bincount(text, out, minlength=w.n_texts)
+    return np.bincount(text, out, minlength=n_texts)
 
 
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, unseen: float = UNSEEN, chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
-    """``doc_id, n_words, log_score, mean_log_score`` of each document."""
-    spark = docs.sparkSession
-    chunks = staged(chunked(docs, chunk_bytes), "chunks")
-    if buckets is None:  # more partitions ask for more buckets; the scores don't depend on their number
-        buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = requests(chunks, order, buckets)
-    answers = counted(asked)
+def with_totals(found: list[tuple[np.ndarray, np.ndarray]], totals: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The n-grams with their counts; ``totals`` are those of the distinct n-grams of all orders, by ascending hash."""
+    import pandas as pd
 
-    def words(batches):
-        import pyarrow as pa
-        import zstandard
+    code, kinds = pd.factorize(np.concatenate([grams for grams, _ in found]))
+    by_code = np.empty(len(kinds), np.int64)
+    by_code[np.argsort(kinds)] = totals
+    each = np.split(by_code[code], np.cumsum([len(grams) for grams, _ in found])[:-1])
+    return [(grams, at, t) for (grams, at), t in zip(found, each, strict=True)]
+
+
+def buckets_for(words: int, order: int) -> int:
+    """Buckets of about ``BUCKET_GRAMS`` n-grams, so that a bucket's size does not grow with the corpus."""
+    return max(64, -(-words * order // BUCKET_GRAMS))
 
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(len(words_of(r["sizes"], zstandard.decompress(r["data"]))) for r in batch.to_pylist())], pa.int64())], names=["n"])
 
-    total = chunks.select("sizes", "data").mapInArrow(words, "n long").agg(F.sum("n")).first()[0] or 0
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, unseen: float = UNSEEN, chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
+    """``doc_id, n_words, log_score, mean_log_score`` of each document."""
+    chunks = staged(chunked(docs, chunk_bytes), "chunks")
+    total = chunks.agg(F.sum("n_words")).first()[0] or 0
+    answers = counted(requests(chunks, order, buckets or buckets_for(total, order)))
 
     def run(left, right):
         import pandas as pd
@@ -193,20 +207,23 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, unseen: flo
         if not len(left):
             return out
         sizes, data = np.asarray(left["sizes"].iloc[0], np.int64), zstandard.decompress(left["data"].iloc[0])
-        keys = np.unique(np.concatenate([np.unique(h) for h, _ in orders_of(words_of(sizes, data), order)]))
+        w = words_of(sizes, data)
+        first, ends = w.first, np.cumsum(sizes)
+        found = orders_of(w, order)
+        del w, data
         right = right.sort_values("bucket")
-        totals = np.concatenate([unpack_counts(t) for t in right["totals"]]) if len(right) else np.zeros(0, np.int64)
-        ends = np.cumsum(sizes)
-        counts, values, first = [], [], 0
-        while first < len(sizes):  # a part of the chunk's texts at a time, to bound the arrays
-            begin = int(ends[first] - sizes[first])
-            last = max(first + 1, int(np.searchsorted(ends, begin + SLICE_BYTES // 2, side="right")))
-            w = words_of(sizes[first:last], data[begin : int(ends[last - 1])])
-            counts.append(np.diff(w.first))
-            values.append(score_texts(w, orders_of(w, order), keys, totals, total, alpha, unseen) if len(w) else np.zeros(w.n_texts))
-            first = last
+        found = with_totals(found, np.concatenate([unpack_counts(t) for t in right["totals"]]) if len(right) else np.zeros(0, np.int64))
+        values, a = [], 0
+        while a < len(sizes):  # a part of the chunk's texts at a time, to bound the arrays
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + SLICE_BYTES // 2, side="right")))
+            part = []
+            for grams, at, totals in found:
+                lo, hi = np.searchsorted(at, [first[a], first[b]])
+                part.append((grams[lo:hi], at[lo:hi] - first[a], totals[lo:hi]))
+            values.append(score_texts(first[a : b + 1] - first[a], part, total, alpha, unseen))
+            a = b
         ids = pd.array([None if x is None else int(x) for x in left["doc_ids"].iloc[0]], dtype="Int64")
-        return pd.DataFrame({"doc_id": ids, "n_words": np.concatenate(counts), "log_score": np.concatenate(values)})
+        return pd.DataFrame({"doc_id": ids, "n_words": np.diff(first), "log_score": np.concatenate(values)})
 
-    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, "doc_id long, n_words long, log_score double")
+    scored = chunks.drop("n_words").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, "doc_id long, n_words long, log_score double")
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
