@@ -9,10 +9,10 @@ numbers at one offset.
    rounded up to the largest of its group.
 2. Configurations of rounded sizes that fill a sequence are chosen by a linear program (column generation: a bounded
    knapsack prices new configurations), rounded down; what is left is packed by best fit with the small pieces.
-3. Actual pieces, largest first, take the places of their group's rounded size.
-4. Small pieces go, largest first, where they fit best; new sequences open only when nothing fits.
-
-If plain best fit over all lengths needs fewer sequences than that, its plan is taken instead.
+3. Actual pieces, largest first, take the places of their group's rounded size; the last place of a configuration and
+   the space that rounding left behind it go to the largest pieces left that fit.
+4. Small pieces, and large ones that no whole configuration took, go largest first where they fit best; new sequences open
+   only when nothing fits.
 
 A piece's rank within its length is its place in its part of the staged table plus the counts of earlier parts.  Null text:
 empty, so the end id alone.  Rows that repeat an id are documents of their own.  An empty table gives no pieces.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import documents, slices, staged
 
 CAPACITY = 2048
-SMALL = 8
-GROUPS = 40
+SMALL = 4
+GROUPS = 80
 PIECES = "doc_id long, piece int, start long, length long, part int, nth long, ids binary"
 
 
@@ -189,36 +189,50 @@ def configurations(sizes: list[int], numbers: np.ndarray, capacity: int, rounds:
     return [(c, float(u)) for c, u in zip(base, use, strict=True)]
 
 
+def substituted(plan: Plan, config: np.ndarray, members: list[list[int]], number: int) -> None:
+    """Open ``number`` sequences of one configuration and put actual pieces, largest first, where it has rounded sizes.
+
+    Rounding leaves space in each sequence.  The configuration's smallest place, and what is still free behind it, therefore goes
+    to the largest pieces left that fit, which are no shorter than its group's.
+    """
+    first = plan.open(number)
+    ranges = [(first, number, plan.capacity)]  # sequences with equal free space
+    wanted = [g for g in np.flatnonzero(config) for _ in range(int(config[g]))]
+    for g in wanted[:-1]:
+        after = []
+        for at, many, space in ranges:
+            while many:
+                length = next(x for x in members[g] if plan.rest[x])
+                used = min(many, int(plan.rest[length]))
+                plan.place(length, used, at, space)
+                after.append((at, used, space - length))
+                at, many = at + used, many - used
+        ranges = after
+    while ranges:
+        at, many, space = ranges.pop()
+        fits = np.flatnonzero(plan.rest[: space + 1])
+        if not len(fits):
+            plan.give(space, at, many)
+            continue
+        length = int(fits[-1])
+        used = min(many, int(plan.rest[length]))
+        plan.place(length, used, at, space)
+        ranges += [(at + used, many - used, space)] * (used < many) + [(at, used, space - length)] * (space > length)
+
+
 def plan_of(counts: np.ndarray, capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> Plan:
     """The runs that place all pieces; ``counts`` has the number of pieces of each length."""
-    grouping = Plan(counts, capacity)
+    plan = Plan(counts, capacity)
     sizes, numbers, of = grouped(counts, capacity // small, groups)
     if sizes:
         members = [[int(x) for x in np.flatnonzero(of == g)[::-1]] for g in range(len(sizes))]
         for config, use in configurations(sizes, numbers, capacity):
-            left = [int(grouping.rest[m].sum()) for m in members]
+            left = [int(plan.rest[m].sum()) for m in members]
             number = min([int(use + 1e-6), *(left[g] // int(c) for g, c in enumerate(config) if c)])
-            if not number:
-                continue
-            first = grouping.open(number)
-            ranges = [(first, number, capacity)]  # sequences with equal free space
-            for g in np.flatnonzero(config):
-                for _ in range(int(config[g])):
-                    after = []
-                    for at, many, space in ranges:
-                        while many:  # the group's actual pieces, largest first
-                            length = next(x for x in members[g] if grouping.rest[x])
-                            used = min(many, int(grouping.rest[length]))
-                            grouping.place(length, used, at, space)
-                            after.append((at, used, space - length))
-                            at, many = at + used, many - used
-                    ranges = after
-            for at, many, space in ranges:
-                grouping.give(space, at, many)
-    grouping.best_fit()
-    plain = Plan(counts, capacity)
-    plain.best_fit()
-    return grouping if grouping.opened <= plain.opened else plain
+            if number:
+                substituted(plan, config, members, number)
+    plan.best_fit()
+    return plan
 
 
 def placements(found: DataFrame, plan: Plan) -> DataFrame:
