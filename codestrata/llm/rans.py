@@ -26,36 +26,51 @@ BLOCK_TOKENS = 65_536
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
-CODED_AT_ONCE = 2_000_000
+CODED_AT_ONCE = 4_000_000
 
-IDS = "doc_id long, n_tokens long, ids binary"
+IDS = "doc_id long, n_tokens long, ids binary, key long, row long"
 BLOCKS = """file int, block int, first long, n_tokens long, doc_ids array<long>, doc_tokens array<long>,
     crc32 long, states binary, words binary, checkpoint_at array<long>, checkpoint_states binary"""
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids``: ids of each whole text and the end id, as little-endian unsigned 32-bit integers."""
+def id_type(tokenizer: str, end_id: int) -> str:
+    """Type of the ids between the steps: two bytes where the vocabulary allows it."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", dtype: str = "<u4") -> DataFrame:
+    """``doc_id, n_tokens, ids``: ids of each whole text and the end id, as little-endian unsigned integers.
+
+    ``key`` (CRC-32 of the ids) and ``row`` order rows that repeat an id.
+    """
 
     def run(batches):
         import pyarrow as pa
 
+        from pyspark import TaskContext
+
         from .tokens import encoder
 
-        enc = encoder(tokenizer)
+        enc, row, width = encoder(tokenizer), TaskContext.get().partitionId() << 33, np.dtype(dtype).itemsize
         for batch in slices(batches, "text"):
             ids, counts = enc.encode(batch.column(1))
             upto = np.cumsum(counts)
-            ids = np.insert(ids, upto, end_id).astype("<u4")
-            ends = 4 * (upto + np.arange(1, len(counts) + 1))
-            offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64))
-            value = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, offsets, pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts + 1, pa.int64()), value.cast(pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            ids = np.insert(ids, upto, end_id).astype(dtype)
+            ends = np.concatenate([[0], width * (upto + np.arange(1, len(counts) + 1))]).astype(np.int64)
+            value = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            raw = memoryview(ids).cast("B")
+            keys = pa.array([zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.int64())
+            rows = pa.array(np.arange(row, row + len(counts)))
+            row += len(counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts + 1, pa.int64()), value.cast(pa.binary()), keys, rows], names=["doc_id", "n_tokens", "ids", "key", "row"])
 
     rows = documents(docs, "doc_id", text).toDF("doc_id", "text")
     return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, IDS)
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
+def id_counts(ids: DataFrame, dtype: str = "<u4") -> DataFrame:
     """``id, n``: how often each id occurs; every task sums its own first."""
 
     def run(batches):
@@ -63,11 +78,14 @@ def id_counts(ids: DataFrame) -> DataFrame:
 
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                n = np.bincount(np.frombuffer(value.as_buffer(), "<u4"))
-                if len(n) > len(total):
-                    total, n = n.astype(np.int64), total
-                total[: len(n)] += n
+            column = batch.column(0).cast(pa.large_binary())  # the rows' ids lie one after the other
+            ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            if not len(column) or ends[-1] == ends[0]:
+                continue
+            n = np.bincount(np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(dtype))
+            if len(n) > len(total):
+                total, n = n.astype(np.int64), total
+            total[: len(n)] += n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
@@ -113,7 +131,7 @@ def encode_blocks(table: Table, blocks: list[np.ndarray]) -> list[tuple]:
         grid[: rows[i], k] = flat.reshape(-1, LANES)
         live[: rows[i], k] = (np.arange(rows[i] * LANES) < len(blocks[i])).reshape(-1, LANES)
     state = np.full((n, LANES), LOW, np.uint64)
-    out = [[] for _ in range(n)]
+    spilled, spilled_by = [np.zeros(0, np.uint32)], [np.zeros((0,), np.int64)]
     marks = [[] for _ in range(n)]
     written = np.zeros(n, np.int64)
     shift = np.uint64(31) + WORD - table.bits
@@ -129,16 +147,17 @@ def encode_blocks(table: Table, blocks: list[np.ndarray]) -> list[tuple]:
         low = (x & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         per = spill.sum(1)
         if per.any():
-            flat = low[:, ::-1][spill[:, ::-1]]  # read back in the opposite order
-            for j, part in zip(np.flatnonzero(per), np.split(flat, np.cumsum(per[per > 0])[:-1]), strict=True):
-                out[j].append(part)
+            spilled.append(low[:, ::-1][spill[:, ::-1]])  # read back in the opposite order
+            spilled_by.append(np.repeat(np.arange(k), per))
             written[:k] += per
         x = np.where(spill, x >> WORD, x)
         q = x // f
         state[:k] = np.where(on, (q << table.bits) + (x - q * f) + table.start[ids], x)
     found: list = [None] * n
+    by_block = np.argsort(np.concatenate(spilled_by), kind="stable")
+    parts = np.split(np.concatenate(spilled)[by_block], np.cumsum(written)[:-1])
     for k, i in enumerate(order):
-        words = np.concatenate(out[k])[::-1] if out[k] else np.zeros(0, np.uint32)
+        words = parts[k][::-1]
         at = [len(words) - w for w, _ in marks[k][::-1]]
         states = np.concatenate([s for _, s in marks[k][::-1]]) if marks[k] else np.zeros(0, np.uint64)
         found[i] = (state[k].astype("<u8").tobytes(), words.astype("<u4").tobytes(), at, states.astype("<u8").tobytes())
@@ -184,7 +203,7 @@ def decode_blocks(table: Table, blocks: list[tuple]) -> list[np.ndarray]:
     return [np.concatenate(f) for f in found]
 
 
-def write_blocks(ids: DataFrame, table: Table, name: str = "rans") -> DataFrame:
+def write_blocks(ids: DataFrame, table: Table, name: str = "rans", dtype: str = "<u4") -> DataFrame:
     """Blocks of all documents in ascending ``doc_id``, written in the shared folder; ``file`` numbers run with the order."""
 
     def run(batches):
@@ -216,7 +235,7 @@ def write_blocks(ids: DataFrame, table: Table, name: str = "rans") -> DataFrame:
         held = inside = 0
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                open_docs.append((doc, np.frombuffer(value.as_buffer(), "<u4")))
+                open_docs.append((doc, np.frombuffer(value.as_buffer(), dtype).astype("<u4")))
                 inside += len(open_docs[-1][1])
                 if inside >= BLOCK_TOKENS:
                     waiting.append(open_docs)
@@ -229,9 +248,9 @@ def write_blocks(ids: DataFrame, table: Table, name: str = "rans") -> DataFrame:
         if waiting:
             yield closed()
 
-    # Range partitions in order, each sorted: sampling the narrow staged key is cheap.
-    ordered = ids.select("doc_id", "ids").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    # Range partitions in order, each sorted: sampling the narrow staged keys is cheap, and rows that repeat an id spread too.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("key"), F.col("row")]
+    ordered = ids.select("doc_id", "ids", "key", "row").repartitionByRange(*order).sortWithinPartitions(*order)
     return staged(ordered.mapInArrow(run, BLOCKS), name)
 
 
@@ -273,7 +292,8 @@ def read_blocks(blocks: DataFrame, table: Table) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, Table]:
     """Tokenize, count, code and write; returns the table of blocks and the frequency table to decode it with."""
-    ids = staged(tokenize(docs, tokenizer, end_id), "ids")
-    counts = id_counts(ids).collect()  # bounded by the vocabulary
+    dtype = id_type(tokenizer, end_id)
+    ids = staged(tokenize(docs, tokenizer, end_id, dtype=dtype), "ids")
+    counts = id_counts(ids, dtype).collect()  # bounded by the vocabulary
     table = Table([r["id"] for r in counts], [r["n"] for r in counts])
-    return write_blocks(ids, table), table
+    return write_blocks(ids, table, dtype=dtype), table

@@ -2,7 +2,8 @@
 
 White space decides where these tokenizers cut, so a text splits into pieces - a run of other characters with the space
 before it, or white space - whose ids don't depend on their neighbours.  Pieces repeat a lot: the worker keeps the ids of
-those it has met, by a 64-bit hash.  A text in which Unicode white space touches such a cut is encoded whole.
+those it has met, by a 64-bit hash.  A text in which Unicode white space touches such a cut, or that holds one of the
+tokenizer's added tokens (``<|endoftext|>``), is encoded whole.
 """
 
 from __future__ import annotations
@@ -20,6 +21,16 @@ from .words import Words, hash_ranges
 WIDE_SPACE = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 # Pieces a worker keeps (about 100 bytes each), and how many are joined for one call of the library.
 KEPT_PIECES, JOINED = 1_500_000, 400
+MARK = "\x00"
+# Fixed value: the public pattern of tokenizers that cut between letters and other marks, the apostrophe apart.
+RUNS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+# Letters 1, marks other than the apostrophe 2, all other bytes 0.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 2
+_KIND[[39, *range(48, 58)]] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
 
 
 class Encoder:
@@ -29,11 +40,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as file:
-            told = json.load(file)["pre_tokenizer"]
+            whole = json.load(file)
+        told, normal = whole["pre_tokenizer"], whole.get("normalizer") or {}
+        # Pieces that differ by the case of ASCII letters alone have the same ids if letters are lowered anyway.
+        self.folds = any(x.get("type") == "Lowercase" for x in normal.get("normalizers", [normal]))
+        self.splits_marks = any(x.get("pattern", {}).get("Regex") == RUNS_PATTERN for x in told.get("pretokenizers", [told]))
         # One kind of tokenizer drops white space, the other keeps it as part of the ids.
         self.drops_space = any(s["type"] == "Split" and s["behavior"] == "Removed" for s in told.get("pretokenizers", [told]))
+        # Where white space is dropped, a mark between pieces that is one id by itself tells them apart.
+        mark = self.tokenizer.encode(f" {MARK} ", add_special_tokens=False).ids
+        self.mark = mark[0] if self.drops_space and len(mark) == 1 else None
         self.reset()
 
     def reset(self) -> None:
@@ -44,7 +62,12 @@ class Encoder:
     def pieces(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Byte ranges of the pieces, in order."""
         if self.drops_space:
-            return w.start, w.end
+            if not self.splits_marks:
+                return w.start, w.end
+            # ASCII letters beside ASCII marks: two pieces.  Pieces such as "word," would fill the dictionary.
+            kind = _KIND[w.data]
+            change = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+            return np.sort(np.concatenate([w.start, change])), np.sort(np.concatenate([w.end, change]))
         text = w.text_of()
         before = np.concatenate([[0], w.end[:-1]])
         gap = np.maximum(before, w.offsets[:-1][text]) if len(w) else w.start
@@ -61,9 +84,17 @@ class Encoder:
         return starts[order], ends[order]
 
     def unsafe(self, w: Words) -> np.ndarray:
-        """Texts in which wide white space begins or ends a word."""
+        """Texts that hold an added token, or in which wide white space begins or ends a word."""
         bad = np.zeros(w.n_texts, dtype=bool)
-        if self.drops_space or not len(w):
+        if not len(w):
+            return bad
+        raw = w.data.tobytes()
+        for token in map(str.encode, self.added):
+            at = raw.find(token)
+            while at >= 0:
+                bad[np.searchsorted(w.offsets, at, side="right") - 1] = True
+                at = raw.find(token, at + 1)
+        if self.drops_space:
             return bad
         padded = np.concatenate([np.zeros(3, np.uint8), w.data])
         opens, last = w.data[w.start], w.end + 3
@@ -74,35 +105,61 @@ class Encoder:
             bad[text[i]] |= word[0] in WIDE_SPACE or word[-1] in WIDE_SPACE
         return bad
 
-    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each piece: joined in long strings where a cut at a space separates them, else one by one."""
+    def _joinable(self, pieces: list[str]) -> np.ndarray:
+        """Pieces that can be encoded side by side in one string."""
+        whole = "".join(pieces)
+        special = [t for t in (MARK, *self.added) if t in whole]
+
+        def one(p: str) -> bool:
+            fits = len(p) < 200 and (self.drops_space or (p[0] == " " and len(p) > 1)) and (p.isascii() or unicodedata.is_normalized("NFC", p))
+            return fits and not (special and any(t in p for t in special))
+
+        return np.fromiter(map(one, pieces), bool, len(pieces))
+
+    def _joined(self, groups: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces of each group, encoded as one string, and their numbers."""
+        if self.mark is not None:
+            found = self.tokenizer.encode_batch_fast([f" {MARK} ".join(g) + f" {MARK}" for g in groups], add_special_tokens=False)
+            flat = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+            cut = np.flatnonzero(flat == self.mark)
+            return np.delete(flat, cut), np.diff(cut, prepend=-1) - 1
         sep = " " if self.drops_space else ""
-        plain = [i for i, p in enumerate(pieces) if len(p) < 200 and (self.drops_space or (p[0] == " " and len(p) > 1)) and unicodedata.is_normalized("NFC", p)]
-        found: list = [None] * len(pieces)
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        joined = [sep.join([pieces[i] for i in g]) for g in groups]
-        for group, e in zip(groups, self.tokenizer.encode_batch(joined, add_special_tokens=False), strict=True):
-            ends = np.cumsum(np.fromiter((len(pieces[i]) + len(sep) for i in group), np.int64, len(group)))
+        ids, counts = [], []
+        for group, e in zip(groups, self.tokenizer.encode_batch([sep.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + len(sep))
             at = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
-            cuts = np.searchsorted(at, ends).tolist()
-            ids = e.ids
-            for i, a, b in zip(group, [0, *cuts[:-1]], cuts, strict=True):
-                found[i] = ids[a:b]
-        rest = [i for i, f in enumerate(found) if f is None]
+            ids.append(np.array(e.ids, np.uint32))
+            counts.append(np.diff(np.searchsorted(at, ends), prepend=0))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each piece begin and how many they are: joined in long strings where a cut at a space
+        separates pieces, else one by one."""
+        plain = self._joinable(pieces)
+        begin, counts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        flat = [np.zeros(0, np.uint32)]
+        some = np.flatnonzero(plain)
+        if len(some):
+            groups = [[pieces[i] for i in some[k : k + JOINED]] for k in range(0, len(some), JOINED)]
+            ids, counts[some] = self._joined(groups)
+            flat.append(ids)
+        rest = np.flatnonzero(~plain)
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
-            found[i] = e.ids
-        counts = np.fromiter(map(len, found), np.int32, len(found))
-        return np.fromiter((x for ids in found for x in ids), np.uint32, int(counts.sum())), counts
+            flat.append(np.array(e.ids, np.uint32))
+            counts[i] = len(flat[-1])
+        order = np.concatenate([some, rest])
+        begin[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate(flat), begin, counts
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        flat, counts = self._encoded(pieces)
+        flat, begin, counts = self._encoded(pieces)
         n, used = self.n + len(pieces), self.used + len(flat)
         while used > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n > len(self.begin):
             self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
         self.ids[self.used : used], self.count[self.n : n] = flat, counts
-        self.begin[self.n : n] = self.used + np.cumsum(counts) - counts
+        self.begin[self.n : n] = self.used + begin
         at = np.searchsorted(self.keys, keys)
         self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, np.arange(self.n, n))
         self.n, self.used = n, used
@@ -116,7 +173,10 @@ class Encoder:
 
         w = Words(array)
         start, end = self.pieces(w)
-        code, keys = pd.factorize(hash_ranges(w.data, start, end))
+        data = w.data
+        if self.folds:
+            data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+        code, keys = pd.factorize(hash_ranges(data, start, end))
         _, new = self._slots(keys)
         if self.n + int(new.sum()) > KEPT_PIECES:
             self.reset()
@@ -126,7 +186,7 @@ class Encoder:
             where[code[::-1]] = np.arange(len(code))[::-1]
             fresh = np.flatnonzero(new)
             fresh = fresh[np.argsort(keys[fresh])]
-            raw = w.data.tobytes()
+            raw = data.tobytes()
             self._learn(keys[fresh], [raw[start[i] : end[i]].decode("utf-8") for i in where[fresh]])
         slot = self.slot[self._slots(keys)[0]][code] if len(keys) else np.zeros(0, np.int64)
         counts, begin = self.count[slot].astype(np.int64), self.begin[slot]

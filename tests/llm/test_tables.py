@@ -32,24 +32,23 @@ def test_shared_folder_is_required_on_a_cluster():
 
 def ids_of(name, text):
     t = tokenizers.Tokenizer.from_file(public.path(name))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
 TEXTS = [
     "", None, "a", "  two  spaces\n\nand\tmore ", "it's we'll 1234 x", "Σας é́ ñ 日本語", "<|endoftext|> a", "　wide  space ", "\n", "word " * 9000,
-    "q" * 400 + " é" * 50,
+    "q" * 400 + " é" * 50, "x<|startoftext|>y <|endoftext|><|endoftext|>\n<|endoftext|", "nul \x00 mark \x00\x00 a\x00b",
 ]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_token_files_round_trip(spark, rows, name):
-    docs = rows([(7 * i % 11, t, "s") for i, t in enumerate(TEXTS)] + [(None, "null id", "s")])
+    docs = rows([(7 * i % 13, t, "s") for i, t in enumerate(TEXTS)] + [(None, "null id", "s")])
     blocks, table = rans.token_files(spark, docs, public.path(name), 1)
     found = sorted(rans.read_blocks(blocks, table).collect(), key=lambda r: r["start"])
     ids = [None if r["doc_id"] is None else r["doc_id"] for r in found]
-    assert ids == [None, *sorted(7 * i % 11 for i in range(11))]
-    texts, start = {7 * i % 11: t for i, t in enumerate(TEXTS)} | {None: "null id"}, 0
+    assert ids == [None, *sorted(7 * i % 13 for i in range(13))]
+    texts, start = {7 * i % 13: t for i, t in enumerate(TEXTS)} | {None: "null id"}, 0
     for r in found:
         want = np.array([*ids_of(name, texts[r["doc_id"]]), 1], "<u4")
         assert (r["start"], r["n_tokens"], bytes(r["ids"])) == (start, len(want), want.tobytes())
@@ -118,7 +117,17 @@ def test_plans_are_near_the_bound(seed):
         fill[sequence : sequence + number] += length
     assert (placed == counts).all() and fill.max() <= 2048
     bound = max(-(-int((counts * np.arange(2049)).sum()) // 2048), int(counts[1025:].sum()))
-    assert plan.opened <= 1.01 * bound + 1
+    plain = packing.Plan(counts, 2048)
+    plain.best_fit()
+    assert plan.opened <= min(1.002 * bound + 1, 1.001 * plain.opened + 1)
+
+
+def test_grouping_beats_best_fit_where_sizes_are_awkward():
+    """Pieces of about a quarter to a half of a sequence: plain best fit wastes what configurations don't."""
+    counts = np.bincount(np.random.default_rng(4).integers(500, 1100, 5000), minlength=2049)
+    plan, plain = packing.plan_of(counts), packing.Plan(counts, 2048)
+    plain.best_fit()
+    assert plan.opened < 0.98 * plain.opened
 
 
 # ---- mixing -----------------------------------------------------------------------------------------------
