@@ -178,14 +178,20 @@ def score_texts(first: np.ndarray, found: list[tuple[np.ndarray, np.ndarray, np.
 
 
 def with_totals(found: list[tuple[np.ndarray, np.ndarray]], totals: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The n-grams with their counts; ``totals`` are those of the distinct n-grams of all orders, by ascending hash."""
-    import pandas as pd
+    """The n-grams with their counts; ``totals`` are those of the distinct n-grams of all orders, by ascending hash.
 
-    code, kinds = pd.factorize(np.concatenate([grams for grams, _ in found]))
-    by_code = np.empty(len(kinds), np.int64)
-    by_code[np.argsort(kinds)] = totals
-    each = np.split(by_code[code], np.cumsum([len(grams) for grams, _ in found])[:-1])
-    return [(grams, at, t) for (grams, at), t in zip(found, each, strict=True)]
+    Both sides are sorted, so the look-ups walk through memory in order, and one order's arrays are held at a time.
+    """
+    keys = np.concatenate([grams for grams, _ in found])
+    keys.sort()
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+    out = []
+    for grams, at in found:
+        by = np.argsort(grams)
+        counts = np.empty(len(grams), np.int64)
+        counts[by] = totals[np.searchsorted(keys, grams[by])]
+        out.append((grams, at.astype(np.int32), counts))
+    return out
 
 
 def buckets_for(words: int, order: int) -> int:
@@ -211,8 +217,9 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, unseen: flo
         first, ends = w.first, np.cumsum(sizes)
         found = orders_of(w, order)
         del w, data
-        right = right.sort_values("bucket")
-        found = with_totals(found, np.concatenate([unpack_counts(t) for t in right["totals"]]) if len(right) else np.zeros(0, np.int64))
+        totals = [unpack_counts(t) for t in right.sort_values("bucket")["totals"]]
+        found = with_totals(found, np.concatenate([np.zeros(0, np.int64), *totals]))
+        del totals
         values, a = [], 0
         while a < len(sizes):  # a part of the chunk's texts at a time, to bound the arrays
             b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + SLICE_BYTES // 2, side="right")))
