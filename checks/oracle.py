@@ -263,6 +263,11 @@ ORACLE["untested_files"] = f"WITH {LINES}, {UNTESTED} SELECT path, language FROM
 ORACLE["issues_scored"] = f"WITH {ENHANCED}, {SCORED} SELECT {KEYS0}, {SCORES} FROM scored"
 ORACLE["top_issues"] = f"""WITH {BASIC}, {SCORED} SELECT rule_id, file, line, message, {SCORES} FROM scored
 ORDER BY severity_score DESC, file, line, rule_id, message LIMIT 100"""
+ORACLE["prioritized_issues"] = f"""WITH {BASIC}, {SCORED} SELECT row_number() OVER (ORDER BY severity_score DESC, file NULLS FIRST, line NULLS FIRST, rule_id, message) AS rank,
+  rule_id, file, line, message, {SCORES} FROM scored"""
+ORACLE["issues_with_run_metadata"] = f"""WITH {LINE_ISSUES} SELECT rule_id, file, line, 'https://host/o/r.git' AS repository_url, 'o' AS repository_owner,
+  'r' AS repository_name, 'trunk' AS analyzed_branch, '1.0.0' AS analyzer_version FROM issues"""
+ORACLE["limited_files"] = f"WITH {FILES} SELECT path, language, strlen(content) AS size FROM files WHERE strlen(content) <= 0.004 * 1024 * 1024 AND language <> 'javascript'"
 ORACLE["high_severity_issues"] = f"WITH {BASIC} SELECT {KEYS} FROM issues WHERE severity IN ('high', 'critical')"
 ORACLE["priority_summary"] = f"""WITH {BASIC}, {SCORED} SELECT t.label AS priority, CAST(count(s.priority) AS BIGINT) AS issues
 FROM unnest(['P0 - Critical', 'P1 - High', 'P2 - Medium', 'P3 - Low', 'P4 - Info']) AS t(label)
@@ -316,6 +321,21 @@ UNION ALL SELECT 40, '' UNION ALL SELECT 41, '## Recommendations'
 UNION ALL SELECT 42, '- Focus on critical and high-priority issues first' UNION ALL SELECT 43, '- Implement automated code quality checks'
 UNION ALL SELECT 44, '- Consider code review processes for complex files' UNION ALL SELECT 45, '- Regular monitoring of code quality metrics'"""
 
+_matrix = " UNION ALL ".join(
+    f"SELECT 'priority_matrix' AS part, category AS item, '{p}' AS label, CAST(coalesce(sum(findings) FILTER (priority = '{p}'), 0) AS BIGINT) AS n FROM scored GROUP BY category"
+    for p in sev.PRIORITIES
+)
+ORACLE["dashboard"] = f"""WITH {ENHANCED}, {SUMMARY.replace(N, FOUND)}, {SCORED},
+by_file AS (SELECT regexp_extract(coalesce(file, 'unknown'), '([^/]*)$', 1) AS item,
+  CAST(sum(findings * CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS BIGINT) AS n FROM issues GROUP BY 1)
+SELECT 'run_summary' AS part, 'files_analyzed' AS item, '' AS label, CAST(files_analyzed AS BIGINT) AS n FROM summary
+UNION ALL SELECT 'run_summary', 'lines_of_code', '', lines_of_code FROM summary UNION ALL SELECT 'run_summary', 'total_issues', '', total_issues FROM summary
+UNION ALL SELECT 'issues_by_category', category, level, issues FROM ({ORACLE["category_counts"]})
+UNION ALL SELECT 'severity_distribution', severity, '', issues FROM ({ORACLE["severity_counts"]})
+UNION ALL (SELECT 'files_complexity', item, CASE WHEN n > 15 THEN 'critical' WHEN n > 10 THEN 'high' WHEN n > 5 THEN 'medium' ELSE 'low' END, n FROM by_file ORDER BY n DESC, item LIMIT 10)
+UNION ALL {_matrix}
+UNION ALL SELECT 'summary_report', line, '', CAST(ord AS BIGINT) FROM ({ORACLE["summary_report"]})"""
+
 ORACLE["normalized_lines"] = f"WITH {LINES} SELECT path, CAST(line AS INTEGER) AS line, coalesce({NORM}, '') AS norm FROM lines"
 ORACLE["duplicate_classes"] = f"""WITH {BLOCKS} SELECT lang_group, block_id, CAST(n AS INTEGER) AS n, members, files, first_path,
   CAST(first_start AS INTEGER) AS first_start, CAST(pairs AS VARCHAR) AS pairs FROM classes"""
@@ -327,6 +347,41 @@ SELECT 'DUP-01' AS rule_id, 'Code duplication detected across ' || CAST(files AS
 UNION ALL SELECT 'DUP-01', 'Code duplication detected between two groups of blocks', a.first.path, b.first.path, {_span('a.first.start')}, {_span('b.first.start')},
   0.8, CAST(l.pairs AS VARCHAR)
   FROM links l JOIN cls a ON a.lang_group = l.lang_group AND a.block_id = l.block5 JOIN cls b ON b.lang_group = l.lang_group AND b.block_id = l.block4 WHERE l.pairs > 0"""
+
+
+def _similar(window: int, threshold: float) -> str:
+    """Classes, and pairs of classes from an inverted index of all their lines."""
+    return f"""{LINES},
+fps AS (SELECT path, CASE WHEN language = 'python' THEN 'python' ELSE 'script' END AS lang_group, list(md5(coalesce({NORM}, '')) ORDER BY line) AS fp FROM lines GROUP BY ALL),
+keyed AS (SELECT path, lang_group, i AS start, list_sort(list_distinct(fp[i:i + {window - 1}])) AS key FROM fps, unnest(range(1, len(fp) - {window - 2})) AS t(i)),
+sets AS (SELECT lang_group, path, key, md5(array_to_string(key, ',')) AS id, count(*) AS cnt, min(start) AS start FROM keyed GROUP BY lang_group, path, key),
+cls AS (SELECT lang_group, id, any_value(key) AS key, any_value(len(key)) AS n, sum(cnt) AS members, count(*) AS files, sum(cnt * cnt) AS sq,
+  min({{'path': path, 'start': start}}) AS first FROM sets GROUP BY lang_group, id),
+idx AS (SELECT lang_group, id, n, members, unnest(key) AS token FROM cls),
+links AS (SELECT a.lang_group, a.id AS a, b.id AS b, any_value(b.members) AS members, count(*) AS common, any_value(a.n) AS an, any_value(b.n) AS bn
+  FROM idx a JOIN idx b ON a.lang_group = b.lang_group AND a.token = b.token AND a.id <> b.id GROUP BY a.lang_group, a.id, b.id
+  HAVING count(*) >= {threshold} * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9)"""
+
+
+def _similar_classes(window: int, threshold: float) -> str:
+    return f"""WITH {_similar(window, threshold)},
+inside AS (SELECT l.lang_group, l.a, sum(x.cnt * y.cnt) AS inside FROM links l JOIN sets x ON x.lang_group = l.lang_group AND x.id = l.a
+  JOIN sets y ON y.lang_group = l.lang_group AND y.id = l.b AND y.path = x.path GROUP BY ALL),
+linked AS (SELECT lang_group, a, count(*) AS n_links, sum(members) AS members FROM links GROUP BY ALL),
+told AS (SELECT c.*, coalesce(l.n_links, 0) AS n_links, c.members * coalesce(l.members, 0) - coalesce(i.inside, 0) AS near, (c.members * c.members - c.sq) // 2 AS equal
+  FROM cls c LEFT JOIN linked l ON l.lang_group = c.lang_group AND l.a = c.id LEFT JOIN inside i ON i.lang_group = c.lang_group AND i.a = c.id)
+SELECT lang_group, CAST(n AS INTEGER) AS n, CAST(members AS BIGINT) AS members, files, first.path AS first_path, CAST(first.start AS INTEGER) AS first_start,
+  CAST(CAST(equal AS DECIMAL(38,0)) AS VARCHAR) AS equal_pairs, n_links, CAST(CAST(near AS DECIMAL(38,0)) AS VARCHAR) AS near_pairs FROM told WHERE equal > 0 OR near > 0"""
+
+
+ORACLE["similar_blocks_short"] = _similar_classes(3, 0.5)
+ORACLE["similar_blocks_long"] = _similar_classes(8, 0.7)
+ORACLE["similar_pairs_of_selection"] = f"""WITH {_similar(10, 0.75)},
+mine AS (SELECT * FROM sets WHERE path IN (SELECT path FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))),
+near AS (SELECT lang_group, a, b, round(CAST(common AS DOUBLE) / (an + bn - common), 6) AS similarity FROM links UNION ALL SELECT lang_group, id, id, 1.0 FROM cls)
+SELECT m.lang_group, m.path AS path1, CAST(m.start AS INTEGER) AS start1, o.path AS path2, CAST(o.start AS INTEGER) AS start2, CAST(similarity AS DOUBLE) AS similarity,
+  CAST(m.cnt * o.cnt AS BIGINT) AS pairs
+FROM mine m JOIN near n ON n.lang_group = m.lang_group AND n.a = m.id JOIN sets o ON o.lang_group = n.lang_group AND o.id = n.b WHERE o.path <> m.path"""
 ORACLE["duplicate_members"] = f"""WITH {BLOCKS} SELECT lang_group, block_id, path, CAST(start AS INTEGER) AS start FROM blocks JOIN classes USING (lang_group, block_id)"""
 ORACLE["duplicate_pairs_of_selection"] = f"""WITH {BLOCKS},
 mine AS (SELECT * FROM blocks WHERE path IN (SELECT path FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))),
@@ -465,6 +520,41 @@ UNION ALL SELECT 'entity_types', 'code', count(*) FROM chunks
 UNION ALL SELECT 'languages', src, count(*) FROM chunks GROUP BY src"""
 ORACLE["corpus_chunk_summary"] = f"""WITH {TEXT_CHUNKS} SELECT 'Codebase Summary:' || chr(10) || '- Total indexed chunks: ' || CAST(count(*) AS VARCHAR)
   || chr(10) || '- File types found: .txt' || chr(10) AS summary FROM chunks"""
+
+
+def _recursive(texts: str) -> str:
+    """CTEs that cut ``texts(id, text)`` into separator-aware chunks, ``recursive_chunks(id, chunk_no, text)``.
+
+    Level by level, a text that holds the separator falls into pieces; long pieces go to the next level, and what lies between two of
+    them is a run.  ``way`` orders runs within a text.  Windows of a run follow each other by sums of lengths alone.
+    """
+    out, size, overlap = [f"u0 AS (SELECT id, CAST([] AS INTEGER[]) AS way, text FROM {texts})"], 1000, 200
+    for n, sep in enumerate(["chr(10) || chr(10)", "chr(10)", "' '"]):
+        out.append(f"""cut{n} AS (SELECT id, way, list_filter(list_transform(range(1, len(parts) + 1), lambda i: CASE WHEN i = 1 THEN parts[1] ELSE {sep} || parts[i] END), lambda p: p <> '') AS ps
+  FROM (SELECT id, way, string_split(text, {sep}) AS parts FROM u{n} WHERE contains(text, {sep}))),
+row{n} AS (SELECT id, way, unnest(ps) AS piece, unnest(range(1, len(ps) + 1)) AS i FROM cut{n}),
+num{n} AS (SELECT *, CAST(sum(CASE WHEN length(piece) >= {size} THEN 1 ELSE 0 END) OVER (PARTITION BY id, way ORDER BY i) AS INTEGER) AS k FROM row{n}),
+run{n} AS (SELECT id, list_append(way, 2 * k) AS way, list(piece ORDER BY i) AS pieces FROM num{n} WHERE length(piece) < {size} GROUP BY id, list_append(way, 2 * k)),
+u{n + 1} AS (SELECT id, list_append(way, 2 * k - 1) AS way, piece AS text FROM num{n} WHERE length(piece) >= {size} UNION ALL SELECT * FROM u{n} WHERE NOT contains(text, {sep}))""")
+    out.append(f"""runs0 AS (SELECT * FROM run0 UNION ALL SELECT * FROM run1 UNION ALL SELECT * FROM run2 UNION ALL SELECT id, way, string_split(text, '') FROM u3 WHERE text <> ''),
+lens AS (SELECT id, way, sum(length(piece)) OVER (PARTITION BY id, way ORDER BY i) AS upto, i FROM (SELECT id, way, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS i FROM runs0)),
+runs AS (SELECT r.*, l.sums FROM runs0 r JOIN (SELECT id, way, list_prepend(0, list(CAST(upto AS BIGINT) ORDER BY i)) AS sums FROM lens GROUP BY id, way) l ON l.id = r.id AND l.way = r.way),
+cuts AS (
+  SELECT id, way, 0 AS n, CAST(0 AS BIGINT) AS first, CAST(len(list_filter(sums, lambda c: c <= {size})) - 1 AS BIGINT) AS past FROM runs
+  UNION ALL
+  SELECT id, way, n, first, CAST(len(list_filter(sums, lambda c: c <= sums[first + 1] + {size})) - 1 AS BIGINT) FROM (
+    SELECT r.id, r.way, c.n + 1 AS n, r.sums,
+      CAST(len(list_filter(r.sums, lambda x: x < r.sums[c.past + 1] - least({overlap}, {size} - length(r.pieces[c.past + 1])))) AS BIGINT) AS first
+    FROM cuts c JOIN runs r ON r.id = c.id AND r.way = c.way WHERE c.past < len(r.pieces))
+),
+recursive_chunks AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY way, n) - 1 AS chunk_no, text FROM (
+  SELECT c.id, c.way, c.n, trim(array_to_string(r.pieces[c.first + 1:c.past], ''), {TRIM}) AS text FROM cuts c JOIN runs r ON r.id = c.id AND r.way = c.way) WHERE text <> '')""")
+    return ",\n".join(out)
+
+
+ORACLE["chunk_recursive"] = f"""WITH RECURSIVE plain AS (SELECT 'm' || CAST(doc_id AS VARCHAR) || '.txt' AS id,
+  replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents WHERE text IS NOT NULL),
+{_recursive("plain")} SELECT id || '#' || CAST(chunk_no AS VARCHAR) AS chunk_id, text FROM recursive_chunks"""
 CODE_CHUNKS = f"{FILES}, code_chunks AS ({_fixed('files', 'content', 'path, name AS filename, ext')})"
 ORACLE["chunks_by_extension"] = f"""WITH {CODE_CHUNKS} SELECT path || '#' || CAST(chunk_no AS VARCHAR) AS chunk_id, filename FROM code_chunks WHERE ext = '.tsx'"""
 ORACLE["index_report"] = f"""WITH {EDGES}, code_chunks AS ({_fixed('files', 'content', 'path')})
@@ -478,6 +568,15 @@ ORACLE["knn_topk"] = f"""SELECT qid, item_id, round(d, 6) AS dist, rank FROM (
 WHERE rank <= 5"""
 ORACLE["knn_topk_batched"] = ORACLE["knn_topk"]
 
+# Centres: 32 vectors by the hash of their ids; every vector lies in the cell of its nearest centre.
+ORACLE["knn_indexed"] = f"""WITH centres AS (SELECT row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS cell, embedding AS centre FROM embeddings
+  QUALIFY cell < 32),
+near AS (SELECT e.vec_id, e.embedding, c.cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY round({_dist.format(a='e.embedding', b='c.centre')}, 9), c.cell) AS nth
+  FROM embeddings e, centres c),
+found AS (SELECT q.vec_id AS qid, i.vec_id AS item_id, {_dist.format(a='q.embedding', b='i.embedding')} AS d
+  FROM (SELECT * FROM near WHERE nth <= 16) q JOIN (SELECT * FROM near WHERE nth = 1) i ON q.cell = i.cell)
+SELECT qid, item_id, round(d, 6) AS dist, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, item_id) AS INTEGER) AS rank FROM found) WHERE rank <= 5"""
+
 QUESTIONS = """turns AS (SELECT conv_id, turn, text, conv_id * 31 + turn AS key FROM conversations WHERE role = 'user'),
 asked AS (SELECT conv_id * 1000 + turn AS qid, key % (SELECT count(*) FROM embeddings) AS vec_id, text || CASE key % 4
     WHEN 0 THEN ' What is in m' || CAST(conv_id AS VARCHAR) || '.txt, file m' || CAST(conv_id AS VARCHAR) || '.txt?'
@@ -577,7 +676,7 @@ ORACLE["repository_metadata"] = f"WITH {REPOS} SELECT * FROM repos"
 ORACLE["popular_repositories"] = f"""WITH {REPOS} SELECT name, full_name, description, stars, language, url, clone_url FROM repos
 WHERE language = 'Python' AND contains(coalesce(description, ''), 'python') ORDER BY stars DESC, full_name LIMIT 10"""
 ORACLE["repository_files"] = f"""WITH {FILES} SELECT regexp_extract(path, '^([^/]*)', 1) AS repo, path, name, strlen(content) AS size,
-  'https://host/' || path AS download_url FROM files QUALIFY row_number() OVER (PARTITION BY regexp_extract(path, '^([^/]*)', 1) ORDER BY path) <= 20"""
+  'https://host/' || path AS download_url FROM files QUALIFY row_number() OVER (PARTITION BY regexp_extract(path, '^([^/]*)', 1) ORDER BY path) <= 100"""
 ORACLE["repository_file_counts"] = f"""WITH {FILES} SELECT regexp_extract(path, '^([^/]*)', 1) AS repo, count(*) FILTER (ext IN ('.py', '.js', '.ts')) AS supported_files,
   count(*) FILTER (ext IN ('.py', '.js', '.ts')) > 100 AS large FROM files GROUP BY 1"""
 ORACLE["repository_urls"] = """WITH u AS (SELECT page_id, contains(url, 'example.com') AS ok,

@@ -109,6 +109,28 @@ def top_issues(spark, sf_dir):
     return severity.top_issues(_scored(spark, sf_dir), 100).select("rule_id", "file", "line", "message", *SCORE_KEYS)
 
 
+@query
+def prioritized_issues(spark, sf_dir):
+    return severity.prioritized(_scored(spark, sf_dir)).select("rank", "rule_id", "file", "line", "message", *SCORE_KEYS)
+
+
+@query
+def issues_with_run_metadata(spark, sf_dir):
+    found = analysis.with_run_metadata(rules.rule_issues(files_of(spark, sf_dir), gate_on_parse=False), "https://host/o/r.git", "o", "r", "trunk")
+    return found.where("analysis_timestamp is not null").select(
+        "rule_id", "file", "line", "repository_url", "repository_owner", "repository_name", "analyzed_branch", "analyzer_version"
+    )
+
+
+@query
+def limited_files(spark, sf_dir):
+    """Files within a size limit and in chosen languages."""
+    from codestrata.sources import tables
+
+    small = tables.limit_size(files_of(spark, sf_dir), 0.004)
+    return tables.limit_languages(small, ["python", "typescript"]).select("path", "language", "size")
+
+
 @query
 def high_severity_issues(spark, sf_dir):
     return severity.at_least(analysis.issues(files_of(spark, sf_dir)), "high").select(*ISSUE_KEYS)
@@ -156,6 +178,27 @@ def priority_matrix(spark, sf_dir):
     return plain(rollups.priority_matrix(_scored(spark, sf_dir, "enhanced")))
 
 
+@query
+def dashboard(spark, sf_dir):
+    """All dashboard tables in long form, made from one pass over the files."""
+    t = analysis.dashboard_pass(files_of(spark, sf_dir), "enhanced", "2024-01-01 00:00:00")
+    none, n = F.lit("").alias("label"), lambda c: F.col(f"`{c}`").cast("bigint").alias("n")
+    parts = [
+        t["run_summary"].select(F.inline(F.array(*[F.struct(F.lit(c).alias("item"), F.lit("").alias("label"), n(c)) for c in ("files_analyzed", "lines_of_code", "total_issues")]))),
+        t["issues_by_category"].select(F.col("category").alias("item"), F.col("level").alias("label"), n("issues")),
+        t["severity_distribution"].select(F.col("severity").alias("item"), none, n("issues")),
+        t["files_complexity"].select(F.col("file_name").alias("item"), F.col("level").alias("label"), n("score")),
+        t["priority_matrix"].select("category", F.inline(F.array(*[F.struct(F.lit(p).alias("label"), n(p)) for p in severity.PRIORITIES]))).select(F.col("category").alias("item"), "label", "n"),
+        t["summary_report"].select(F.col("line").alias("item"), none, n("ord")),
+    ]
+    names = ["run_summary", "issues_by_category", "severity_distribution", "files_complexity", "priority_matrix", "summary_report"]
+    out = None
+    for name, part in zip(names, parts):
+        part = part.select(F.lit(name).alias("part"), "item", "label", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def selection_rollup(spark, sf_dir):
     f = files_of(spark, sf_dir)
@@ -217,6 +260,33 @@ def duplicate_pairs_of_selection(spark, sf_dir):
     return duplicates.pairs_for_files(duplicates.blocks(files_of(spark, sf_dir)), corpus.derived_corpus(paths).select("path"))
 
 
+def _similar(spark, sf_dir, window, threshold):
+    from codestrata.operators import similarity
+
+    found = similarity.similar_classes(files_of(spark, sf_dir), window, threshold)
+    return found.withColumns({c: F.col(c).cast("string") for c in ("equal_pairs", "near_pairs")})
+
+
+@query
+def similar_blocks_short(spark, sf_dir):
+    return _similar(spark, sf_dir, 3, 0.5)
+
+
+@query
+def similar_blocks_long(spark, sf_dir):
+    return _similar(spark, sf_dir, 8, 0.7)
+
+
+@query
+def similar_pairs_of_selection(spark, sf_dir):
+    """Blocks of ten lines that are similar to one in a file of a toxic document."""
+    from codestrata.operators import similarity
+
+    chosen = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    paths = corpus.derived_corpus(table(spark, sf_dir, "documents").join(chosen, "doc_id", "left_semi")).select("path")
+    return similarity.similar_pairs_for_files(files_of(spark, sf_dir), paths, 10, 0.75).withColumn("similarity", F.round("similarity", 6))
+
+
 # ---- structure -----------------------------------------------------------------------------------------
 
 
@@ -440,6 +510,18 @@ def knn_topk_batched(spark, sf_dir):
     return near.select("qid", "item_id", F.round("dist", 6).alias("dist"), "rank")
 
 
+@query
+def knn_indexed(spark, sf_dir):
+    """The same search over stored cells, whose centres are vectors drawn by their ids; half of the cells are probed."""
+    from codestrata.operators import vector_index
+    from codestrata.session import stage_path
+
+    emb = table(spark, sf_dir, "embeddings")
+    index = vector_index.build(emb.select(F.col("vec_id").alias("item_id"), "embedding"), stage_path(spark), cells=32, rounds=0)
+    near = vector_index.search(vector_index.open_index(spark, index.path), emb.select(F.col("vec_id").alias("qid"), "embedding"), 5, 16)
+    return near.select("qid", "item_id", F.round("dist", 6).alias("dist"), "rank")
+
+
 @query
 def question_filename(spark, sf_dir):
     from codestrata.operators.retrieval import filename_in
@@ -590,7 +672,7 @@ def _listing(spark, sf_dir):
 def repository_files(spark, sf_dir):
     from codestrata.sources import repos
 
-    return repos.list_files(_listing(spark, sf_dir), 20)
+    return repos.list_files(_listing(spark, sf_dir))
 
 
 @query

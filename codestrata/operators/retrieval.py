@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, WORD, strip, truncate
 from ..session import broadcast_if_small, salted_join, stage
+from .containment import contained
 from .knn import nearest
 
 # File-name patterns in order of preference, and the limits of the retrieval steps.
@@ -108,37 +109,22 @@ def file_views(file_hits: DataFrame) -> DataFrame:
 # ---- related entities ----------------------------------------------------------------------------------
 
 
-def _pieces(rows: DataFrame, text: str, lengths: list[int], out: str) -> DataFrame:
-    """Every substring of ``text`` with one of the given lengths, as rows; all other columns are kept."""
-    rest = [c for c in rows.columns if c != text]
-    n = F.explode(F.array(*[F.lit(x) for x in lengths]).cast("array<int>")).alias("_n")
-    starts = F.explode(F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1)).alias("_i")
-    return (
-        rows.select("*", n)
-        .where(F.length(text) >= F.col("_n"))
-        .select("*", starts)
-        .select(*rest, F.substring(F.col(text), F.col("_i"), F.col("_n")).alias(out))
-    )
-
-
 def related_entities(questions: DataFrame, entities: DataFrame, limit: int = MAX_RELATED) -> DataFrame:
     """First entities related to each question: by name containment either way, then by the kind it asks for.
 
-    Containment is an equality join on substrings of the lengths that occur on the other side.  Entities are
+    Containment goes over an index of character runs (``operators.containment``), linear in the questions' text.  Entities are
     reduced to the first per name before they meet a question, so repeated names cost nothing.  The entity
     table is read several times: pass a staged or stored one.
     """
     at = F.struct("file_path", "pos")
-    first = entities.groupBy("name").agg(F.min(at).alias("at")).select(F.lower("name").alias("low"), "name", "at")
+    first = stage(entities.groupBy("name").agg(F.min(at).alias("at")).select(F.lower("name").alias("low"), "name", "at"))
     q = questions.select("qid", F.lower("question").alias("q"))
-    # Lengths that occur on each side: names are short, so both lists are short.
-    n_len = sorted(first.agg(F.collect_set(F.length("low"))).first()[0] or [])
-    q_len = sorted(n for (n,) in q.select(F.length("q")).distinct().where(F.length("q").between(1, max(n_len, default=0))).collect())
-    # A one-letter name occurs in most questions: spread its matches by question.
-    named = salted_join(_pieces(q, "q", n_len, "low"), first, ["low"], "qid").select("qid", "name", "at")
-    if q_len:
-        short = q.where(F.length("q") <= max(q_len))
-        named = named.unionByName(salted_join(_pieces(first, "low", q_len, "q"), short, ["q"], "name").select("qid", "name", "at"))
+    named = contained(q, ["qid"], "q", first, "low").select("qid", "name", "at")
+    # The other way round: only questions no longer than the longest name can lie within one.
+    longest = first.agg(F.max(F.length("low"))).first()[0] or 0
+    short = stage(q.where(F.length("q").between(1, longest)))
+    if not short.isEmpty():
+        named = named.unionByName(contained(first, ["name", "at"], "low", short, "q").select("qid", "name", "at"))
     # An empty question is contained in every name: the first few names serve all of them.
     by_order = first.orderBy("at").limit(limit).select(F.lit("").alias("q"), "name", "at")
     named = named.unionByName(q.where("q = ''").join(F.broadcast(by_order), "q").select("qid", "name", "at"))

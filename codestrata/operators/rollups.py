@@ -34,6 +34,12 @@ def _level(value: Column, bounds: list[tuple[int, str]]) -> Column:
     return chain.otherwise("low")
 
 
+def cells(scored: DataFrame) -> DataFrame:
+    """Findings by category, severity, priority and file name: a small table of issues that all rollups below give the same on."""
+    file = name_of(F.coalesce("file", F.lit("unknown"))).alias("file")
+    return scored.groupBy("category", "severity", "priority", file).agg(_total().alias("findings"))
+
+
 def run_summary(files: DataFrame, issues: DataFrame) -> DataFrame:
     """Files analysed, lines of code and total issues, in one row.
 

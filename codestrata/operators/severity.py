@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, WORD, contains_any
+from .ranking import ranked
 
 # Message patterns and word lists of the scoring scheme.
 CRITICAL_PATTERNS = [
@@ -151,6 +152,11 @@ def prioritize(issues: DataFrame) -> DataFrame:
     return score_issues(issues).orderBy(*order_columns())
 
 
+def prioritized(scored: DataFrame) -> DataFrame:
+    """Scored issues with their ``rank`` in the global order, as a table that needs no sorting to be read by rank."""
+    return ranked(scored, order_columns())
+
+
 def top_issues(scored: DataFrame, n: int = 10) -> DataFrame:
     """First ``n`` in priority order; the planner keeps only ``n`` rows per task."""
     return scored.orderBy(*order_columns()).limit(n)

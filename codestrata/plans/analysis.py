@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.text import line_count
 from ..operators import coverage, duplicates, rollups, rules, severity
+from ..session import stage
 
 
 def issues(
@@ -54,6 +56,30 @@ def dashboard(files: DataFrame, scored: DataFrame, generated_at: str | None = No
     }
 
 
+def dashboard_pass(files: DataFrame, mode: str = "basic", generated_at: str | None = None, **options) -> dict[str, DataFrame]:
+    """The dashboard of a files table from one pass: findings are scored and counted once, and files and lines as they go by.
+
+    The counted findings (category, severity, priority, file name) are written once; every table is made of them.
+    """
+    seen = Observation()
+    there = F.col("language").isNotNull() & F.col("content").isNotNull()
+    watched = files.observe(
+        seen, F.count(F.when(there, 1)).alias("files_analyzed"), F.coalesce(F.sum(F.when(there, line_count(F.col("content")))), F.lit(0)).cast("long").alias("lines_of_code")
+    )
+    counted = stage(rollups.cells(scored_issues(watched, mode, **options)))
+    sizes = files.sparkSession.createDataFrame([(seen.get["files_analyzed"], seen.get["lines_of_code"])], "files_analyzed long, lines_of_code long")
+    found = counted.agg(F.coalesce(F.sum("findings"), F.lit(0)).cast("decimal(38,0)").alias("total_issues"))
+    summary = sizes.withColumn("one", F.lit(1)).join(found.withColumn("one", F.lit(1)), "one").drop("one")
+    return {
+        "run_summary": summary,
+        "issues_by_category": rollups.category_counts(counted),
+        "severity_distribution": rollups.severity_counts(counted),
+        "files_complexity": rollups.top_files(counted),
+        "priority_matrix": rollups.priority_matrix(counted),
+        "summary_report": rollups.summary_report(summary, counted, generated_at),
+    }
+
+
 def with_run_metadata(df: DataFrame, url: str, owner: str, name: str, branch: str = "main", version: str = "1.0.0") -> DataFrame:
     """Attach repository and run columns to any result."""
     return df.withColumns(

@@ -6,9 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..operators import documents, entities, retrieval
 from ..session import stage
@@ -55,6 +56,32 @@ def fit_term_embedder(texts: DataFrame, column: str, dims: int = 256) -> Embedde
     return embed
 
 
+def hashed_embedder(dims: int = 256) -> Embedder:
+    """Vectors from hashed term counts of unit length: each depends on its own text alone."""
+
+    def embed(df: DataFrame, text: str) -> DataFrame:
+        tokens = Tokenizer(inputCol=text, outputCol="_tokens").transform(df)
+        counts = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dims).transform(tokens)
+        out = Normalizer(inputCol="_tf", outputCol="_unit").transform(counts)
+        return out.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_tokens", "_tf", "_unit")
+
+    return embed
+
+
+def model_embedder(make_predict: Callable, batch_size: int = 256) -> Embedder:
+    """Vectors from the caller's own model.
+
+    ``make_predict()`` runs once per worker, where it loads the model, and returns a function from an array of texts to a matrix
+    of their vectors.  Spark hands it the texts in batches of at most ``batch_size``.
+    """
+    predict = predict_batch_udf(make_predict, return_type=ArrayType(FloatType()), batch_size=batch_size)
+
+    def embed(df: DataFrame, text: str) -> DataFrame:
+        return df.withColumn("embedding", predict(F.col(text)))
+
+    return embed
+
+
 def build_index(files: DataFrame, embed: Embedder | None = None, chunker: str = "recursive") -> Index:
     """Documents, chunks and vectors of a files table.  Parsed structure and vectors are computed once and staged."""
     parsed = stage(entities.entity_files(files))

@@ -32,15 +32,20 @@ def stage(df: DataFrame) -> DataFrame:
     leave the setting out and gets a folder in its warehouse; on a cluster that is an error.
     """
     spark = df.sparkSession
+    path = stage_path(spark)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
-    path = f"{folder.rstrip('/')}/codestrata/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder.rstrip('/')}/codestrata/{uuid.uuid4().hex}"
 
 
 # Rows of a narrow table (keys and short values) that may be broadcast: some tens of megabytes at most.
@@ -64,3 +69,22 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], salt_by: str,
     salt = F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")
     copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return many.withColumn("_salt", salt).join(copies, [*keys, "_salt"]).drop("_salt")
+
+
+# Rows of one key that one task of a join may hold; a key with more is dealt over more tasks.
+ROWS_A_TASK = 4096
+
+
+def counted_join(many: DataFrame, few: DataFrame, keys: list[str], spread_by: str, rows: int = ROWS_A_TASK) -> DataFrame:
+    """Inner join in which any key may own a large share of ``many``, however large.
+
+    Keys are counted first.  The rows of a key with more than ``rows`` are dealt by ``spread_by`` over as many parts as its count
+    asks for, and its rows of ``few`` go to each of them; all other keys are joined as they are.  ``many`` is read twice:
+    pass a staged or cheap one.
+    """
+    hot = many.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("_parts")).where("_parts > 1")
+    hot = broadcast_if_small(stage(hot))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = many.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(spread_by), parts).cast("int")).drop("_parts")
+    copies = few.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [*keys, "_part"]).drop("_part")

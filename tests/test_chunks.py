@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from codestrata.functions import chunking
 from codestrata.functions.splitter import chunk_fixed, split_text
 from codestrata.operators import documents
 
@@ -41,3 +42,17 @@ def test_chunk_table_and_stats(spark, make_files):
     stats = {(r["breakdown"], r["value"]): r["chunks"] for r in documents.chunk_stats(got.withColumn("language", F.lit(None).cast("string"))).collect()}
     assert stats[("total", "")] == 3 and stats[("files", "a.py")] == 2 and stats[("languages", "unknown")] == 3
     assert documents.chunk_summary_text(got).first()[0].startswith("Codebase Summary:\n- Total indexed chunks: 3\n- File types found: .md, .py")
+
+
+def test_native_splitter_equals_the_plain_one(spark):
+    """The column expression against the plain function, at sizes that reach every separator."""
+    rng = random.Random(8)
+    texts = ["", " ", "\n\n", "a" * 3000, "word " * 900, "line\n" * 700, ("p" * 30 + "\n\n") * 90, None]
+    for _ in range(60):
+        texts.append("".join(rng.choice(["ab", "c", " ", "\n", "\n\n", "defg", "é", "日本", "x" * 30, "𝒳", "\t", " "]) for _ in range(rng.randint(0, 120))))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for size, overlap in ((10, 3), (40, 12), (1000, 200), (25, 0)):
+        found = {r["i"]: r["c"] for r in df.select("i", chunking.chunk_recursive(F.col("t"), size, overlap).alias("c")).collect()}
+        assert found == {i: None if t is None else split_text(t, size, overlap) for i, t in enumerate(texts)}
+    plan = df.select(chunking.chunk_recursive(F.col("t")).alias("c"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan

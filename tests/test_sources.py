@@ -47,13 +47,74 @@ def test_wide_trees_get_few_shares(tmp_path):
     reader = _TreeReader(str(tmp_path), (".py",), 8)
     shares = reader.partitions()
     assert len(shares) == 8 and max(len(s.deep) for s in shares) - min(len(s.deep) for s in shares) <= 1
-    found = [p for s in shares for (p,) in reader.read(s)]
+    found = [p for s in shares for p, *_ in reader.read(s)]
     assert sorted(found) == sorted(str(tmp_path / f"d{i}" / "a.py") for i in range(300))
 
 
 def test_directory_that_cannot_be_listed_is_a_row(tmp_path):
     gone = str(tmp_path / "gone")
-    assert list(_TreeReader(str(tmp_path), (".py",), 8).read(_Share((), (gone,)))) == [(gone,)]
+    assert list(_TreeReader(str(tmp_path), (".py",), 8).read(_Share((), (gone,)))) == [(gone, "", 0)]
+
+
+FILES = {"a/x.py": b"1" * 10, "a/y.js": b"2" * 2000, "a/deep/z.py": b"3" * 30, "b/x.py": b"4" * 40, "b/_w.ts": b"5", "top.py": b"6"}
+
+
+def test_filters_reach_the_listing(spark, tmp_path):
+    """Only directories that can hold a match are listed, and only matching files come out of the source."""
+    from pyspark.sql.datasource import EqualTo, In, LessThanOrEqual, StringStartsWith
+
+    from codestrata.sources import tree
+
+    root = str(tmp_path)
+    _tree(root, FILES)
+
+    def found(*filters):
+        reader = _TreeReader(root, (".py", ".js", ".ts"), 2)
+        listed = []
+        store = tree._LocalStore()
+        real = store.entries
+        store.entries = lambda p: listed.append(os.path.relpath(p, root)) or real(p)
+        tree_store = tree._store
+        tree._store = lambda p: store
+        try:
+            list(reader.pushFilters(list(filters)))
+            rows = [os.path.relpath(p, root) for share in reader.partitions() for p, *_ in reader.read(share)]
+        finally:
+            tree._store = tree_store
+        return sorted(rows), set(listed)
+
+    everything = set(FILES)
+    assert found()[0] == sorted(everything)
+    rows, listed = found(StringStartsWith(("path",), f"{root}/a/"))
+    assert rows == ["a/deep/z.py", "a/x.py", "a/y.js"] and "b" not in listed
+    rows, listed = found(EqualTo(("path",), f"{root}/b/x.py"), LessThanOrEqual(("size",), 100))
+    assert rows == ["b/x.py"] and not listed & {"a", "a/deep"}
+    assert found(In(("ext",), (".py",)), LessThanOrEqual(("size",), 30))[0] == ["a/deep/z.py", "a/x.py", "top.py"]
+    assert found(StringStartsWith(("path",), f"{root}/a"), StringStartsWith(("path",), f"{root}/b"))[0] == []
+
+    listing = tree.list_source_tree(spark, root).where(F.col("path").startswith(f"{root}/a/") & (F.col("size") < 100) & (F.col("ext") == ".py"))
+    assert sorted(os.path.relpath(r["path"], root) for r in listing.collect()) == ["a/deep/z.py", "a/x.py"]
+
+
+def test_excluded_files_are_not_opened(spark, tmp_path):
+    """Excluded by size, language or prefix, before anything is read."""
+    root = str(tmp_path)
+    _tree(root, FILES | {"a/y.js": b"2" * 3_000_000})
+    opened = scan_source_tree(spark, root, max_file_size_mb=1, languages=["python", "javascript"], prefix=f"{root}/a/")
+    assert sorted(os.path.relpath(r["path"], root) for r in opened.collect()) == ["a/deep/z.py", "a/x.py"]
+    assert tables.limit_size(tables.limit_languages(scan_source_tree(spark, root), ["python", "javascript"]), 1).where(F.col("path").startswith(f"{root}/a/")).count() == 2
+
+
+def test_same_rows_through_a_uri(spark, tmp_path):
+    root = str(tmp_path)
+    _tree(root, FILES | {"__init__.py": b"", ".hidden/q.py": b"\xff", "é ü/p q.py": "é".encode()})
+    plain = {r["path"]: tuple(r)[1:] for r in scan_source_tree(spark, root).drop("parent").collect()}
+    by_uri = {r["path"].removeprefix("file://"): tuple(r)[1:] for r in scan_source_tree(spark, f"file://{root}").drop("parent").collect()}
+    assert by_uri == plain and len(plain) == len(FILES) + 3
+    one = scan_source_tree(spark, f"file://{root}/top.py").collect()
+    assert [(r["name"], r["content"]) for r in one] == [("top.py", "6")]
+    with pytest.raises(Exception, match="does not exist"):
+        scan_source_tree(spark, f"file://{root}/none").count()
 
 
 def test_selection_and_optional_filters(spark, make_files):
