@@ -239,9 +239,10 @@ def count_phrases(texts: DataFrame, threshold: int, longest: int, shards: int, s
         step += 1
     out = {}
     for n, parts in whole.items():
-        out[n] = parts[0]
+        rows = parts[0]
         for part in parts[1:]:
-            out[n] = out[n].unionByName(part)
+            rows = rows.unionByName(part)
+        out[n] = common.staged(rows, f"phrases-of-{n}")  # one small table, read in many places
     return out
 
 
