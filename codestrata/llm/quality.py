@@ -1,9 +1,9 @@
 """Quality rules: a fixed base rule and a calibrated classifier on hashed word and character n-grams.
 
 Base figures count over the whole text; ``base_failed`` is their rule.  The classifier is a logistic regression on three
-groups of hashed features - words, word pairs, runs of four bytes - each a share of its group's occurrences in the text.
+groups of hashed features - words, word pairs, runs of four characters - each a share of its group's occurrences in the text.
 It is fitted on at most ``SAMPLE_ROWS`` labelled rows (those with the smallest hash of their id), two thirds for the
-weights and one third to calibrate its scores into probabilities.  A document is kept if the base rule holds and its
+weights and one third to calibrate its scores into probabilities; equal texts lie on one side.  A document is kept if the base rule holds and its
 probability of good quality reaches ``KEEP_AT``.
 
 Null or empty text: no words, so the base rule fails.  Without labelled rows of both kinds there is no model and the base
@@ -12,8 +12,10 @@ rule decides alone.  Each row is scored for itself: repeated ids and texts give
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import logistic
@@ -75,12 +77,16 @@ def features(w: Words, hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]
     text = w.text_of()
     pairs, at = w.grams(hashes, 2)
     groups = [(text, hashes), (text[at], mix(pairs))]
-    if len(w.data) >= 4:
-        d = w.data.astype(np.uint32)
-        runs = d[:-3] | (d[1:-2] << 8) | (d[2:-1] << 16) | (d[3:] << 24)
-        of = np.repeat(np.arange(w.n_texts), np.diff(w.offsets))
+    # Code points of the texts, whole characters whatever their number of bytes.
+    chars = np.frombuffer(w.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    lead = (w.data & 0xC0) != 0x80
+    of = np.repeat(np.arange(w.n_texts), np.diff(np.concatenate([[0], np.cumsum(lead)])[w.offsets]))
+    if len(chars) >= 4 and len(of) == len(chars):
+        c = chars.astype(np.uint64)
         same = of[:-3] == of[3:]
-        groups.append((of[:-3][same], (runs[same] * np.uint32(0x9E3779B1)) >> np.uint32(14)))
+        runs = (c[:-3] | (c[1:-2] << np.uint64(21)) | (c[2:-1] << np.uint64(42)))[same]
+        runs = (runs * np.uint64(0x9E3779B97F4A7C15)) ^ (c[3:][same] * np.uint64(0xD6E8FEB86659FD93))
+        groups.append((of[:-3][same], runs >> np.uint64(46)))
     return [(t, (h % np.uint64(DIMS)).astype(np.int64) if h.dtype == np.uint64 else h.astype(np.int64)) for t, h in groups]
 
 
@@ -99,6 +105,14 @@ def labelled_sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
 
 
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """``doc_id, label, text`` of the sampled ids, one row an id: of rows that repeat it the one of smallest text hash."""
+    texts = documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = texts.join(F.broadcast(sample), "doc_id")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", "label")
+    return found.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("doc_id", "label", "text")
+
+
 def sparse_rows(sample: DataFrame) -> DataFrame:
     """``doc_id, label, dims, shares`` of the sampled texts, made where the texts are."""
 
@@ -127,15 +141,15 @@ def sparse_rows(sample: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict | None:
     """Weights and calibration, fitted in one task on the bounded sample; None without labelled rows of both kinds."""
     sample = labelled_sample(labels, "quality", sample_rows)  # at most ``sample_rows`` narrow rows: safe to broadcast
-    sample = sample.select("doc_id", F.col("label").cast("int").alias("label"))
-    texts = documents(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
+    sample = sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
+    texts = sampled_texts(docs, sample)
 
     def train(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values(["doc_id", "dims"], kind="stable")
         y = pdf["label"].to_numpy()
-        fold = np.arange(len(y)) % 3 == 2
+        fold = np.array([zlib.crc32(x) % 3 == 2 for x in pdf["dims"]])
         if min(np.bincount(y[~fold], minlength=2).min(), np.bincount(y[fold], minlength=2).min()) == 0:
             return pd.DataFrame({"weights": [], "told": []}, dtype=object)
         dims = [np.frombuffer(x, "<i4") for x in pdf["dims"]]
