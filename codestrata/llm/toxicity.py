@@ -1,8 +1,9 @@
 """Toxic spans with a linear-chain conditional random field, and document scores from its marginals.
 
 Tokens are words.  The labels mark documents only, so token labels for training come from them: a word form counts as toxic
-if, in labelled documents, it stands in at least ``MIN_CONTEXTS`` different contexts (the words around it) of toxic
-documents and is far likelier there than in the others; such words within toxic documents are the labelled tokens.  The
+if, in labelled documents, it is ``MIN_RATIO`` times likelier in toxic documents than in the others, in at least ``MIN_DOCUMENTS`` of them, by a
+likelihood-ratio test over its different contexts (the words around it) whose bound grows with the number of forms tested;
+such words within toxic documents are the labelled tokens.  The
 random field has two states, hashed features of the word, its prefix, suffix and neighbours, and weights for transitions
 and the start of a text.  Marginals come from the forward-backward recursions over whole texts.  A document's score is a
 logistic function of its largest marginal and its expected number of toxic tokens, fitted on the document labels.
@@ -21,12 +22,12 @@ from pyspark.sql import functions as F
 
 from . import logistic
 from .common import documents, slices
-from .quality import labelled_sample
+from .quality import labelled_sample, sampled_texts
 from .words import Words, hash_ranges, mix
 
 DIMS = 1 << 18
 SAMPLE_ROWS = 3000
-MIN_CONTEXTS = 8
+MIN_DOCUMENTS = 2
 MIN_RATIO = 10.0
 SPAN_AT = 0.5
 STEPS = 30
@@ -182,17 +183,28 @@ def summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def toxic_forms(form: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Form hashes that mark toxic documents, by the contexts they stand in."""
+    """Form hashes that mark toxic documents, by the contexts they stand in.
+
+    The evidence of a form is the log-likelihood ratio of its contexts, twice over; of as many forms without any bearing on
+    toxicity as there are, the most extreme one would reach about twice the logarithm of their number.
+    """
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     before, after = np.roll(form, 1), np.roll(form, -1)
     context = mix(mix(form ^ mix(before)) + after)
     _, one = np.unique(mix(context) ^ toxic[text].astype(np.uint64), return_index=True)
     kinds, code = np.unique(form[one], return_inverse=True)
+    if not len(kinds):
+        return kinds
     bad = np.bincount(code, toxic[text[one]], minlength=len(kinds))
     good = np.bincount(code, 1 - toxic[text[one]], minlength=len(kinds))
-    share = max(toxic[text[one]].mean(), 1e-9)
-    ratio = (bad / share) / ((good + 0.5) / max(1 - share, 1e-9))
-    return kinds[(bad >= MIN_CONTEXTS) & (ratio >= MIN_RATIO)]
+    places = np.unique(code.astype(np.int64) * len(first) + text[one])
+    documents_with = np.bincount(places // len(first), toxic[places % len(first)], minlength=len(kinds))
+    share = np.clip(toxic[text[one]].mean(), 1e-9, 1 - 1e-9)
+    n = bad + good
+    ratio = (bad / share) / ((good + 0.5) / (1 - share))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        evidence = 2 * (np.where(bad > 0, bad * np.log(bad / (n * share)), 0) + np.where(good > 0, good * np.log(good / (n * (1 - share))), 0))
+    return kinds[(documents_with >= MIN_DOCUMENTS) & (ratio >= MIN_RATIO) & (evidence >= 2 * np.log(len(kinds)))]
 
 
 def held_out(doc_id) -> F.Column:
@@ -203,9 +215,8 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict | None:
     """The random field and the document model, fitted in one task on the bounded sample; None if there is nothing to learn."""
     sample = labelled_sample(labels.where(~held_out(labels["doc_id"])), "toxic", sample_rows)
-    sample = sample.select("doc_id", F.col("label").cast("int").alias("label"))
-    # At most ``sample_rows`` narrow rows: safe to broadcast.
-    texts = documents(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
+    sample = sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
+    texts = sampled_texts(docs, sample)
 
     def tokens(batches):
         import pyarrow as pa
