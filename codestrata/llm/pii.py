@@ -51,10 +51,12 @@ _SPELLED_PART = re.compile(rf"(?i)(?P<plus>plus[ -]+)|(?P<digit>{_SPELLED})|(?P<
 # Disguised signs that are rewritten wherever they stand, and the bare words, which count only around an at.
 _AT_SIGN = r"(?:[\[({<][ ]*(?:at|@)[ ]*[\])}>]|&#64;|&commat;)"
 _DOT_SIGN = r"(?:[\[({<][ ]*(?:dot|\.)[ ]*[\])}>]|&#46;|&period;)"
-_DOT_WORD = " dot "
+_DOT_WORD = "[ ]{1,3}dot[ ]{1,3}"
+_DOT_WORD_END = re.compile(rf"(?i){_DOT_WORD}$")
 _SIGNS = re.compile(rf"(?i)[ ]?(?:(?P<at>{_AT_SIGN})|{_DOT_SIGN})[ ]?")
-_AT = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])@(?=[A-Za-z0-9-])|(?<=[A-Za-z0-9]) at (?=[A-Za-z0-9-])")
-_HOST = re.compile(rf"(?i)[A-Za-z0-9-]++(?:(?:\.|{_DOT_WORD})[A-Za-z0-9-]++)++")
+_AT = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])@(?=[A-Za-z0-9-])|(?<=[A-Za-z0-9])[ ]{1,3}at[ ]{1,3}(?=[A-Za-z0-9-])")
+# The word itself is no part of a host: "at noon dot dot".
+_HOST = re.compile(rf"(?i)[A-Za-z0-9-]++(?:(?:\.|{_DOT_WORD}(?!dot\b))[A-Za-z0-9-]++)++")
 _DOT = re.compile(rf"(?i){_DOT_WORD}|\.")
 # Whatever a transducer can rewrite in an ASCII text: bare words need a dot that is a word or rewritten.
 _HINT = re.compile(rf"(?i){_AT_SIGN}|{_DOT_SIGN}|{_DOT_WORD}|{_RUN}")
@@ -160,10 +162,10 @@ def _local_start(text: str, end: int, floor: int) -> int:
     while True:
         while at > floor and text[at - 1] in LOCAL:
             at -= 1
-        joint = at - len(_DOT_WORD)
-        if at == end or joint <= floor or text[joint:at].lower() != _DOT_WORD or text[joint - 1] not in LOCAL:
+        joint = _DOT_WORD_END.search(text, max(floor, at - 9), at)
+        if at == end or not joint or joint.start() <= floor or text[joint.start() - 1] not in LOCAL:
             return at
-        at, end = joint, joint
+        at = end = joint.start()
 
 
 def bare_words(text: str, changed: np.ndarray):
@@ -232,7 +234,7 @@ def masked(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
 def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), mask: bool = False) -> DataFrame:
     """``keep`` columns, base counts by kind, the digest of the base spans and all spans; with ``mask`` the masked text too.
 
-    The masked text of a null text is null.
+    The masked text of a null text is empty.
     """
     rows = documents(docs, *keep, text)
     rows = rows.toDF(*[f"k{i}" for i in range(len(keep))], "text")
