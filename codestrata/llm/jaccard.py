@@ -5,8 +5,8 @@ sets are copies: one of them, the smallest id, stands for all.  ``bands`` and ``
 finds a pair at the threshold with the target probability.  Band hashes deal the signatures into buckets; buckets with
 the same members are one bucket.  Within a bucket all pairs of full sets are compared inside the task, as a product of
 incidence matrices, and only each document's number of links and a spanning forest of the links leave the task: no list
-of pairs exists anywhere.  A bucket beyond ``BLOCK`` members is dealt into blocks, and each pair of blocks is a task of
-its own.  A pair that shares several buckets counts in the first one only.  Links join documents into classes; their class
+of pairs exists anywhere.  A bucket beyond ``BLOCK`` members or ``BLOCK_GRAMS`` n-grams is dealt into blocks, and each pair of
+blocks is a task of its own.  A pair that shares several buckets counts in the first one only.  Links join documents into classes; their class
 id is the smallest id reachable over links.
 
 Result: one row per document: ``doc_id, copy_id, class_id, n_links`` - links are other documents, copies included.  Null
@@ -28,6 +28,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 MOST_HASHES = 100
 BLOCK = 1500
+BLOCK_GRAMS = 2_000_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> tuple[int, int]:
@@ -259,26 +260,27 @@ def classes_of(docs: DataFrame, n: int, threshold: float, recall: float, block:
     rows_of = staged(sketches(docs, n, bands, rows), "sketches")
     known = rows_of.where("doc_id is not null and set_id is not null")
     first = F.min(F.struct("doc_id", "text_key"))
-    reps = known.groupBy("set_id").agg(first.alias("copy"), F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys"))
-    reps = reps.select("set_id", F.col("copy.doc_id").alias("copy_id"), F.col("copy.text_key").alias("copy_key"), "weight", "keys")
+    reps = known.groupBy("set_id").agg(first.alias("copy"), F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys"), F.min("n_grams").alias("n_grams"))
+    reps = reps.select("set_id", F.col("copy.doc_id").alias("copy_id"), F.col("copy.text_key").alias("copy_key"), "weight", "n_grams", "keys")
     reps = staged(reps.withColumn("rep", F.xxhash64("set_id")), "reps")
-    keyed = reps.select("rep", F.posexplode("keys").alias("band", "key"))
+    keyed = reps.select("rep", "n_grams", F.posexplode("keys").alias("band", "key"))
     # Buckets with two members at least; of those with the same members only the first.
-    buckets = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep", F.lit(3))).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("x"))
-    buckets = buckets.where("size > 1").groupBy("size", "s", "x").agg(F.min(F.struct("band", "key")).alias("b"))
-    buckets = buckets.select("b.band", "b.key", "size")
+    buckets = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep", F.lit(3))).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("x"), F.sum("n_grams").alias("grams"))
+    buckets = buckets.withColumn("blocks", F.ceil(F.greatest(F.col("size") / block, F.col("grams") / BLOCK_GRAMS)).cast("int"))
+    buckets = buckets.where("size > 1").groupBy("size", "s", "x").agg(F.min(F.struct("band", "key", "blocks")).alias("b"))
+    buckets = buckets.select("b.band", "b.key", "b.blocks")
     bucket = F.xxhash64("band", "key")
-    inside = keyed.join(buckets, ["band", "key"]).select("rep", bucket.alias("bucket"), "size")
-    listed = inside.groupBy("rep").agg(F.collect_list(F.struct("bucket", "size")).alias("sized"))  # at most one for each band
-    listed = listed.join(reps.select("rep", "set_id", "copy_id", "weight"), "rep").withColumn("buckets", F.col("sized.bucket"))
+    inside = keyed.join(buckets, ["band", "key"]).select("rep", bucket.alias("bucket"), "blocks")
+    listed = inside.groupBy("rep").agg(F.collect_list(F.struct("bucket", "blocks")).alias("dealt"))  # at most one for each band
+    listed = listed.join(reps.select("rep", "set_id", "copy_id", "weight"), "rep").withColumn("buckets", F.col("dealt.bucket"))
     listed = staged(listed, "members")
 
     # The text of one document of each candidate set.
     texts = documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = texts.join(listed.select(F.col("copy_id").alias("doc_id"), "rep", "set_id", "weight", "buckets"), "doc_id")
     sets = full_sets(texts, n)
-    dealt = sets.join(listed.select("rep", F.explode("sized").alias("one")), "rep")
-    n_blocks = F.ceil(F.col("one.size") / block).cast("int")
+    dealt = sets.join(listed.select("rep", F.explode("dealt").alias("one")), "rep")
+    n_blocks = F.col("one.blocks")
     dealt = dealt.withColumn("blocks", n_blocks).withColumn("mine", F.pmod(F.xxhash64("rep", F.lit(11)), n_blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).select(
