@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codestrata.llm import ann, common, jaccard, lm, mixing, packing, rans
 
@@ -244,6 +245,17 @@ def test_jaccard_join_of_odd_rows(odd):
     assert found == sorted([(None, None, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 1), (4, 4, 1), (5, 5, 0)], key=str)
 
 
+def test_large_sets_are_dealt_into_blocks(rows, monkeypatch):
+    """Blocks by n-grams as well as by members: the same links in any number of blocks."""
+    base = [f"w{i}" for i in range(3000)]
+    data = [(k, " ".join(base[: 3000 - 40 * k]), "s") for k in range(8)] + [(50 + k, " ".join(f"x{k}y{i}" for i in range(50)), "s") for k in range(3)]
+    want = sorted(tuple(r) for r in jaccard.join(rows(data)).collect())
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 5000)
+    assert sorted(tuple(r) for r in jaccard.join(rows(data)).collect()) == want
+    plain = plain_classes([t for _, t, _ in data])
+    assert [(c, n) for _, _, c, n in want] == [(data[c][0], n) for c, n in plain]
+
+
 def test_bands_reach_the_recall():
     bands, per = jaccard.choose_bands(0.8, 0.9995)
     assert 1 - (1 - 0.8**per) ** bands >= 0.9995 and bands * per <= jaccard.MOST_HASHES
@@ -306,6 +318,29 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
         assert (8, text(4)) in found
 
 
+def test_source_mix_takes_rows_and_not_ids(spark):
+    """Rows that repeat an id are taken each for itself; extra copies go by the mix alone."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    data = [(i % 7, " ".join(f"w{k}" for k in rng.integers(0, 99, 40 + i)), "en", "ab"[i % 2], 1) for i in range(60)] + [(None, "x y z", None, None, None), (1, "", "en", "a", 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    found = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.source_mix(spark, docs, "").collect())
+    mixed, _ = mixing.mix(docs.select(F.xxhash64(*corpus_pipeline.COLUMNS).alias("doc_id"), "source", "text"))
+    keys = {r["k"]: (r["doc_id"], r["text"]) for r in docs.select("*", F.xxhash64(*corpus_pipeline.COLUMNS).alias("k")).collect()}
+    want = {keys[r["doc_id"]]: max(1, round(r["taken"] / r["size"])) for r in mixed.where("taken > 0").collect()}
+    assert found == want and len({n for n in want.values()}) > 1
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, rank int, bucket string")
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from codestrata.llm import quality
