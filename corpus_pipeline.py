@@ -48,12 +48,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: at least once if any of its words is taken, else the nearest number."""
-    mixed, _ = mixing.mix(docs)
+    """Documents as often as the mix takes them: at least once if any of its words is taken, else the nearest number.
+
+    A row is told by the hash of all it holds, so rows that repeat an id are taken each for itself, and rows equal in everything
+    alike.  The schedule takes whole blocks but for the last of a source, so only documents at that block's end are rounded.
+    """
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row_key"))
+    mixed, _ = mixing.mix(rows.select(F.col("row_key").alias("doc_id"), "source", "text"))
     times = F.when(F.col("taken") > 0, F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))).otherwise(0)
-    times = mixed.groupBy("doc_id").agg(F.max(times).alias("times")).where("times > 0")
-    rows = docs.select(*COLUMNS).alias("d").join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
-    return rows.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(f"d.{c}") for c in COLUMNS])
+    times = mixed.groupBy(F.col("doc_id").alias("row_key")).agg(F.max(times).alias("times")).where("times > 0")
+    return rows.join(times, "row_key").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
