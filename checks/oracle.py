@@ -444,6 +444,8 @@ WHERE contains(lower(name), 'widget_1')"""
 ORACLE["entity_type_counts"] = f"WITH {ENTS} SELECT type, count(*) AS entities FROM ents GROUP BY type"
 ORACLE["structure_totals"] = f"""WITH {EDGES} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM ents) AS entities,
   (SELECT count(*) FROM edges) AS edges"""
+ORACLE["shared_parse"] = f"""WITH {ENTS}, issues AS ({_union(_basic(True))})
+SELECT 'rule' AS part, rule_id AS item, count(*) AS n FROM issues GROUP BY rule_id UNION ALL SELECT 'entity', type, count(*) FROM ents GROUP BY type"""
 IMPORTS = f"""{ENTS},
 wanted AS (SELECT path AS source, language = 'python' AS py, parent || '/' ||
     CASE WHEN language = 'python' THEN coalesce(nullif(regexp_extract(text, '^from (\\w+) import', 1), ''), name) ELSE replace(name, './', '') END AS key

@@ -290,6 +290,17 @@ def similar_pairs_of_selection(spark, sf_dir):
 # ---- structure -----------------------------------------------------------------------------------------
 
 
+@query
+def shared_parse(spark, sf_dir):
+    """Findings by rule and entities by type of one parsed table: every file is parsed once."""
+    from codestrata.operators import entities
+
+    parsed = entities.parsed_files(files_of(spark, sf_dir))
+    found = rules.rule_issues(parsed).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit("rule").alias("part"), F.col("rule_id").alias("item"), "n")
+    kinds = entities.entity_counts(entities.entities(parsed)).select(F.lit("entity").alias("part"), F.col("type").alias("item"), F.col("entities").alias("n"))
+    return found.unionByName(kinds)
+
+
 def _entities(spark, sf_dir):
     """Entity table, parsed once and staged: several queries read it more than once."""
     from codestrata.operators import entities

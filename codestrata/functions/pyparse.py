@@ -30,17 +30,27 @@ def _parse(source: str) -> ast.AST:
         return ast.parse(source)
 
 
-def file_facts(source: str | None) -> dict | None:
-    """Function sizes and loop depths of one file, or why it does not parse."""
-    if source is None:
-        return None
+def parsed(source: str) -> tuple[ast.AST | None, dict]:
+    """The syntax tree, or None, and the facts about the file as far as parsing tells them."""
     facts = {"error_kind": None, "error_message": None, "error_line": None, "functions": [], "loops": []}
     try:
-        tree = _parse(source)
+        return _parse(source), facts
     except SyntaxError as e:
-        return facts | {"error_kind": "syntax", "error_message": e.msg, "error_line": e.lineno}
+        return None, facts | {"error_kind": "syntax", "error_message": e.msg, "error_line": e.lineno}
     except Exception as e:  # too deeply nested, undecodable
-        return facts | {"error_kind": "analysis", "error_message": str(e)}
+        return None, facts | {"error_kind": "analysis", "error_message": str(e)}
+
+
+def file_facts(source: str | None) -> dict | None:
+    """Function sizes and loop depths of one file, or why it does not parse."""
+    if source is None:
+        return None
+    tree, facts = parsed(source)
+    return facts if tree is None else with_sizes(tree, facts)
+
+
+def with_sizes(tree: ast.AST, facts: dict) -> dict:
+    """The facts with function sizes and loop depths of the tree."""
     level = [(tree, 0)]
     while level:
         below = []
@@ -77,10 +87,12 @@ def _names_used(node: ast.AST, calls: bool) -> list[str]:
 
 def python_entities(source: str) -> list[dict]:
     """Functions, classes and imports in breadth-first order; none when the file does not parse."""
-    try:
-        tree = _parse(source)
-    except Exception:
-        return []
+    tree, _ = parsed(source)
+    return [] if tree is None else tree_entities(tree, source)
+
+
+def tree_entities(tree: ast.AST, source: str) -> list[dict]:
+    """Functions, classes and imports of a tree."""
     lines = [line.encode("utf-8") for line in source.split("\n")]
     found = []
 

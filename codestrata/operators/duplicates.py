@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, WORD
-from ..session import salted_join, stage
+from ..session import counted_join, salted_join, stage
 from ..sources.tables import analysable
 
 # Window length and similarity threshold.
@@ -105,13 +105,13 @@ def duplicate_classes(counts: DataFrame, min_files: int = 2) -> DataFrame:
     )
 
 
-def duplicate_links(counts: DataFrame) -> DataFrame:
+def duplicate_links(counts: DataFrame, all_classes: DataFrame | None = None) -> DataFrame:
     """Five-set classes and the four-set classes inside them, with the number of cross-file pairs.
 
     ``pairs = members5 * members4 - sum over files of members5(file) * members4(file)``.  Both joins that a common
-    block could overload are salted.
+    block could overload are salted.  ``all_classes``: the classes of one file or more, if they are there already.
     """
-    all_classes = duplicate_classes(counts, min_files=1)
+    all_classes = duplicate_classes(counts, min_files=1) if all_classes is None else all_classes
     five = all_classes.where(F.col("n") == BLOCK_LINES).select(
         "lang_group",
         F.col("block_id").alias("block5"),
@@ -159,6 +159,7 @@ def pairs_for_files(blocks_df: DataFrame, selection: DataFrame) -> DataFrame:
 
     The answer to "where else does this file occur"; its size is the selection's share of the classes.
     """
+    blocks_df = stage(blocks_df)
     b = blocks_df.select("lang_group", "block_id", "path", "start")
     mine = b.join(selection.select("path").distinct(), "path", "left_semi").select(
         "lang_group", "block_id", F.col("path").alias("path1"), F.col("start").alias("start1")
@@ -167,9 +168,11 @@ def pairs_for_files(blocks_df: DataFrame, selection: DataFrame) -> DataFrame:
     near = links.select("lang_group", F.col("block5").alias("block_id"), F.col("block4").alias("other")).union(
         links.select("lang_group", F.col("block4").alias("block_id"), F.col("block5").alias("other"))
     )
-    equal = mine.join(b, ["lang_group", "block_id"]).withColumn("similarity", F.lit(1.0))
-    linked = mine.join(near, ["lang_group", "block_id"]).select("lang_group", F.col("other").alias("block_id"), "path1", "start1")
-    linked = linked.join(b, ["lang_group", "block_id"]).withColumn("similarity", F.lit(SIMILARITY))
+    # A common block may be in most files: its rows are dealt over as many tasks as they ask for.
+    key = ["lang_group", "block_id"]
+    equal = counted_join(b, mine, key, "path").withColumn("similarity", F.lit(1.0))
+    linked = counted_join(mine, near, key, "path1").select("lang_group", F.col("other").alias("block_id"), "path1", "start1")
+    linked = counted_join(b, linked, key, "path").withColumn("similarity", F.lit(SIMILARITY))
     return equal.unionByName(linked).where(F.col("path") != F.col("path1")).select(
         "lang_group", "path1", "start1", F.col("path").alias("path2"), F.col("start").alias("start2"), "similarity"
     )
@@ -190,7 +193,8 @@ def duplication_issues(blocks_df: DataFrame) -> DataFrame:
     are the first of each class; ``members_of`` lists the others and ``pairs_for_files`` the pairs of chosen files.
     """
     counts = stage(block_counts(blocks_df))
-    equal = duplicate_classes(counts).select(
+    classes = stage(duplicate_classes(counts, min_files=1))
+    equal = classes.where("files > 1").select(
         F.concat(F.lit("Code duplication detected across "), F.col("files").cast("string"), F.lit(" files")).alias("message"),
         F.col("first_path").alias("file1"),
         F.lit(None).cast("string").alias("file2"),
@@ -199,12 +203,12 @@ def duplication_issues(blocks_df: DataFrame) -> DataFrame:
         F.lit(1.0).alias("similarity"),
         F.col("pairs").alias("findings"),
     )
-    places = duplicate_classes(counts, min_files=1).select("lang_group", "block_id", "first_path", "first_start")
+    places = classes.select("lang_group", "block_id", "first_path", "first_start")
     five, four = (
         places.select("lang_group", F.col("block_id").alias(f"block{n}"), F.col("first_path").alias(f"path{n}"), F.col("first_start").alias(f"start{n}"))
         for n in (BLOCK_LINES, BLOCK_LINES - 1)
     )
-    linked = duplicate_links(counts).join(five, ["lang_group", "block5"]).join(four, ["lang_group", "block4"]).select(
+    linked = duplicate_links(counts, classes).join(five, ["lang_group", "block5"]).join(four, ["lang_group", "block4"]).select(
         F.lit("Code duplication detected between two groups of blocks").alias("message"),
         F.col("path5").alias("file1"),
         F.col("path4").alias("file2"),

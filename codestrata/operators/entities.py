@@ -6,19 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import CODE_EXTS, display_language
-from ..functions.structure import extract_entities
-from ..session import salted_join
+from ..functions.structure import extract_entities, parse_code
+from ..session import salted_join, stage
 from ..sources.tables import analysable
 
 
 def entity_files(files: DataFrame) -> DataFrame:
-    """One row per code file with its entities as an array, in source order of discovery."""
+    """One row per code file with its entities as an array, in source order of discovery.
+
+    Files parsed before (``parsed_files``) are not parsed again.
+    """
     code = analysable(files).where(F.col("ext").isin(CODE_EXTS))
+    found = F.col("entities") if "entities" in files.columns else extract_entities(F.col("ext"), F.col("content"))
     return code.select(
-        "path", "name", "parent", "stem", "ext", "content",
-        display_language(F.col("ext")).alias("language"),
-        extract_entities(F.col("ext"), F.col("content")).alias("entities"),
-    )
+        "path", "name", "parent", "stem", "ext", "content", display_language(F.col("ext")).alias("language"), found.alias("entities")
+    )
+
+
+def parsed_files(files: DataFrame) -> DataFrame:
+    """A files table with ``facts`` and ``entities`` of every file from one parse, staged.
+
+    Rules, index and entity tables of this table need no parser any more.
+    """
+    code = files.withColumn("_code", parse_code(F.col("ext"), F.col("language"), F.col("content")))
+    return stage(code.select(*files.columns, F.col("_code.facts").alias("facts"), F.col("_code.entities").alias("entities")))
 
 
 def entities(files: DataFrame) -> DataFrame:

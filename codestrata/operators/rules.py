@@ -255,15 +255,17 @@ def rule_issues(
     if not gate_on_parse:
         rules = [r for r in rules if r.id not in ("PY-01", "PY-02", "PY-03", "PY-04", "PY-05")]
     ids = {r.id for r in rules}
+    known = "facts" in files.columns  # parsed before
     base = files.where(F.col("language").isNotNull() & F.col("content").isNotNull()).select(
-        F.col("path").alias("file"), "language", "content"
+        F.col("path").alias("file"), "language", "content", *([F.col("facts").alias("_facts")] if known else [])
     )
     needs_facts = any(r.id.startswith("PY-") for r in rules) and gate_on_parse
-    facts = (
-        pyparse.parse_facts(F.when(F.col("language") == "python", F.col("content")))
-        if needs_facts
-        else F.lit(None).cast(pyparse.FACTS_TYPE)
-    )
+    if not needs_facts:
+        facts = F.lit(None).cast(pyparse.FACTS_TYPE)
+    elif known:
+        facts = F.col("_facts")
+    else:
+        facts = pyparse.parse_facts(F.when(F.col("language") == "python", F.col("content")))
     per_file = base.select("*", facts.alias("facts"), is_test_path(F.col("file"), F.col("language")).alias("test_like")).select(
         "file",
         "language",

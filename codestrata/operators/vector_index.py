@@ -81,7 +81,7 @@ def build(items: DataFrame, path: str, cells: int | None = None, rounds: int = 1
     cells = max(1, min(cells or 2 * math.isqrt(told["n"]), rows, told["n"] or 1, MOST_CELLS))
     drawn = items.orderBy(F.md5(F.col("item_id").cast("string")), "item_id").limit(rows if rounds else cells)
     sample = drawn.select("embedding").toPandas()["embedding"]
-    centres = _learn(_matrix(sample), cells, rounds) if len(sample) else np.zeros((1, dims))
+    centres = _learn(_matrix(sample), cells, rounds) if len(sample) else np.zeros((0, dims))
     shared = spark.sparkContext.broadcast(centres)
 
     def to_cells(batches):
@@ -95,7 +95,8 @@ def build(items: DataFrame, path: str, cells: int | None = None, rounds: int = 1
     files = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(ROWS_A_FILE)).cast("int").alias("files"))
     dealt = placed.join(F.broadcast(files), "cell").withColumn("file", F.pmod(F.xxhash64("item_id"), F.col("files")))
     dealt.repartition("cell", "file").select("item_id", "embedding", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/items")
-    centre_rows = [(i, [float(x) for x in c], id_type) for i, c in enumerate(centres)]
+    # A row beside the centres tells the type of the ids, also where there is no vector.
+    centre_rows = [(-1, [], id_type), *((i, [float(x) for x in c], id_type) for i, c in enumerate(centres))]
     spark.createDataFrame(centre_rows, "cell int, centre array<double>, id_type string").write.mode("overwrite").parquet(f"{path}/centres")
     return VectorIndex(spark, path, centres, id_type)
 
@@ -103,7 +104,8 @@ def build(items: DataFrame, path: str, cells: int | None = None, rounds: int = 1
 def open_index(spark: SparkSession, path: str) -> VectorIndex:
     """An index written before."""
     rows = spark.read.parquet(f"{path}/centres").orderBy("cell").toPandas()
-    return VectorIndex(spark, path, _matrix(rows["centre"]), rows["id_type"].iloc[0])
+    centres = rows["centre"][1:]
+    return VectorIndex(spark, path, _matrix(centres) if len(centres) else np.zeros((0, 1)), rows["id_type"].iloc[0])
 
 
 def with_cells(index: VectorIndex, queries: DataFrame, probes: int) -> DataFrame:
@@ -143,6 +145,9 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int, broadcas
     ``dist`` is the exact squared distance; ties go to the smaller item id.  Questions without a vector take no part.
     """
     spark, items = index.spark, index.items
+    if not len(index.centres):  # no vectors
+        none = spark.createDataFrame([], f"qid {dict(queries.dtypes)['qid']}, item_id {index.id_type}, dist double")
+        return none.withColumn("rank", F.lit(0))
     probes = max(1, min(probes, len(index.centres)))
     asked = stage(with_cells(index, queries, probes))
     schema = f"qid {dict(asked.dtypes)['qid']}, item_id {dict(items.dtypes)['item_id']}, dist double"

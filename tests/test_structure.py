@@ -143,3 +143,27 @@ def test_metadata_is_cut(make_files):
     long = "x = '" + "a" * 2000 + "'"
     r = documents.safe_metadata(documents.code_documents(entities.entity_files(make_files({"d" * 600 + "/x.py": long})))).first()
     assert len(r["source"]) == 500 and len(r["code_content"]) == 1000 and r["entity_name"] is None and r["ast_parsed"] == "True"
+
+
+def test_one_parse_for_rules_and_entities(spark, make_files, monkeypatch):
+    """The parsed table gives the same findings and entities, and no plan over it holds Python."""
+    from codestrata.functions import pyparse, structure
+    from codestrata.operators import entities, rules
+
+    files = make_files({
+        "a.py": "import os\n\ndef f(a):\n    eval(a)\n", "b.py": "def (:\n", "X.PY": "def g():\n    global x\n", "c.js": "function load(a) {\n  return eval(a)\n}\n",
+        "d.md": "text", "e.py": "", "f.tsx": "class View {\n}\n",
+    })
+    parsed = entities.parsed_files(files)
+    for make in (lambda t: rules.rule_issues(t), entities.entities, lambda t: rules.rule_issues(t, mode="enhanced")):
+        plan = make(parsed)._jdf.queryExecution().toString()
+        assert "EvalPython" not in plan and "MapIn" not in plan
+        assert sorted(map(str, make(parsed).collect())) == sorted(map(str, make(files).collect()))
+    asked = []
+    monkeypatch.setattr(pyparse, "_parse", lambda source, real=pyparse._parse: asked.append(source) or real(source))
+    import pandas as pd
+
+    run = structure.parse_code
+    monkeypatch.setattr(structure.F, "pandas_udf", lambda kind: lambda fn: lambda *columns: fn(*columns))
+    found = run(pd.Series([".py", ".py", ".PY", ".js"]), pd.Series(["python", "python", "python", "javascript"]), pd.Series(["x = 1", "def (:", "y", "class A {}"]))
+    assert asked == ["x = 1", "def (:", "y"] and found["entities"][2] is None and found["facts"][3] is None

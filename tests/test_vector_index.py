@@ -74,6 +74,7 @@ def test_odd_rows(spark):
     assert rows(vector_index.search(index, queries, 2, 9)) == [(1, 1, 3, 0.0), (1, 2, 4, 0.0)]
     none = vector_index.build(items.where("false"), stage_path(spark))
     assert rows(vector_index.search(none, queries, 2, 1)) == []
+    assert rows(vector_index.search(vector_index.open_index(spark, none.path), queries, 2, 1)) == []
     assert rows(vector_index.search(index, queries.where("false"), 2, 1)) == []
     with pytest.raises(ValueError, match="different lengths"):
         vector_index.build(spark.createDataFrame([(1, [0.0]), (2, [0.0, 1.0])], "item_id long, embedding array<double>"), stage_path(spark))
