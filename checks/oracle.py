@@ -491,16 +491,16 @@ SELECT path || '#0' AS doc_id, path AS source, name AS filename, ext AS file_ext
 UNION ALL SELECT path || '#' || CAST(pos + 1 AS VARCHAR), path, filename, ext, 'entity', name, type, CAST(line AS VARCHAR), {_shown}, 'True',
   {_flag('docstring IS NOT NULL')}, {_flag('coalesce(n_params, 0) > 0')}, {_flag('deps > 0')}, substr(content, 1, 1000) FROM counted"""
 
-ORACLE["file_documents"] = f"""WITH {DEPS},
-bullets AS (SELECT path, count(*) AS n, string_agg(DISTINCT type, ', ' ORDER BY type) AS types,
+FILE_DOCUMENTS = f"""bullets AS (SELECT path, count(*) AS n, string_agg(DISTINCT type, ', ' ORDER BY type) AS types,
   string_agg('- ' || name || ' (' || type || ') at line ' || CAST(line AS VARCHAR)
     || coalesce(chr(10) || '  Docstring: ' || substr(docstring, 1, 100) || '...', '')
     || CASE WHEN n_params > 0 THEN chr(10) || '  Parameters: ' || regexp_extract(text, '\\(([^)]*)\\)', 1) ELSE '' END, chr(10) ORDER BY pos) AS list
-  FROM counted GROUP BY path)
-SELECT f.path || '#0' AS doc_id, trim('File: ' || f.name || chr(10) || 'Language: ' || {_shown} || chr(10) || 'Extension: ' || f.ext || chr(10)
+  FROM counted GROUP BY path),
+file_docs AS (SELECT f.path || '#0' AS doc_id, trim('File: ' || f.name || chr(10) || 'Language: ' || {_shown} || chr(10) || 'Extension: ' || f.ext || chr(10)
   || 'Total Entities: ' || CAST(coalesce(b.n, 0) AS VARCHAR) || chr(10) || 'Entity Types: ' || coalesce(types, '') || chr(10) || chr(10)
   || 'Code Content:' || chr(10) || f.content || chr(10) || chr(10) || 'AST Parsed Entities:' || chr(10) || coalesce(list, 'No entities found'), {TRIM}) AS content
-FROM files f LEFT JOIN bullets b USING (path)"""
+FROM files f LEFT JOIN bullets b USING (path))"""
+ORACLE["file_documents"] = f"WITH {DEPS}, {FILE_DOCUMENTS} SELECT * FROM file_docs"
 
 # ---- documents, chunks, retrieval ----------------------------------------------------------------------
 
@@ -557,6 +557,37 @@ recursive_chunks AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY way,
 ORACLE["chunk_recursive"] = f"""WITH RECURSIVE plain AS (SELECT 'm' || CAST(doc_id AS VARCHAR) || '.txt' AS id,
   replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents WHERE text IS NOT NULL),
 {_recursive("plain")} SELECT id || '#' || CAST(chunk_no AS VARCHAR) AS chunk_id, text FROM recursive_chunks"""
+# What the corpus' entities use, by template; names that occur in a script's block come from its words.
+_id = "CAST(doc_id AS VARCHAR)"
+_uses = f"""CASE WHEN type = 'import' AND language = 'python' AND starts_with(text, 'from ') THEN [regexp_extract(text, '^from (\\w+) import', 1) || '.' || name]
+    WHEN type = 'import' THEN [name]
+    WHEN language <> 'python' THEN (SELECT list(DISTINCT w.w ORDER BY w.w) FROM script_words w WHERE w.path = c.path AND w.name = c.name AND w.line = c.line
+      AND (w.call OR w.w NOT IN ('var', 'let', 'const', 'function', 'if', 'else', 'for', 'while', 'return')))
+    WHEN name LIKE 'run\\_%' ESCAPE '\\' THEN list_concat(list_concat(['helper_' || {_id}, 'a', 'range', 'len', 'b', 'dumps', 'c'],
+      CASE WHEN doc_id % 7 = 0 THEN ['eval'] ELSE [] END), CASE WHEN doc_id % 6 = 0 THEN ['cursor', 'execute'] ELSE [] END)
+    WHEN name LIKE 'helper%' THEN list_concat(['i', 'x', 'j', 'os', 'join'], CASE WHEN doc_id % 8 = 0 THEN ['s'] ELSE [] END)
+    WHEN name LIKE 'branchy%' THEN ['x', 'a'] WHEN type = 'class' AND name LIKE 'Widget%' THEN ['Base', 'self', 'run_' || {_id}, 'a', 'b']
+    WHEN name = '__init__' THEN ['self', 'run_' || {_id}, 'a', 'b'] WHEN name LIKE 'check%' THEN ['run_' || {_id}] ELSE [] END"""
+_listed = lambda x: f"'[' || chr(39) || array_to_string({x}, chr(39) || ', ' || chr(39)) || chr(39) || ']'"
+CODE_DOCUMENTS = f"""{DEPS},
+used AS (SELECT *, list_sort(coalesce({_uses}, [])) AS uses, CASE WHEN n_params > 0 THEN string_split(regexp_extract(text, '\\(([^)]*)\\)', 1), ', ') END AS params FROM counted c),
+{FILE_DOCUMENTS},
+code_docs AS (
+  SELECT f.path || '#0' AS doc_id, f.path AS source, f.name AS filename, f.ext AS file_extension, 'code_file' AS type, NULL AS entity_name, NULL AS entity_type,
+    CAST(NULL AS INTEGER) AS line_number, {_shown} AS language, true AS ast_parsed, CAST(NULL AS BOOLEAN) AS has_docstring, CAST(NULL AS BOOLEAN) AS has_parameters,
+    CAST(NULL AS BOOLEAN) AS has_dependencies, 0 AS doc_no, d.content FROM files f JOIN file_docs d ON d.doc_id = f.path || '#0'
+  UNION ALL SELECT path || '#' || CAST(pos + 1 AS VARCHAR), path, filename, ext, 'entity', name, type, CAST(line AS INTEGER), {_shown}, true,
+    docstring IS NOT NULL, coalesce(n_params, 0) > 0, len(uses) > 0, CAST(pos + 1 AS INTEGER), trim('Entity: ' || name || chr(10) || 'Type: ' || type || chr(10) || 'File: ' || filename
+    || chr(10) || 'Line: ' || CAST(line AS VARCHAR) || chr(10) || 'Language: ' || {_shown} || chr(10) || 'AST Parsed: True' || chr(10) || chr(10) || 'Code Content:' || chr(10) || content
+    || chr(10) || chr(10) || 'Docstring: ' || coalesce(docstring, 'No docstring') || chr(10) || 'Parameters: ' || coalesce({_listed("params")}, 'No parameters')
+    || chr(10) || 'Dependencies: ' || CASE WHEN len(uses) > 0 THEN {_listed("uses")} ELSE 'No dependencies' END
+    || chr(10) || chr(10) || 'Context: This ' || type || ' is defined in ' || filename || ' at line ' || CAST(line AS VARCHAR) || '.', {TRIM}) FROM used)"""
+ORACLE["code_documents"] = f"""WITH {CODE_DOCUMENTS} SELECT * FROM code_docs"""
+ORACLE["code_chunk_stats"] = f"""WITH RECURSIVE {CODE_DOCUMENTS}, code_texts AS (SELECT doc_id AS id, content AS text FROM code_docs),
+{_recursive("code_texts")},
+told AS (SELECT d.* FROM recursive_chunks r JOIN code_docs d ON d.doc_id = r.id)
+SELECT 'total' AS breakdown, '' AS value, count(*) AS chunks FROM told UNION ALL SELECT 'files', filename, count(*) FROM told GROUP BY filename
+UNION ALL SELECT 'entity_types', type, count(*) FROM told GROUP BY type UNION ALL SELECT 'languages', language, count(*) FROM told GROUP BY language"""
 CODE_CHUNKS = f"{FILES}, code_chunks AS ({_fixed('files', 'content', 'path, name AS filename, ext')})"
 ORACLE["chunks_by_extension"] = f"""WITH {CODE_CHUNKS} SELECT path || '#' || CAST(chunk_no AS VARCHAR) AS chunk_id, filename FROM code_chunks WHERE ext = '.tsx'"""
 ORACLE["index_report"] = f"""WITH {EDGES}, code_chunks AS ({_fixed('files', 'content', 'path')})
