@@ -3,11 +3,11 @@
 Each tree gives every vector a hash string of 64 bits, the signs of random projections (less their value for the centre of
 the first vectors of the block).  Rows are dealt into blocks of at most ``BLOCK_ROWS``; a block keeps, for each tree, its
 sorted strings and the rows they belong to.  A query finds in each tree the strings with the longest common prefix and then
-ascends in all trees at once, a bit at a time, until the rows below the prefixes number ``SHARE`` of the block; all of
-these rows are candidates, ranked by their exact Euclidean distance in double precision.
+ascends in all trees at once, a bit at a time, until the rows below the prefixes number ``wanted_rows`` of the block, a share
+that falls with its rows; all of these rows are candidates, ranked by their exact Euclidean distance in double precision.
 
-The index is written once, all rows are in it.  The query set is taken in batches of ``QUERY_ROWS`` that are sent to the
-blocks, each task keeping its best ``k`` per query over all its blocks; a last ranking merges the tasks.
+The index is written once, all rows are in it.  The query set is taken in batches of ``QUERY_ROWS`` rows and ``QUERY_BYTES``
+bytes at most that are sent to the blocks, each task keeping its best ``k`` per query over all its blocks; a last ranking merges the tasks.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part; a null id
 neither.  A query is not its own neighbour; with fewer than ``k`` candidates all are returned.  Ties go to the smaller id.
@@ -24,9 +24,12 @@ from .common import documents, staged
 
 TREES = 64
 BITS = 64
-SHARE = 0.8
+# Rows below the prefixes, summed over the trees: this share of a block of so many rows, less of a larger one by the power.
+SHARE, SHARE_ROWS, FALL = 0.6, 2000, 0.2
+MOST_SHARE = 0.8
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 50_000
+QUERY_BYTES = 64 << 20
 SEED = 20_240_101
 INDEX = "block_rows int, ids binary, vectors binary, centre binary, labels binary, places binary"
 
@@ -45,6 +48,11 @@ def width_of(rows: DataFrame) -> int:
     return found["width"] if found else 1
 
 
+def wanted_rows(rows: int, k: int) -> int:
+    """Rows that the trees together are to hold below a query's prefixes before the ascent ends."""
+    return max(4 * k, int(min(MOST_SHARE, SHARE * (SHARE_ROWS / max(rows, 1)) ** FALL) * rows))
+
+
 def planes(width: int, trees: int = TREES) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((width, trees * BITS))
 
@@ -129,10 +137,10 @@ class Block:
             floor, top = np.where(enough, middle, floor), np.where(enough, top, middle - 1)
         return self.ranges(labels, floor)
 
-    def nearest(self, ids: np.ndarray, x: np.ndarray, normals: np.ndarray, k: int, share: float):
+    def nearest(self, ids: np.ndarray, x: np.ndarray, normals: np.ndarray, k: int):
         """For each query: ids and distances of its best ``k`` among its candidates."""
         labels = labels_of(x, self.centre, normals, self.trees)
-        low, high = self.ascend(labels, max(4 * k, int(share * len(self.ids))))
+        low, high = self.ascend(labels, wanted_rows(len(self.ids), k))
         seen = np.zeros(len(self.ids), bool)
         for q in range(len(ids)):
             seen[:] = False
@@ -148,15 +156,15 @@ class Block:
             yield self.ids[rows][order], d[order]
 
 
-def search(index: DataFrame, queries: DataFrame, width: int, k: int = 10, trees: int = TREES, share: float = SHARE, query_rows: int = QUERY_ROWS) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, width: int, k: int = 10, trees: int = TREES, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each query."""
     spark = index.sparkSession
     queries = queries.where(F.size("vec") == width)
-    n = queries.count()
+    n, query_rows = queries.count(), max(1, min(query_rows, QUERY_BYTES // (8 * (width + 1))))
     batches_of = max(1, -(-n // query_rows))
     found = None
     for number in range(batches_of):
-        # A batch of the query set, in size bounded by ``query_rows`` (up to the evenness of a hash).
+        # A batch of the query set, in size bounded by ``query_rows`` and their bytes (up to the evenness of a hash).
         part = queries if batches_of == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(batches_of)) == number)
         rows = part.toArrow()
         ids = rows.column("id").to_numpy()
@@ -173,7 +181,7 @@ def search(index: DataFrame, queries: DataFrame, width: int, k: int = 10, trees:
             for batch in blocks:
                 for row in batch.to_pylist():
                     block = Block(row, width, trees)
-                    for q, (near, d) in enumerate(block.nearest(ids, x, normals, k, share)):
+                    for q, (near, d) in enumerate(block.nearest(ids, x, normals, k)):
                         near, d = np.append(best_ids[q], near), np.append(best[q], d)
                         order = np.lexsort((near, d))[:k]
                         best_ids[q], best[q] = near[order], d[order]
