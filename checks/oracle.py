@@ -244,6 +244,9 @@ FOUND = "CAST(sum(findings) AS BIGINT)"
 ORACLE["source_files"] = f"""WITH {FILES} SELECT path, name, parent, stem, ext, language, strlen(content) AS size,
   CASE ext WHEN '.py' THEN 'Python' WHEN '.js' THEN 'JavaScript' WHEN '.jsx' THEN 'JavaScript' ELSE 'TypeScript' END AS display_language,
   true AS supported, CAST(len(ls) AS BIGINT) AS n_lines FROM files"""
+ORACLE["scanned_files"] = f"""WITH {FILES}, sized AS (SELECT *, strlen(content) % 20 = 0 AS unreadable FROM files)
+SELECT path, ext, language, strlen(content) + CAST(unreadable AS BIGINT) AS size, unreadable, CASE WHEN NOT unreadable THEN md5(content) END AS digest FROM sized
+WHERE ext IN ('.py', '.ts', '.tsx') AND strlen(content) + CAST(unreadable AS BIGINT) <= 10485"""
 ORACLE["line_rules_issues"] = f"WITH {LINE_ISSUES} SELECT {KEYS} FROM issues"
 ORACLE["basic_issues"] = f"WITH {BASIC} SELECT {KEYS} FROM issues"
 ORACLE["enhanced_issues"] = f"WITH {ENHANCED} SELECT {KEYS0} FROM issues"

@@ -60,6 +60,20 @@ def source_files(spark, sf_dir):
     )
 
 
+@query
+def scanned_files(spark, sf_dir):
+    """The corpus written as a tree of files, some of them not valid UTF-8, and scanned again."""
+    from codestrata.session import stage_path
+    from codestrata.sources import tree
+
+    broken = F.when(F.col("size") % 20 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    root = stage_path(spark)
+    tree.write_source_tree(files_of(spark, sf_dir).select("path", F.concat(F.encode("content", "UTF-8"), broken).alias("content")), root)
+    found = tree.scan_source_tree(spark, root, exts=[".py", ".ts", ".tsx"], max_file_size_mb=0.01)
+    below = F.substring(F.col("path"), F.lit(len(root) + 2), F.length("path"))
+    return found.select(below.alias("path"), "ext", "language", "size", F.col("read_error").isNotNull().alias("unreadable"), F.md5("content").alias("digest"))
+
+
 @query
 def line_rules_issues(spark, sf_dir):
     return rules.rule_issues(files_of(spark, sf_dir), gate_on_parse=False).select(*ISSUE_KEYS)

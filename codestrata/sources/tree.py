@@ -12,6 +12,7 @@ row of its own with size 0 and, once read, a read error.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -75,6 +76,14 @@ class _LocalStore:
         with open(path, "rb") as f:
             return f.read()
 
+    def write(self, path: str, data: bytes) -> None:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        # Put in place whole, so that a task that runs twice leaves no half-written file.
+        part = f"{path}.{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            f.write(data)
+        os.replace(part, path)
+
 
 class _UriStore:
     """A store behind a URI; paths keep the URI's scheme."""
@@ -110,6 +119,14 @@ class _UriStore:
         with self.fs.open_input_stream(self._bare(path)) as f:
             return f.read()
 
+    def write(self, path: str, data: bytes) -> None:
+        bare = self._bare(path)
+        self.fs.create_dir(os.path.dirname(bare), recursive=True)
+        part = f"{bare}.{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(part) as f:
+            f.write(data)
+        self.fs.move(part, bare)
+
 
 def _store(path: str):
     return _UriStore(path) if "://" in path or path.startswith("file:") else _LocalStore()
@@ -206,26 +223,27 @@ class _TreeReader(DataSourceReader):
                         yield row
 
 
-def _load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Contents of the listed files; a file that cannot be read gets null content."""
-    stores = {}
-    for pdf in batches:
-        rows, size = [], 0
-        for path in pdf["path"]:
-            host = "/".join(path.split("/", 3)[:3]) if "://" in path else ""
-            try:
-                if host not in stores:
-                    stores[host] = _store(path)
-                data = stores[host].read(path)
-            except OSError:
-                data = None
-            rows.append((path, data))
-            size += len(data or b"")
-            if size >= BATCH_BYTES:
+def _loading(root: str):
+    """Contents of the listed files of a tree; a file that cannot be read gets null content."""
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store = _store(root)  # of the root's URI: the paths below it need not be valid URIs
+        for pdf in batches:
+            rows, size = [], 0
+            for path in pdf["path"]:
+                try:
+                    data = store.read(path)
+                except OSError:
+                    data = None
+                rows.append((path, data))
+                size += len(data or b"")
+                if size >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "content"])
+                    rows, size = [], 0
+            if rows:
                 yield pd.DataFrame(rows, columns=["path", "content"])
-                rows, size = [], 0
-        if rows:
-            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return load
 
 
 def list_source_tree(spark: SparkSession, path: str, exts: list[str] | None = None, splits: int = 64) -> DataFrame:
@@ -252,4 +270,24 @@ def scan_source_tree(
     if prefix is not None:
         listed = listed.where(F.col("path").startswith(prefix))
     tasks = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return files_from_table(listed.select("path").repartition(tasks, "path").mapInPandas(_load, "path string, content binary"))
+    return files_from_table(listed.select("path").repartition(tasks, "path").mapInPandas(_loading(path), "path string, content binary"))
+
+
+def write_source_tree(files: DataFrame, root: str) -> int:
+    """Write ``(path, content)`` rows as files below ``root``, a path or a URI; the tasks write, the number of files comes back.
+
+    Paths are relative to the root; one that leads out of it is an error.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, n = _store(root), 0
+        for pdf in batches:
+            for path, data in zip(pdf["path"], pdf["content"]):
+                if path.startswith("/") or ".." in path.split("/"):
+                    raise ValueError(f"path leads out of the tree: {path}")
+                store.write(f"{root.rstrip('/')}/{path}", bytes(data))
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    rows = files.select("path", F.col("content").cast("binary").alias("content")).where("content is not null")
+    return rows.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

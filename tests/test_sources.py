@@ -117,6 +117,19 @@ def test_same_rows_through_a_uri(spark, tmp_path):
         scan_source_tree(spark, f"file://{root}/none").count()
 
 
+def test_written_tree_is_scanned_again(spark, tmp_path):
+    from codestrata.sources.tree import write_source_tree
+
+    rows = [("a/é.py", "x\n".encode()), ("a/b/c.js", b"\xff"), ("top.ts", b""), ("none.py", None)]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    for root in (str(tmp_path / "one"), f"file://{tmp_path}/two"):
+        assert write_source_tree(files, root) == 3 and write_source_tree(files, root) == 3  # again: the same files
+        found = {r["path"].removeprefix(root + "/"): (r["content"], r["size"]) for r in scan_source_tree(spark, root).collect()}
+        assert found == {"a/é.py": ("x\n", 2), "a/b/c.js": (None, 1), "top.ts": ("", 0)}
+    with pytest.raises(Exception, match="out of the tree"):
+        write_source_tree(spark.createDataFrame([("../x.py", b"1")], "path string, content binary"), str(tmp_path))
+
+
 def test_selection_and_optional_filters(spark, make_files):
     files = make_files({"a.py": "eval(x)", "b.py": "eval(x)", "c.js": "eval(x)"})
     chosen = spark.createDataFrame([("a.py",), ("c.js",), ("zzz",)], "path string")
