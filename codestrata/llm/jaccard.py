@@ -261,6 +261,8 @@ def classes_of(docs: DataFrame, n: int, threshold: float, recall: float, block:
     known = rows_of.where("doc_id is not null and set_id is not null")
     first = F.min(F.struct("doc_id", "text_key"))
     reps = known.groupBy("set_id").agg(first.alias("copy"), F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys"), F.min("n_grams").alias("n_grams"))
+    # Rounded up to a power of two, which is enough to bound blocks and takes next to no room in a shuffle.
+    reps = reps.withColumn("n_grams", F.pow(F.lit(2.0), F.ceil(F.log2("n_grams"))).cast("long"))
     reps = reps.select("set_id", F.col("copy.doc_id").alias("copy_id"), F.col("copy.text_key").alias("copy_key"), "weight", "n_grams", "keys")
     reps = staged(reps.withColumn("rep", F.xxhash64("set_id")), "reps")
     keyed = reps.select("rep", "n_grams", F.posexplode("keys").alias("band", "key"))
