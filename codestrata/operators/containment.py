@@ -19,9 +19,9 @@ SEGMENT_CHARS = 1024
 def runs(text: Column, n: Column | int = Q) -> Column:
     """Distinct runs of ``n`` characters (1 to ``Q``).  Characters are taken from an array: a substring would walk the text anew each time."""
     n = F.lit(n) if isinstance(n, int) else n
-    chars = F.split(text, "")
-    run = lambda i: F.concat_ws("", *[F.when(n > k, F.get(chars, i + k)) for k in range(Q)])
-    every = F.transform(F.sequence(F.lit(0), F.length(text) - n), run)
+    # The one-element array binds the characters: inside the lambda they are there, not split anew for each run.
+    run = lambda chars, i: F.concat_ws("", *[F.when(n > k, F.get(chars, i + k)) for k in range(Q)])
+    every = F.flatten(F.transform(F.array(F.split(text, "")), lambda chars: F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: run(chars, i))))
     return F.array_distinct(F.when(F.length(text) >= n, every).otherwise(F.array().cast("array<string>")))
 
 
