@@ -28,6 +28,8 @@ KEEP_AT = 0.5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
+# Text that one step works on: a feature of each character takes some fifty bytes for a moment.
+STEP_BYTES = 1 << 20
 # Scales the shares so that single features weigh in steps of about one.
 GAIN = 20.0
 
@@ -119,7 +121,7 @@ def sparse_rows(sample: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", STEP_BYTES):
             w = Words(batch.column(2))
             groups = features(w, w.hashes())
             out: list[list] = [[], []]
@@ -182,7 +184,7 @@ def score(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_id"
         import pyarrow as pa
 
         known = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", STEP_BYTES):
             w = Words(batch.column(len(keep)))
             hashes = w.hashes()
             counts = base_counts(w, hashes)
