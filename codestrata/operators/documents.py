@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import splitter
+from ..functions import chunking, splitter
 from ..functions.text import WHITE_SPACE, list_repr, strip
 
 METADATA = [
@@ -124,8 +124,11 @@ def safe_metadata(documents: DataFrame) -> DataFrame:
 
 
 def chunks(documents: DataFrame, chunker: str = "recursive", size: int = splitter.CHUNK_SIZE, overlap: int = splitter.CHUNK_OVERLAP) -> DataFrame:
-    """Chunk rows of any documents table; all other columns are carried along."""
-    split = {"recursive": splitter.chunk_recursive, "fixed": splitter.chunk_fixed}[chunker]
+    """Chunk rows of any documents table; all other columns are carried along.
+
+    ``recursive_native`` gives the chunks of ``recursive`` without Python in the plan, at a higher cost (see the README).
+    """
+    split = {"recursive": splitter.chunk_recursive, "recursive_native": chunking.chunk_recursive, "fixed": splitter.chunk_fixed}[chunker]
     rest = [c for c in documents.columns if c not in ("content", "code_content")]
     parts = documents.select(*rest, split(F.col("content"), size, overlap).alias("_chunks"))
     return parts.select(*rest, F.posexplode("_chunks").alias("chunk_no", "text")).select(
