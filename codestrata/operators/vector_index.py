@@ -181,7 +181,7 @@ def _search_batch(spark: SparkSession, items: DataFrame, asked: DataFrame, k: in
             found = []
             for cell, part in pdf.groupby("cell"):
                 asking = cells[int(cell)]
-                near = _scan(matrix[asking], part["item_id"].to_numpy(), _matrix(part["embedding"]), k, None)
+                near = _scan(matrix[asking], part["item_id"].to_numpy(), _matrix(part["embedding"]), k)
                 found.append(near.assign(row=asking[near["row"]]))
             if found:
                 best = _best(pd.concat(found if best is None else [best, *found], ignore_index=True), k)

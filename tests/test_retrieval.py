@@ -27,6 +27,30 @@ def test_nearest_is_exact(spark, budget):
     assert got == sorted(want)
 
 
+def test_equal_vectors_are_one_row_of_the_scan(spark):
+    """Many items and questions on few vectors: the scan sees each vector once, the result has every question with its first ids."""
+    items = [(f"i{n:04d}", [float(n % 4), 1.0]) for n in range(400)] + [(None, [9.0, 9.0]), ("i9", None)]
+    i = spark.createDataFrame(items, "item_id string, embedding array<float>").repartition(5)
+    shared = knn._shared_vectors(i.where("embedding is not null"), 3)
+    assert shared.count() == 5 and shared.agg(F.max(F.size("item_ids"))).first()[0] == 3
+    q = spark.createDataFrame([(n, [float(n % 2), 1.0]) for n in range(50)], "qid bigint, embedding array<float>")
+    got = sorted((r["qid"], r["rank"], r["item_id"]) for r in knn.nearest(q, i, 3).collect())
+    assert got == sorted((n, r + 1, f"i{n % 2 + 4 * r:04d}") for n in range(50) for r in range(3))
+
+
+def test_many_questions_meet_many_vectors_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(knn, "_ROWS", 7)
+    monkeypatch.setattr(knn, "_COLUMNS", 11)
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, (90, 3)).astype(float)  # many ties
+    best = knn._Best(x[:40], 6)
+    best.add(np.arange(90), np.arange(90), x)
+    found = best.table()
+    for row in range(40):
+        d = ((x - x[row]) ** 2).sum(1)
+        assert found[found["row"] == row]["item_id"].tolist() == np.lexsort((np.arange(90), d))[:6].tolist()
+
+
 def test_long_ids_count_in_the_budget(spark):
     q = spark.createDataFrame([("q" * 500 + str(i), [float(i)]) for i in range(4)], "qid string, embedding array<double>")
     i = spark.createDataFrame([(n, [float(n)]) for n in range(9)], "item_id bigint, embedding array<double>")
