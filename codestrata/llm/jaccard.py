@@ -17,7 +17,7 @@ their own.  Null ids take no part and are returned unlinked.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, slices, staged
@@ -111,8 +111,30 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return rows_of.mapInArrow(run, "doc_id long, set_id binary, n_grams long, keys array<long>, text_key long")
 
 
+# Bits of the filter that tells which texts are asked for: 4 MB; more ids than bits only let more texts through.
+FILTER_BITS = 1 << 25
+
+
+def _bit(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose ``key`` may be among those of ``wanted``: all that are and few others, without a shuffle of the rows.
+
+    The filter has a fixed size whatever the number of keys, so it is broadcast at every size.
+    """
+    bit = _bit(key)
+    bits = wanted.select(F.bitmap_bucket_number(bit).alias("_part"), F.bitmap_bit_position(bit).alias("_at")).repartition("_part")
+    bits = bits.groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("_part", F.bitmap_bucket_number(bit)).join(F.broadcast(bits), "_part")
+    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
-    """``rep, weight, buckets, grams``: the n-gram set of each text whose set is the wanted one."""
+    """``rep, weight, dealt, grams``: the n-gram set of each text whose set is the wanted one."""
 
     def run(batches):
         import pyarrow as pa
@@ -122,10 +144,10 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
             cut = list(zip(first[:-1], first[1:], strict=True))
             values = pa.array([found[a:b].tobytes() for a, b in cut], pa.binary())
             same = pa.array([set_id(found[a:b]) == want for (a, b), want in zip(cut, batch.column(3).to_pylist(), strict=True)])
-            out = pa.RecordBatch.from_arrays([*batch.columns[:3], values], names=["rep", "weight", "buckets", "grams"])
+            out = pa.RecordBatch.from_arrays([*batch.columns[:3], values], names=["rep", "weight", "dealt", "grams"])
             yield out.filter(same)
 
-    return docs.select("rep", "weight", "buckets", "set_id", "text").mapInArrow(run, "rep long, weight long, buckets array<long>, grams binary")
+    return docs.select("rep", "weight", "dealt", "set_id", "text").mapInArrow(run, "rep long, weight long, dealt array<struct<bucket:long,blocks:int>>, grams binary")
 
 
 def _incidence(lists: list[np.ndarray]) -> np.ndarray:
@@ -274,14 +296,14 @@ def classes_of(docs: DataFrame, n: int, threshold: float, recall: float, block:
     bucket = F.xxhash64("band", "key")
     inside = keyed.join(buckets, ["band", "key"]).select("rep", bucket.alias("bucket"), "blocks")
     listed = inside.groupBy("rep").agg(F.collect_list(F.struct("bucket", "blocks")).alias("dealt"))  # at most one for each band
-    listed = listed.join(reps.select("rep", "set_id", "copy_id", "weight"), "rep").withColumn("buckets", F.col("dealt.bucket"))
-    listed = staged(listed, "members")
+    listed = staged(listed.join(reps.select("rep", "set_id", "copy_id", "weight"), "rep"), "members")
 
-    # The text of one document of each candidate set.
+    # The text of one document of each candidate set: only texts that may be asked for are shuffled, at every size alike.
     texts = documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    texts = texts.join(listed.select(F.col("copy_id").alias("doc_id"), "rep", "set_id", "weight", "buckets"), "doc_id")
-    sets = full_sets(texts, n)
-    dealt = sets.join(listed.select("rep", F.explode("dealt").alias("one")), "rep")
+    texts = likely(texts, "doc_id", listed.select(F.col("copy_id").alias("doc_id")))
+    asked = listed.select(F.col("copy_id").alias("doc_id"), "rep", "set_id", "weight", "dealt")
+    sets = full_sets(texts.join(asked.hint("merge"), "doc_id"), n)
+    dealt = sets.select("rep", "weight", F.col("dealt.bucket").alias("buckets"), "grams", F.explode("dealt").alias("one"))
     n_blocks = F.col("one.blocks")
     dealt = dealt.withColumn("blocks", n_blocks).withColumn("mine", F.pmod(F.xxhash64("rep", F.lit(11)), n_blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

@@ -240,6 +240,14 @@ def test_jaccard_join_matches_all_pairs(rows, block):
     assert [found[i] for i in range(len(texts))] == plain_classes(texts)
 
 
+def test_texts_asked_for_are_let_through_and_few_others(spark):
+    every = spark.range(-3000, 3000).withColumnRenamed("id", "doc_id").union(spark.createDataFrame([(None,)], "doc_id long"))
+    wanted = every.where("doc_id % 50 = 0")
+    kept = jaccard.likely(every, "doc_id", wanted)
+    assert kept.join(wanted, "doc_id", "left_semi").count() == wanted.count() <= kept.count() <= wanted.count() + 20
+    assert jaccard.likely(every, "doc_id", wanted.limit(0)).count() == 0
+
+
 def test_jaccard_join_of_odd_rows(odd):
     found = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.join(odd).collect()), key=str)
     assert found == sorted([(None, None, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 1), (4, 4, 1), (5, 5, 0)], key=str)
