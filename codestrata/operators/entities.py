@@ -49,7 +49,8 @@ def edges(entities_df: DataFrame) -> DataFrame:
         "file_path", F.col("name").alias("source"), "line_number", F.explode("dependencies").alias("target")
     )
     names = entities_df.select("file_path", F.col("name").alias("target")).distinct()
-    return uses.join(names, ["file_path", "target"]).select(
+    # Staged tables are small as compressed files and may be large in memory: the planner must not broadcast one by its file size.
+    return uses.join(names.hint("merge"), ["file_path", "target"]).select(
         "source", "target", F.lit("uses").alias("relationship_type"), "file_path", "line_number"
     )
 

@@ -167,3 +167,13 @@ def test_one_parse_for_rules_and_entities(spark, make_files, monkeypatch):
     monkeypatch.setattr(structure.F, "pandas_udf", lambda kind: lambda fn: lambda *columns: fn(*columns))
     found = run(pd.Series([".py", ".py", ".PY", ".js"]), pd.Series(["python", "python", "python", "javascript"]), pd.Series(["x = 1", "def (:", "y", "class A {}"]))
     assert asked == ["x = 1", "def (:", "y"] and found["entities"][2] is None and found["facts"][3] is None
+
+
+def test_edges_never_broadcast_a_side(spark, make_files, tmp_path):
+    """Compressed files say little about the rows in them, so neither side of the edge join is broadcast, however small its files."""
+    from codestrata.session import stage
+
+    found = stage(entities.entities(make_files({"p/a.py": "def f(x):\n    return g(x)\n\ndef g(x):\n    return x\n"})))
+    used = entities.edges(found)
+    assert {(r["source"], r["target"]) for r in used.collect()} >= {("f", "g")}
+    assert "BroadcastExchange" not in used._jdf.queryExecution().toString()
