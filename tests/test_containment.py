@@ -45,6 +45,14 @@ def test_rows_grow_with_the_text_and_not_with_its_square(spark):
     assert found(spark, [(1, body)], [("needle", 1), ("needles", 2), ("zz", 3), (body[1015:1034], 4)]) == [(1, body[1015:1034], 4), (1, "needle", 1)]
 
 
+def test_numbered_names_are_told_apart_by_their_runs(spark):
+    """Names that differ in their numbers alone: each is filed under a run that hardly any other is filed under."""
+    names = spark.createDataFrame([(f"load_{i}",) for i in range(10_000, 12_000)], "name string")
+    most = containment.filed(names, "name").groupBy("_run").count().agg(F.max("count")).first()[0]
+    assert most <= 2
+    assert found(spark, [(1, "see load_11999, load_1"), (2, "load_10000")], [(f"load_{i}", i) for i in range(9_990, 12_000)]) == [(1, "load_11999", 11999), (2, "load_10000", 10000)]
+
+
 def test_global_ranks(spark):
     rng = random.Random(3)
     rows = [(rng.randrange(50), rng.choice(["x", "y", None])) for _ in range(5000)] + [(7, "x")] * 3000
