@@ -93,3 +93,20 @@ def test_rollups(issues):
 def test_top_is_a_bounded_plan(issues):
     plan = severity.top_issues(severity.score_issues(issues([("style", "low", "a.py", "m")])), 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_ranking_computes_its_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    from codestrata.operators.ranking import ranked
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(100, numPartitions=3).mapInPandas(watch, "id long")
+    assert [r["rank"] for r in ranked(rows, [F.desc("id")]).orderBy(F.desc("id")).collect()] == list(range(1, 101))
+    assert seen.value == 100
