@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, split_lines, strip
+from ..functions.text import computed_once, contains_any, lstrip, split_lines, strip
 
 # Quotes that open a docstring, words that count as a branch, window sizes and limits.
 DOC_QUOTES = "\"\"\"|'''"
@@ -33,7 +33,7 @@ def window(lines: Column, start: Column, n: int) -> Column:
 def documented_after(lines: Column, i: Column) -> Column:
     """A docstring is the first thing, other than blanks and comments, in the five lines after the definition."""
     telling = F.filter(
-        window(lines, i + 1, DOC_WINDOW), lambda t: t.rlike(DOC_QUOTES) | _is_code(strip(t))
+        window(lines, i + 1, DOC_WINDOW), lambda t: t.rlike(DOC_QUOTES) | _is_code(lstrip(t))
     )
     return F.coalesce(F.get(telling, F.lit(0)).rlike(DOC_QUOTES), F.lit(False))
 
@@ -45,21 +45,28 @@ def has_jsdoc(lines: Column, i: Column) -> Column:
 
 
 def has_module_docstring(lines: Column) -> Column:
-    code = F.filter(F.transform(F.slice(lines, 1, MODULE_WINDOW), strip), _is_code)
+    code = F.filter(F.transform(F.slice(lines, 1, MODULE_WINDOW), lstrip), _is_code)
     return F.coalesce(F.get(code, F.lit(0)).rlike(f"^(?:{DOC_QUOTES})"), F.lit(False))
 
 
 def function_body(lines: Column, i: Column) -> Column:
-    """Stripped code lines after a definition, up to the next ``def`` and at most fifty lines ahead."""
-    ahead = F.transform(window(lines, i + 1, COMPLEX_WINDOW), strip)
-    stop = F.array_position(F.transform(ahead, lambda t, k: (k > 0) & F.startswith(t, F.lit("def "))), F.lit(True))
-    return F.filter(F.when(stop > 0, F.slice(ahead, F.lit(1), (stop - 1).cast("int"))).otherwise(ahead), _is_code)
+    """Code lines after a definition, without indentation, up to the next ``def`` and at most fifty lines ahead."""
+    head = F.lit("def ")
+
+    def body(ahead: Column) -> Column:
+        # A line of "def" and nothing but white space is no definition.
+        heads = F.transform(ahead, lambda t, k: (k > 0) & F.startswith(t, head) & F.startswith(strip(t), head))
+        upto = computed_once(F.array_position(heads, F.lit(True)), lambda stop: F.when(stop > 0, F.slice(ahead, F.lit(1), (stop - 1).cast("int"))).otherwise(ahead))
+        return F.filter(upto, _is_code)
+
+    return computed_once(F.transform(window(lines, i + 1, COMPLEX_WINDOW), lstrip), body)
 
 
 def is_complex_function(lines: Column, i: Column) -> Column:
-    body = function_body(lines, i)
-    branches = F.size(F.filter(body, lambda t: contains_any(t, BRANCH_WORDS)))
-    return (F.size(body) > MAX_FUNCTION_LINES) | (branches > MAX_BRANCHES)
+    def over(body: Column) -> Column:
+        return (F.size(body) > MAX_FUNCTION_LINES) | (F.size(F.filter(body, lambda t: contains_any(t, BRANCH_WORDS))) > MAX_BRANCHES)
+
+    return computed_once(function_body(lines, i), over)
 
 
 def function_sizes(files: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A rule is a boolean column over one exploded line (or over a file-level finding), plus fixed texts.  The
 pass is: files -> one array of line records per file (with the few values that need neighbouring lines)
--> explode -> one string of matching rule ids per line -> explode.  No shuffle, and no Python
+-> explode -> one array of matching rule ids per line -> explode.  No shuffle, and no Python
 except the parser call that gates Python files.
 """
 
@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pyparse
-from ..functions.text import SPACE, WORD, contains_any, count_of, indent_width, split_lines, strip
+from ..functions.text import SPACE, WORD, count_of, lstrip, split_lines
 from ..functions.paths import is_test_path
 from .context import documented_after, has_jsdoc, has_module_docstring, is_complex_function
 
@@ -60,6 +61,11 @@ def _match(pattern: str, *needed: str) -> Column:
     return cond & F.col("text").rlike(pattern)
 
 
+def _any_of(c: Column, *needles: str) -> Column:
+    """True when any needle occurs; plain searches, cheaper than a pattern on lines that mostly hold none."""
+    return reduce(or_, [F.contains(c, F.lit(n)) for n in needles])
+
+
 def _parsed(cond: Column) -> Column:
     return F.col("parsed") & cond
 
@@ -108,7 +114,7 @@ RULES = [
          "Break long lines for better readability", lambda: _parsed(F.length("text") > 120)),
     Rule("PY-10", PY, "style", "low", "Multiple statements on one line",
          "Use separate lines for each statement",
-         lambda: _parsed(_has(";") & ~F.startswith(strip(F.col("text")), F.lit("#")))),
+         lambda: _parsed(_has(";") & ~F.startswith(lstrip(F.col("text")), F.lit("#")))),
     Rule("PY-11", PY, "documentation", "low", _fmt("Function '{name}' missing docstring"),
          "Add a docstring describing the function's purpose",
          lambda: _parsed((F.col("kind") == "def") & ~F.col("documented"))),
@@ -121,7 +127,7 @@ RULES = [
     Rule("JS-04", JS, "style", "low", _fmt("Line too long ({n} characters)"),
          "Break long lines for better readability", lambda: F.length("text") > 120),
     Rule("JS-05", JS, "complexity", "medium", "Deeply nested code detected",
-         "Consider extracting nested logic into separate functions", lambda: indent_width(F.col("text")) > 20),
+         "Consider extracting nested logic into separate functions", lambda: _match(f"^{SPACE}{{21}}")),
     Rule("JS-06", JS, "style", "low", "Use of 'var' detected", "Use 'let' or 'const' instead of 'var'",
          lambda: _match(rf"(?<!{WORD})var{SPACE}+{WORD}", "var")),
     Rule("JS-07", JS, "style", "low", "Use of loose equality (==) detected", "Use strict equality (===) instead",
@@ -205,8 +211,8 @@ def _contexts(lines: Column, with_complexity: bool) -> Callable[[Column, Column]
         )
         is_py = F.col("language") == "python"
         return F.when(
-            is_py & contains_any(text, ["def", "class"]) & text.rlike(DEFINITION), python
-        ).when(~is_py & contains_any(text, ["function", "const"]) & text.rlike(SCRIPT_FUNCTION), script)
+            is_py & _any_of(text, "def", "class") & text.rlike(DEFINITION), python
+        ).when(~is_py & _any_of(text, "function", "const") & text.rlike(SCRIPT_FUNCTION), script)
 
     return build
 
@@ -306,48 +312,71 @@ def rule_issues(
         F.col("e.ctx.documented").alias("documented"),
         F.col("e.ctx.complex").alias("complex"),
     )
-    conditions = [
-        F.when(F.col("language").isin(list(r.languages)) & r.condition(), F.lit(r.id)) for r in rules if r.condition is not None
-    ]
-    matched = F.coalesce(F.col("finding.rule_id"), F.concat_ws(",", *conditions))
-    hits = entries.select(
-        "file", "line", "name", F.coalesce("finding.n", F.length("text")).alias("n"),
-        F.explode_outer(F.split(matched, ",")).alias("rule_id"),
-    )
-    return to_issues(hits.where(F.col("rule_id") != ""), rules)
+    matched = F.when(F.col("finding.rule_id").isNotNull(), F.array("finding.rule_id")).otherwise(_matched(rules))
+    # The ids are computed inside the explode: as a column of their own a filter on it would compute them twice.
+    hits = entries.select("file", "line", "name", "text", F.col("finding.n").alias("n"), F.explode(matched).alias("rule_id"))
+    return to_issues(hits.select("file", "line", "name", F.coalesce("n", F.length("text")).alias("n"), "rule_id"), rules)
+
+
+def _matched(rules: list[Rule]) -> Column:
+    """Ids of the line rules that hold; a line meets the rules of its language only.
+
+    The array filter keeps the conditions out of the one generated method of the stage: with all of them in it the method
+    passes the size up to which the JVM compiles, and every line is interpreted.
+    """
+    by_language: dict[str, list[Rule]] = {}
+    for r in rules:
+        for language in r.languages if r.condition is not None else ():
+            by_language.setdefault(language, []).append(r)
+    shared: dict[tuple[str, ...], list[str]] = {}
+    for language, some in by_language.items():
+        shared.setdefault(tuple(r.id for r in some), []).append(language)
+    chain = F.when(F.lit(False), F.array().cast("array<string>"))
+    for languages in shared.values():
+        ids = F.array(*[F.when(r.condition(), F.lit(r.id)) for r in by_language[languages[0]]])
+        chain = chain.when(F.col("language").isin(languages), F.filter(ids, lambda x: x.isNotNull()))
+    return chain
+
+
+FIXED = ("category", "severity", "message", "suggestion", "impact", "test_type")
+
+
+def _fixed(rules: list[Rule]) -> Column:
+    """The fixed texts of a row's rule, from one literal map; a message that holds names or numbers is null in it."""
+    def texts(r: Rule) -> Column:
+        return F.struct(*[F.lit(v if isinstance(v := getattr(r, k), str) else None).cast("string").alias(k) for k in FIXED])
+
+    empty = F.create_map().cast(f"map<string,struct<{','.join(f'{k}:string' for k in FIXED)}>>")
+    return (F.create_map(*[x for r in rules for x in (F.lit(r.id), texts(r))]) if rules else empty)[F.col("rule_id")]
 
 
-def _by_rule(rules: list[Rule], pick: Callable[[Rule], Column | str | None]) -> Column:
-    """Literal lookup by rule id; rules that share a value share one branch."""
+def _message(rules: list[Rule]) -> Column:
+    """The message of a row's rule; rules that share a form share one branch."""
     groups: dict[str, tuple[Column, list[str]]] = {}
     for r in rules:
-        v = pick(r)
-        if v is None:
-            continue
-        c = v if isinstance(v, Column) else F.lit(v)
-        groups.setdefault(str(c), (c, []))[1].append(r.id)
-    out = F.lit(None).cast("string")
-    chain = None
+        if not isinstance(r.message, str):
+            c = r.message if isinstance(r.message, Column) else r.message()
+            groups.setdefault(str(c), (c, []))[1].append(r.id)
+    chain = F.when(F.lit(False), F.lit(""))
     for c, ids in groups.values():
-        cond = F.col("rule_id").isin(ids)
-        chain = F.when(cond, c) if chain is None else chain.when(cond, c)
-    return out if chain is None else chain
+        chain = chain.when(F.col("rule_id").isin(ids), c)
+    return chain.otherwise(F.col("fixed.message"))
 
 
 def to_issues(hits: DataFrame, rules: list[Rule]) -> DataFrame:
     """Issue record from ``(file, line, name, n, rule_id)`` hits."""
     none = F.lit(None)
-    return hits.select(
+    return hits.withColumn("fixed", _fixed(rules)).select(
         "rule_id",
-        _by_rule(rules, lambda r: r.category).alias("category"),
-        _by_rule(rules, lambda r: r.severity).alias("severity"),
+        "fixed.category",
+        "fixed.severity",
         "file",
         F.col("line").cast("int").alias("line"),
         none.cast("int").alias("column"),
-        _by_rule(rules, lambda r: r.message if isinstance(r.message, (str, Column)) else r.message()).alias("message"),
-        _by_rule(rules, lambda r: r.suggestion).alias("suggestion"),
-        _by_rule(rules, lambda r: r.impact).alias("impact"),
-        _by_rule(rules, lambda r: r.test_type).alias("test_type"),
+        _message(rules).alias("message"),
+        "fixed.suggestion",
+        "fixed.impact",
+        "fixed.test_type",
         none.cast("string").alias("file1"),
         none.cast("string").alias("file2"),
         none.cast("string").alias("lines1"),

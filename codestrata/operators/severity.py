@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, WORD, contains_any
+from ..functions.text import SPACE, WORD, computed_once, contains_any
 from .ranking import ranked
 
 # Message patterns and word lists of the scoring scheme.
@@ -62,8 +62,10 @@ def _matches(c: Column, patterns: list[str]) -> Column:
 
 
 def impact_level(message: Column, category: Column) -> Column:
-    m, c = F.lower(message), F.lower(category)
+    return _impact(F.lower(message), F.lower(category))
 
+
+def _impact(m: Column, c: Column) -> Column:
     def tiers(high: tuple[int, list[str]], mid: tuple[int, list[str]], low: int) -> Column:
         return F.when(contains_any(m, high[1]), high[0]).when(contains_any(m, mid[1]), mid[0]).otherwise(low)
 
@@ -82,7 +84,10 @@ def impact_level(message: Column, category: Column) -> Column:
 
 
 def likelihood_level(message: Column, category: Column, path: Column) -> Column:
-    m, c, p = F.lower(message), F.lower(category), F.lower(F.coalesce(path, F.lit("")))
+    return _likelihood(F.lower(message), F.lower(category), F.lower(F.coalesce(path, F.lit(""))))
+
+
+def _likelihood(m: Column, c: Column, p: Column) -> Column:
     out = (
         F.when(F.contains(p, F.lit("test")), 1)
         .when(contains_any(p, PATH_CERTAIN), 4)
@@ -114,12 +119,12 @@ def score_issues(issues: DataFrame) -> DataFrame:
     """Add severity_score, impact_level, likelihood_level, priority and reasoning."""
     category = F.coalesce(F.col("category"), F.lit("general"))
     message = F.coalesce(F.col("message"), F.lit(""))
-    levels = issues.withColumns(
-        {
-            "impact_level": impact_level(message, category),
-            "likelihood_level": likelihood_level(message, category, F.col("file")),
-        }
+    lowered = F.struct(F.lower(message).alias("m"), F.lower(category).alias("c"), F.lower(F.coalesce("file", F.lit(""))).alias("p"))
+    # In a lambda, outside the generated method of the stage, which with all these branches would be too long to be compiled.
+    levels = computed_once(
+        lowered, lambda v: F.struct(_impact(v["m"], v["c"]).alias("impact_level"), _likelihood(v["m"], v["c"], v["p"]).alias("likelihood_level"))
     )
+    levels = issues.withColumn("_levels", levels).withColumns({k: F.col(f"_levels.{k}") for k in ("impact_level", "likelihood_level")}).drop("_levels")
     cents = levels.withColumn("_cents", score_cents(F.col("impact_level"), F.col("likelihood_level")))
     priority = None
     for floor, label in zip(PRIORITY_FLOORS, PRIORITIES):

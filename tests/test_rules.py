@@ -129,3 +129,27 @@ def test_plan_has_no_shuffle_and_one_parse(make_files):
     assert plan.count("ArrowEvalPython") == 1
     free = rules.rule_issues(make_files({"a.py": "x"}), gate_on_parse=False)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in free
+
+
+def test_generated_methods_are_short_enough_to_be_compiled(spark, make_files):
+    from codestrata.operators import severity
+
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    for mode in ("basic", "enhanced"):
+        found = rules.rule_issues(make_files({"a.py": "x"}), mode=mode)
+        for df in (found, severity.score_issues(found)):
+            parts = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+            assert max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) < 8000
+
+
+def test_lines_of_other_languages_and_empty_rule_sets(make_files):
+    files = make_files({"a.py": "eval(x); y", "a.js": "eval(x)\n" + "\u2003" * 21 + "x", "a.java": "eval(x)"})
+    got = {(r["file"], r["rule_id"], r["line"]) for r in analysis.issues(files).collect()}
+    assert got == {("a.py", "PY-08", 1), ("a.py", "PY-10", 1), ("a.js", "JS-01", 1), ("a.js", "JS-05", 2)}
+    assert analysis.issues(files, rule_set=[]).count() == 0
+
+
+def test_def_without_a_name_ends_no_function(make_files):
+    body = "def f():\n  if a: b\n  def \t\n  c\n  def g():\n    d\n"
+    got = {r["name"]: (r["function_lines"], r["branches"]) for r in context.function_sizes(make_files({"a.py": body})).collect()}
+    assert got == {"f": (3, 1), "g": (1, 0)}
